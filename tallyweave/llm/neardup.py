@@ -2,11 +2,13 @@
 
 Each distinct set of word shingles gets minima of many hash functions. Bands of full minima deal sets to buckets;
 beside them travels the packed signature of each minimum's low bits, whose agreeing places, corrected for chance
-collisions, estimate the similarity. A bucket proposes not all its pairs but the strongest spanning forest of those
-that may pass; proposals are confirmed on the full sets; and only where confirmed links leave a bucket's members in
-different components do its remaining pairs between those components follow. Equal sets are one node from the start.
+collisions, estimate the similarity. A bucket proposes not all
+its pairs but the strongest spanning forest of those that may pass, and proposals are confirmed on the full sets.
+Every pair that may pass lies in one tree of some forest; where confirmed links leave a tree in several components,
+the documents between those are compared on their full sets within tasks, which give only links that join components.
+Equal sets are one node from the start.
 
-Large buckets are cut into blocks that meet pairwise in different tasks, so none is ever held by one.
+Large buckets and trees are cut into blocks that meet pairwise in different tasks, so none is ever held by one.
 
 With 24 bands of 4 a pair at the threshold meets with a probability of 1 - 2e-8, and the estimate's cut lies more than
 five standard errors below the threshold.
@@ -152,55 +154,63 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return keyed.join(several, "bucket")
 
 
-def proposals(members: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """Pairs (a < b) of a bucket's members (bucket, size, content, n, signature, component) that lie in different
-    components and may pass: all of them if every, else the strongest spanning forest.
-
-    A bucket of up to BLOCK rows is one group. A larger one is cut into blocks, and each two blocks are a group in
-    which only pairs across count.
-    """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cut = members.withColumn("side", F.pmod(F.xxhash64("content"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cut = cut.withColumn("across", F.col("side") != F.col("other"))
-    cut = cut.withColumn("group", F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")))
-    columns = ["group", "across", "side", "content", "n", "signature", "component"]
-    cut = cut.select(*columns).repartition("group").sortWithinPartitions("group", "content")
+def proposals(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a < b) of members (bucket, size, content, n, signature): the strongest spanning forest of each bucket's
+    pairs that may pass."""
+    cut = in_blocks(members, "bucket").select("group", "across", "side", "content", "n", "signature")
+    cut = cut.repartition("group").sortWithinPartitions("group", "content")
 
     def pairs_of(group: dict[str, np.ndarray | list]) -> Iterator[tuple[bytes, bytes]]:
-        signature, n = group["signature"], group["n"]
-        allowed = 100 * np.minimum(n[:, None], n) >= similarity * 100 * np.maximum(n[:, None], n)
-        if group["across"][0]:
-            allowed &= group["side"][:, None] != group["side"]
-        if group["component"][0] is not None:
-            _, component = np.unique(np.array(group["component"], object), return_inverse=True)
-            allowed &= component[:, None] != component
-        np.fill_diagonal(allowed, False)
-        if not allowed.any():
-            return
-        weight = np.stack([agreeing(signature, row) for row in signature])
-        weight = np.where(allowed & (estimate(weight) >= FLOOR), weight, 0)
         content = group["content"]
-        for a, b in np.argwhere(np.triu(weight) > 0) if every else forest(weight):
+        for a, b in forest(hopeful(group, similarity)):
             yield min(content[a], content[b]), max(content[a], content[b])
 
+    return by_group(cut, pairs_of).distinct()
+
+
+def in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, size, content) dealt to groups: up to BLOCK rows of a key are one; more are cut into blocks, and
+    each two blocks are a group in which only pairs across count."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    cut = rows.withColumn("side", F.pmod(F.xxhash64("content"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return cut.withColumn("across", F.col("side") != F.col("other")).withColumn("group", F.xxhash64(key, F.least("side", "other"), F.greatest("side", "other")))
+
+
+def hopeful(group: dict[str, np.ndarray | list], similarity: float) -> np.ndarray:
+    """Agreeing places of those pairs of a group that may pass by set sizes and estimate; 0 for the others."""
+    signature, n = group["signature"], group["n"]
+    allowed = 100 * np.minimum(n[:, None], n) >= similarity * 100 * np.maximum(n[:, None], n)
+    if group["across"][0]:
+        allowed &= group["side"][:, None] != group["side"]
+    np.fill_diagonal(allowed, False)
+    if not allowed.any():
+        return np.zeros(allowed.shape, np.int64)
+    agree = np.stack([agreeing(signature, row) for row in signature])
+    return np.where(allowed & (estimate(agree) >= FLOOR), agree, 0)
+
+
+def by_group(rows: DataFrame, pairs_of) -> DataFrame:
+    """The pairs (a, b) that pairs_of finds in each group of rows, which are sorted by group within partitions."""
+    names = rows.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict | None = None
         for batch in _with_end(batches):
             out: list[tuple[bytes, bytes]] = []
-            new = _arrays(batch) if batch is not None else None
-            rows = new if waiting is None else waiting if new is None else {k: waiting[k] + new[k] if isinstance(new[k], list) else np.concatenate([waiting[k], new[k]]) for k in new}
-            if rows is not None and len(rows["group"]):
-                ends = np.append(np.flatnonzero(np.diff(rows["group"])) + 1, len(rows["group"]))
+            new = _arrays(batch, names) if batch is not None else None
+            held = new if waiting is None else waiting if new is None else {k: waiting[k] + new[k] if isinstance(new[k], list) else np.concatenate([waiting[k], new[k]]) for k in new}
+            if held is not None and len(held["group"]):
+                ends = np.append(np.flatnonzero(np.diff(held["group"])) + 1, len(held["group"]))
                 last = len(ends) - (batch is not None)  # the last group may go on in the next batch
                 start = 0
                 for end in ends[:last]:
                     if end - start > 1:
-                        out += pairs_of({k: v[start:end] for k, v in rows.items()})
+                        out += pairs_of({k: v[start:end] for k, v in held.items()})
                     start = int(end)
-                waiting = {k: v[start:] for k, v in rows.items()}
+                waiting = {k: v[start:] for k, v in held.items()}
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    return cut.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -208,11 +218,11 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray | list]:
-    out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "across", "side", "n")}
+def _arrays(batch: pa.RecordBatch, names: list[str]) -> dict[str, np.ndarray | list]:
+    out: dict[str, np.ndarray | list] = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "across", "side", "n")}
     signatures = b"".join(batch.column("signature").to_pylist())
     out["signature"] = np.frombuffer(signatures, np.uint64).reshape(batch.num_rows, -1)
-    return out | {c: batch.column(c).to_pylist() for c in ("content", "component")}
+    return out | {c: batch.column(c).to_pylist() for c in names if c not in out}
 
 
 def forest(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -230,29 +240,66 @@ def forest(weight: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs whose full sets are at least so similar. Only documents that occur in pairs are read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """The full set of each of wanted (content); only documents that hold one are read again."""
     readers = nodes.join(wanted, "content").select(F.col("doc_id").alias("reader"))
     texts = docs.join(readers, F.col("doc_id").cast("long").eqNullSafe(F.col("reader")), "left_semi")
-    sets = materialize(shingle_sets(texts, shingle).join(wanted, "content", "left_semi").dropDuplicates(["content"]))
+    return materialize(shingle_sets(texts, shingle).join(wanted, "content", "left_semi").dropDuplicates(["content"]))
+
+
+def passes(same: np.ndarray | int, n: int, m: np.ndarray | int, similarity: float) -> np.ndarray | bool:
+    return 100 * same >= round(similarity * 100) * (n + m - same)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of pairs whose full sets are at least so similar."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct(), docs, nodes, shingle)
     side = lambda c: sets.select(F.col("content").alias(c), F.col("shingles").alias(f"of_{c}"))
-    percent = round(similarity * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("of_a"), batch.column("of_b")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
                 same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
+                keep.append(bool(passes(same, len(x), len(y), similarity)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
 
 
+def joining_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members (tree, size, content, n, signature, component, shingles) of one tree that join
+    different components. Pairs are compared in the task that holds their blocks; those whose components it has
+    already joined are passed over, which leaves the components as they would be."""
+    columns = ("group", "across", "side", "content", "n", "signature", "component", "shingles")
+    cut = in_blocks(members, "tree").select(*columns).repartition("group").sortWithinPartitions("group", "content")
+
+    def links_of(group: dict[str, np.ndarray | list]) -> Iterator[tuple[bytes, bytes]]:
+        content = group["content"]
+        _, part = np.unique(np.array([c.hex() for c in group["component"]]), return_inverse=True)
+        if part.max() == 0:
+            return
+        weight = hopeful(group, similarity)
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        left = np.ones(len(sets), bool)
+        for x in np.argsort(np.bincount(part)[part], kind="stable"):  # those of small components first
+            left[x] = False
+            near = np.flatnonzero((weight[x] > 0) & left & (part != part[x]))
+            if not len(near):
+                continue
+            flat, sizes = np.concatenate([sets[y] for y in near]), np.array([len(sets[y]) for y in near])
+            mine = sets[x]
+            met = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            same = np.add.reduceat(met, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            for y in near[passes(same, len(mine), sizes, similarity)]:
+                if part[y] != part[x]:
+                    part[part == part[y]] = part[x]
+                    yield min(content[x], content[y]), max(content[x], content[y])
+
+    return by_group(cut, links_of).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of edges (a, b) can reach. Stars are formed about ever smaller
     nodes, by turns with all neighbours and with the smaller ones, until nothing changes; the number of rounds grows
@@ -282,14 +329,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     nodes = materialize(nodes.select("content", "doc_id", F.col("n_shingles").alias("n"), "signature", "bands"))
     members = materialize(buckets(nodes))
 
-    tried = materialize(proposals(members.withColumn("component", F.lit(None).cast("binary")), similarity, every=False))
+    tried = materialize(proposals(members, similarity))
     links = materialize(confirmed(tried, docs, nodes, shingle, similarity))
     found = materialize(components(links))
-    labelled = members.join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
-    apart = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    rest = proposals(labelled.join(apart, "bucket", "left_semi"), similarity, every=True).join(tried, ["a", "b"], "left_anti")
-    more = materialize(confirmed(materialize(rest), docs, nodes, shingle, similarity))
-    if not more.isEmpty():
+
+    # trees of proposals that confirmed links leave in several components; a pair alone has been tried
+    trees = components(tried).select(F.col("node").alias("content"), F.col("component").alias("tree"))
+    trees = materialize(trees.join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content")))
+    several = trees.groupBy("tree").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    apart = materialize(trees.join(several.filter("low < high and size > 2").select("tree", "size"), "tree"))
+    if not apart.isEmpty():
+        sets = sets_of(apart.select("content"), docs, nodes, shingle)
+        held = apart.join(nodes.select("content", "n", "signature"), "content").join(sets, "content")
+        more = materialize(joining_links(held, similarity))
         found = materialize(components(links.unionByName(more)))
 
     of_node = first.join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
