@@ -14,20 +14,19 @@ from pyspark.sql import functions as F
 from ..functions.scalars import folded, tax_for
 from ..schemas import CHECK, POLICY, TAX_RATES
 
-L = F.col("lines")
 Policy = dict
 
 
 def line_sum() -> Column:
-    return F.aggregate(L, F.lit(0).cast("bigint"), lambda a, x: a + x["amount"])
+    return F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["amount"])
 
 
 def base_of(code: str) -> Column:
-    return F.aggregate(F.filter(L, lambda x: x["tax_code"] == code), F.lit(0).cast("bigint"), lambda a, x: a + x["amount"])
+    return F.aggregate(F.filter("lines", lambda x: x["tax_code"] == code), F.lit(0).cast("bigint"), lambda a, x: a + x["amount"])
 
 
 def has_code(code: str) -> Column:
-    return F.exists(L, lambda x: x["tax_code"] == code)
+    return F.exists("lines", lambda x: x["tax_code"] == code)
 
 
 def tax_by_code() -> Column:
@@ -46,16 +45,16 @@ def expected_total() -> Column:
 
 
 def line_mismatches() -> Column:
-    wrong = F.filter(L, lambda x: x["quantity"].isNotNull() & x["unit_price"].isNotNull() & (x["quantity"] * x["unit_price"] != x["amount"]))
+    wrong = F.filter("lines", lambda x: x["quantity"].isNotNull() & x["unit_price"].isNotNull() & (x["quantity"] * x["unit_price"] != x["amount"]))
     return F.transform(wrong, lambda x: F.struct(x["seq"].alias("seq"), x["amount"].alias("amount"), (x["quantity"] * x["unit_price"]).alias("expected")))
 
 
 def unknown_codes() -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(L, lambda x: x["tax_code"]), lambda c: ~c.isin(*TAX_RATES))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda x: x["tax_code"]), lambda c: ~c.isin(*TAX_RATES))))
 
 
 def missing_units() -> Column:
-    return F.transform(F.filter(L, lambda x: F.trim(F.coalesce(x["unit"], F.lit(""))) == ""), lambda x: x["seq"])
+    return F.transform(F.filter("lines", lambda x: F.trim(F.coalesce(x["unit"], F.lit(""))) == ""), lambda x: x["seq"])
 
 
 def ungrounded() -> Column:
@@ -83,7 +82,7 @@ def check(name: str, severity: str, passed: Column, good: Column, bad: Column, d
 
 
 def _ladder(policy: Policy) -> list[Column]:
-    some, number = F.size(L) > 0, F.trim(F.coalesce("invoice_number", F.lit("")))
+    some, number = F.size("lines") > 0, F.trim(F.coalesce("invoice_number", F.lit("")))
     subtotal, tax, total = F.col("subtotal"), F.col("tax_amount"), F.col("total_amount")
     dated = F.col("issue_date").isNotNull() & F.col("due_date").isNotNull()
     floor, limit = policy["confidence_floor"], policy["amount_review_threshold"]
@@ -91,7 +90,7 @@ def _ladder(policy: Policy) -> list[Column]:
     layer = F.trim(F.coalesce("text_layer", F.lit(""))) != ""
     rates = F.concat(F.col("_unknown"), F.col("unmapped_tax_rates"))
     return [
-        check("extraction.lines_present", "BLOCKER", some, say(F.size(L), " lines were read"), say("no lines were read"), F.to_json(F.struct(F.size(L).alias("line_count")))),
+        check("extraction.lines_present", "BLOCKER", some, say(F.size("lines"), " lines were read"), say("no lines were read"), F.to_json(F.struct(F.size("lines").alias("line_count")))),
         check("fields.invoice_number", "ERROR", number != "", say("invoice number ", F.col("invoice_number")), say("the invoice number is missing")),
         check("arithmetic.line_sum", "ERROR", some & (F.col("_sum") == subtotal), say("the lines add up to ", money(subtotal)), say("the lines add up to ", money(F.col("_sum")), ", the subtotal shows ", money(subtotal))),
         check("arithmetic.tax_per_code", "ERROR", some & (F.col("_tax") == tax), say("the tax is ", money(tax)), say("the tax by code is ", money(F.col("_tax")), ", the invoice shows ", money(tax))),
