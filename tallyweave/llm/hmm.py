@@ -233,7 +233,7 @@ def score_documents(docs: DataFrame, words: int = WORDS, classes: int = CLASSES,
     log = F.log10(F.col("c") + 1.0)
     met = met.groupBy("rid").agg(F.sum((F.col("c") > 0).cast("long")).alias("n_rare"), F.sum(log).alias("log_rare"), F.sum(log - F.log10("room")).alias("share"))
 
-    out = encoded.drop("symbols", "rare").join(sequence_scores(encoded, model), "rid").join(met, "rid", "left").fillna(0)
+    out = encoded.drop("symbols", "rare").join(sequence_scores(encoded, model), "rid").join(met, "rid", "left").fillna(0, ["n_rare", "log_rare", "share"])
     base = F.col("log_known") + F.col("log_rare") - F.col("n_tokens") * F.lit(float(np.log10(total + types + 1)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("n_rare")).alias("n_known"),

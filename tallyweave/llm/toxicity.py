@@ -7,7 +7,7 @@ document the graded tokens are offending, elsewhere none is. Every document is t
 marginals of all its tokens give its score, and tokens likelier offending than not give offsets.
 
 Defined cases: a null or empty text has no tokens and gets the score of no evidence; without labels of both kinds
-every score is 0.5 at most and nothing offends; repeated labels of a document count once, as toxic if any is; equal
+nothing is known to offend and every score is low; repeated labels of a document count once, as toxic if any is; equal
 rows give equal rows; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -63,7 +63,7 @@ class Field:
 
     @classmethod
     def blank(cls, grades: dict[str, int]) -> Field:
-        return cls(grades, *[np.zeros(LEVELS) for _ in range(3)], np.zeros((2, 2)), np.zeros(2), np.zeros(4))
+        return cls(grades, *[np.zeros(LEVELS) for _ in range(3)], np.zeros((2, 2)), np.zeros(2), np.array([-4.0, 0, 0, 0]))
 
     def potentials(self) -> np.ndarray:
         """exp of the weight of state 1 for every feature; 1 past the end."""
