@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialize
 
 #: Digits, letters and everything beyond ASCII.
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,12 +62,14 @@ def license_spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
     key stands for the row's id and content, so equal rows share their places.
     """
     spark = docs.sparkSession
-    keyed = docs.select(row_key().alias("key"), F.posexplode(grams(words_of(F.col("text")))).alias("p", "gram"))
+    # the words in a projection of their own: they are used several times and found once
+    worded = docs.select(row_key().alias("key"), words_of(F.col("text")).alias("_words"))
+    keyed = worded.select("key", F.posexplode(grams(F.col("_words"))).alias("p", "gram"))
     hashed = keyed.withColumn("hash", F.xxhash64("gram"))
     hits = hashed.join(F.broadcast(template_grams(spark, phrases, notices)), "hash").filter(F.col("gram") == F.col("words"))
     # one row for each hit, whatever the copies of its row
     facts = ["key", "template", "label", "base", "positions"]
-    hits = hits.groupBy(*facts, "p", "q").agg(F.lit(1).alias("_"))
+    hits = materialize(hits.select(*facts, "p", "q").distinct())
     votes = hits.groupBy(*facts, (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.collect_list("q").alias("qs"), F.min("p").alias("low"), F.max("p").alias("high"))
 
     exact = votes.filter(F.col("base") & (F.col("votes") == F.col("positions")))
