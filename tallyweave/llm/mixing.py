@@ -156,7 +156,9 @@ def mix_sources(
     room = F.greatest(F.lit(0), F.col("blocks") * epochs - F.col("start"))
     plan = plan.withColumn("count", F.least(F.col("each") + F.col("more"), room)).filter("count > 0")
     plan = plan.select("rank", "source", "shard", "start", "count", "blocks")
-    plan = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / CHUNK)))).repartition("rank", "shard", "chunk")
+    plan = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / CHUNK))))
+    # a number of partitions, so that AQE does not put these few rows, each of which makes CHUNK slots, into one task
+    plan = plan.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "shard", "chunk")
     slots = plan.withColumn("i", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("count"), (F.col("chunk") + 1) * CHUNK) - 1)))
     nth = F.col("start") + F.col("i")
     epoch = F.floor(nth / F.col("blocks"))
