@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import blocked, matrix, merged, sharded, usable
+from .vectors import blocked, matrix, merged, sharded, spread, usable
 
 #: Links of a node (twice as many on the ground layer), breadth of the search while building and asking, rows a shard.
 LINKS, BUILD, ASK, SHARD_ROWS = 12, 60, 80, 2048
@@ -158,9 +158,9 @@ def _build_shard(rows: pa.Table) -> pa.Table:
     return pa.table({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()})
 
 
-def build_index(rows: DataFrame) -> DataFrame:
+def build_index(rows: DataFrame, shards: int) -> DataFrame:
     """One row per shard and length of rows (shard, dim, id, vector): the graph as flat arrays."""
-    return materialize(rows.groupBy("shard", "dim").applyInArrow(_build_shard, INDEX))
+    return materialize(spread(rows, shards, "shard", "dim").groupBy("shard", "dim").applyInArrow(_build_shard, INDEX))
 
 
 def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray]:
@@ -197,6 +197,7 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int, brea
     asked, blocks = blocked(queries, shards)
     kept = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ("shard", "block", "dim")
+    kept, asked = (spread(x, shards * blocks, *keys) for x in (kept, asked))
     found = kept.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(ask, "query_id long, vec_id long, score double")
     return merged(found, k, best_first=False)
 
@@ -204,7 +205,7 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int, brea
 def nearest_neighbours(vectors: DataFrame, k: int, query_step: int, id_column: str = "vec_id", column: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k nearest found for every row whose id is divisible by query_step, against all rows of vectors."""
     rows, shards = sharded(usable(vectors, id_column, column, zero=False), shard_rows)
-    index = build_index(rows)
+    index = build_index(rows, shards)
     queries = rows.drop("shard").filter(F.col("id") % query_step == 0).dropDuplicates(["id"])
     return search_index(index, shards, queries, k)
 

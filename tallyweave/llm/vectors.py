@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 2048
+#: Partitions that the groups of a search are dealt to, at most.
+MOST_TASKS = 10_000
 
 
 def usable(vectors: DataFrame, id_column: str, column: str, zero: bool) -> DataFrame:
@@ -38,6 +40,12 @@ def blocked(queries: DataFrame, shards: int) -> tuple[DataFrame, int]:
     return queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), blocks
 
 
+def spread(rows: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """rows dealt by keys to a number of partitions, four for each group, so that AQE does not put these few rows, each
+    of which is much work, into one task. A partition without rows costs nothing."""
+    return rows.repartition(min(4 * groups, MOST_TASKS), *keys)
+
+
 def matrix(rows: pa.Table, column: str = "vector") -> np.ndarray:
     values = rows.column(column).combine_chunks()
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
