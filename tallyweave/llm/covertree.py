@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import blocked, matrix, merged, sharded, usable
+from .vectors import blocked, matrix, merged, sharded, spread, usable
 
 #: Points of a leaf, points whose products are taken at once, and rows of a shard.
 LEAF, TAKEN, SHARD_ROWS = 64, 256, 4096
@@ -191,5 +191,6 @@ def top_inner_products(vectors: DataFrame, k: int, query_step: int, scale: int =
     asked, blocks = blocked(queries, shards)
     distinct = rows.dropDuplicates(["id"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ("shard", "block", "dim")
+    distinct, asked = (spread(x, shards * blocks, *keys) for x in (distinct, asked))
     found = distinct.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
     return merged(found, k, best_first=True)
