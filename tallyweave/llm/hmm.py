@@ -86,12 +86,11 @@ class Model:
             here = forward[t] * back
             here /= here @ ones + np.float32(1e-30)
             if t:
-                told = shown[t] * back
-                both = forward[t - 1][:, :, None] * told[:, None, :] * move
-                both /= both.sum((1, 2), keepdims=True) + np.float32(1e-30)
-                moves += both[windows[:, t] >= 0].sum(0)
-                back = told @ move.T
-                back /= back @ ones + np.float32(1e-30)
+                told, before = shown[t] * back, forward[t - 1]
+                reach = told @ move.T
+                weight = (windows[:, t, None] >= 0) / ((before * reach) @ ones + np.float32(1e-30))
+                moves += move * ((before * weight).T @ told)
+                back = reach / (reach @ ones + np.float32(1e-30))
             forward[t] = here
         flat, weight = windows.T.ravel(), forward.reshape(-1, k)
         real = flat >= 0
