@@ -34,8 +34,9 @@ from .hmm import split_words
 
 BANDS, BAND, BITS = 24, 4, 4
 HASHES = BANDS * BAND
-#: Estimated similarity from which a pair is confirmed, words remembered by a task, and rows of a bucket's block.
-FLOOR, REMEMBERED, BLOCK = 0.64, 200_000, 512
+#: Estimated similarity from which a pair is confirmed, words remembered by a task, rows of a bucket's block, and tasks
+#: that share a hub's neighbours.
+FLOOR, REMEMBERED, BLOCK, SALTS = 0.64, 200_000, 512, 8
 
 _odd = np.random.default_rng(20).integers(0, 1 << 32, (2, HASHES), np.uint32)
 TIMES, PLUS = _odd[0] | np.uint32(1), _odd[1]
@@ -312,8 +313,10 @@ def components(edges: DataFrame) -> DataFrame:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = facts
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # a hub's neighbours are dealt to SALTS tasks, and what they meet there is repeated as often
+        salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = both.filter("v > u").withColumn("salt", salt).join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -323,10 +326,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that can be reached) and kept (whether that is its own)."""
     sketches = materialize(sketch(docs, shingle))
-    first = sketches.filter("content is not null").groupBy("content").agg(F.min("doc_id").alias("least"))
-    one = (F.col("content") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))
-    nodes = sketches.join(first.withColumnRenamed("content", "of"), one).dropDuplicates(["content"])
-    nodes = materialize(nodes.select("content", "doc_id", F.col("n_shingles").alias("n"), "signature", "bands"))
+    # equal sets have equal signatures and bands, so any of them stands for its copies
+    nodes = sketches.filter("content is not null").groupBy("content").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
+    )
+    nodes = materialize(nodes)
     members = materialize(buckets(nodes))
 
     tried = materialize(proposals(members, similarity))
@@ -344,8 +348,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         more = materialize(joining_links(held, similarity))
         found = materialize(components(links.unionByName(more)))
 
-    of_node = first.join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
-    least = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
+    # a set without copies and links keeps its own id; groups are joined as written tables, so that hot ones are split
+    of_node = nodes.select("content", "copies", F.col("doc_id").alias("least")).join(found.withColumnRenamed("node", "content"), "content", "left")
+    of_node = materialize(of_node.filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "content")))
+    least = materialize(of_node.groupBy("component").agg(F.min("least").alias("component_id")))
     of_node = of_node.join(least, "component").select("content", "component_id")
     out = sketches.select("doc_id", "n_shingles", "content").join(of_node, "content", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
