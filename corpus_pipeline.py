@@ -33,7 +33,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """The words that the mix takes of each document, as often as it takes them."""
     return mixing.mix_documents(docs)
 
 

@@ -195,12 +195,59 @@ def mixed_blocks(mix: Mix, docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mix takes them: a document of which it takes nothing goes, others come once for each whole time
-    (to the nearest, at least once) that their words are taken. The columns are those of docs."""
-    taken = taken_words(mix_sources(docs, **how)).filter("taken > 0")
-    copies = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int")
-    times = taken.groupBy("doc_id", "size").agg(F.sum(copies).alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    times = times.select(F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), F.greatest(F.lit(1), F.round(F.col("_times") / F.col("_rows"))).cast("int").alias("_copies"))
-    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    kept = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(times["_doc"]) & (size == times["_size"]))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """docs as the mix takes them, word for word; the columns are those of docs, with n_chars counted anew.
+
+    A document of which nothing is taken goes. One whose words are all taken equally often comes as many times,
+    unchanged. Any other comes as one row that holds just the words taken: its taken stretches in the order of the
+    text, each on a new line, then those taken a second time, and so on. So the words of the result are those of
+    the mix's slots. Rows of equal id, source and size are told apart by their texts."""
+    mix = mix_sources(docs, **how)
+    times = mix.slots.groupBy("rank", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    pieces = mix.pieces.join(times, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    piece = F.struct(F.col("first_word").cast("int").alias("first"), F.col("words").cast("int").alias("words"), "times")
+    rows = pieces.groupBy("rank", "run", "at", "doc_id", "source", "size").agg(
+        F.min("times").alias("_least"), F.max("times").alias("_most"), F.collect_list(F.when(F.col("times") > 0, piece)).alias("_pieces")
+    )
+    nth = F.row_number().over(Window.partitionBy("rank", "doc_id", "size").orderBy("at"))
+    rows = rows.withColumn("_nth", nth).filter("_most > 0")
+    rows = rows.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_nth", "_least", "_most", "_pieces")
+
+    facts = document_sizes(docs).columns
+    own = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")}
+    keyed = docs.withColumns({f"_of_{c}": own[c] for c in facts}).filter("_of_size > 0")
+    keyed = keyed.withColumn("_of_nth", F.row_number().over(Window.partitionBy(*[f"_of_{c}" for c in facts]).orderBy("text")))
+    same = F.col("_of_doc_id").eqNullSafe(F.col("_doc")) & F.col("_of_source").eqNullSafe(F.col("_source"))
+    kept = keyed.join(rows, same & (F.col("_of_size") == F.col("_size")) & (F.col("_of_nth") == F.col("_nth")))
+    even = F.col("_least") == F.col("_most")
+    new = F.when(even, F.col("text")).otherwise(_taken_text(F.col("text"), F.col("_pieces"), F.col("_most")))
+    kept = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(even, F.col("_most")).otherwise(1)))).withColumn("_new", new)
+    changed = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(even, F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+
+
+def _taken_text(text: Column, pieces: Column, most: Column) -> Column:
+    """The words of pieces (first, words, times) as text: in each turn from 1 to most the pieces taken as often,
+    neighbours joined as they stand in text."""
+    words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
+    ordered = F.array_sort(pieces)
+
+    def turn(words: Column, n: Column) -> Column:
+        taken = F.filter(ordered, lambda p: p["times"] >= n)
+        stretches = F.aggregate(
+            taken,
+            F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("parts")),
+            lambda done, p: F.struct(
+                (p["first"] + p["words"]).alias("end"),
+                F.concat(
+                    done["parts"],
+                    F.when((done["end"] >= 0) & (done["end"] != p["first"]), F.array(F.lit("\n"))).otherwise(F.array().cast("array<string>")),
+                    F.slice(words, p["first"] + 1, p["words"]),
+                ).alias("parts"),
+            ),
+        )
+        return F.rtrim(F.array_join(stretches["parts"], ""))
+
+    # words are cut once a text, as the one element of an array
+    return F.transform(F.array(words), lambda w: F.array_join(F.transform(F.sequence(F.lit(1), most), lambda n: turn(w, n)), "\n"))[0]

@@ -61,6 +61,32 @@ def test_mixing(spark, docs):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
 
 
+def test_mixed_documents_meet_the_targets(spark):
+    """Words by source of the emitted texts, for long documents, a hot source, and rows that share id, source and size."""
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, words(i, 150 + i * 37 % 500), "abc"[i % 3] if i % 2 else "c") for i in range(240)]
+    rows += [(7, words(1000, 200), "c"), (7, words(1001, 200), "c"), (None, words(1002, 200), None), (None, words(1003, 200), None), (8, None, "a"), (9, " \n", "a")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id bigint, text string, source string, n_chars bigint").repartition(3)
+    out = mixing.mix_documents(docs).collect()
+    plan = mixing.mix_sources(docs)
+    got, of_doc = Counter(), Counter()
+    for r in out:
+        got[r.source] += len(WORD.findall(r.text))
+        of_doc[r.doc_id, r.source] += len(WORD.findall(r.text))
+        assert r.n_chars == len(r.text)
+    for r in plan.sources.collect():
+        assert abs(got[r.source] - r.target) <= 0.03 * r.target + 128, (r.source, got[r.source], r.target)
+    # as the plan takes them: no word but the document's own, each at most twice, rows of one id not mixed up
+    planned = Counter()
+    for r in mixing.taken_words(plan).collect():
+        planned[r.doc_id] += r.taken
+    assert planned == Counter({i: sum(n for (j, _), n in of_doc.items() if j == i) for i in planned})
+    own = {(i, w): s for i, t, s in rows for w in WORD.findall(t or "")}
+    used = Counter((r.doc_id, w) for r in out for w in WORD.findall(r.text))
+    assert all(n <= 2 and k in own for k, n in used.items())
+    assert all(len({w.split("x")[0] for w in WORD.findall(r.text)}) == 1 for r in out)
+
+
 def test_mixing_is_a_permutation(spark):
     n = 1000
     got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit(5)).alias("p")).collect()
