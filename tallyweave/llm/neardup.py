@@ -114,7 +114,9 @@ SKETCH = "doc_id long, n_shingles long, content binary, signature binary, bands
 
 
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """One row per row of docs: the size of its set, a digest of the set (null if empty), signature and band keys."""
+    """One row per row of docs: the size of its set, a digest of the set (null if empty), signature and band keys, and
+    the mark of the row if docs have one."""
+    also = [c for c in docs.columns if c == "mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(shingle)
@@ -129,9 +131,10 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                     signature.append(sketcher.packed(least))
                     bands.append(sketcher.bands(least))
                 columns = [pa.array(n, pa.int64()), pa.array(content, pa.binary()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_shingles", "content", "signature", "bands"])
+                columns += [part.column(c) for c in also]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_shingles", "content", "signature", "bands", *also])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also).mapInArrow(run, SKETCH + "".join(f", {c} binary" for c in also))
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -323,8 +326,9 @@ def components(edges: DataFrame) -> DataFrame:
         stars = materialize(small.filter("u <> v").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that can be reached) and kept (whether that is its own)."""
+def groups(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(sketches, found): one row per row of docs, with its mark if docs have one; and content, component (a content)
+    and component_id (the least doc_id) of each set that has copies or links."""
     sketches = materialize(sketch(docs, shingle))
     # equal sets have equal signatures and bands, so any of them stands for its copies
     nodes = sketches.filter("content is not null").groupBy("content").agg(
@@ -352,13 +356,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     of_node = nodes.select("content", "copies", F.col("doc_id").alias("least")).join(found.withColumnRenamed("node", "content"), "content", "left")
     of_node = materialize(of_node.filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "content")))
     least = materialize(of_node.groupBy("component").agg(F.min("least").alias("component_id")))
-    of_node = of_node.join(least, "component").select("content", "component_id")
+    return sketches, of_node.join(least, "component").select("content", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that can be reached) and kept (whether that is its own)."""
+    sketches, of_node = groups(docs.select("doc_id", "text"), shingle, similarity)
+    of_node = of_node.select("content", "component_id")
     out = sketches.select("doc_id", "n_shingles", "content").join(of_node, "content", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each group, that of the least id; the columns are those of docs."""
-    gone = near_duplicates(docs, shingle, similarity).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti").select(*[docs[c] for c in docs.columns])
+    """docs with one row of each group, that of the least id (null last), then content, then text; the columns are
+    those of docs. Rows, not ids, are decided on: of rows that repeat an id and a text one stays at most, and rows
+    that share just the id are apart. Rows without words belong to no group and stay."""
+    names = docs.columns
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_mark": F.unhex(F.md5(F.col("text").cast("binary")))})
+    sketches, of_node = groups(keyed.select("doc_id", "text", F.col("_mark").alias("mark")), shingle, similarity)
+    # rows of equal id and text are one candidate; the least candidate of a component is kept
+    held = sketches.filter("content is not null").join(of_node.select("content", "component"), "content")
+    held = materialize(held.groupBy("component", "doc_id", "content", "mark").agg(F.count(F.lit(1)).alias("rows")))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content", "mark")
+    best = held.groupBy("component").agg(F.min(rank).alias("best"))
+    # a mark has one content, so a candidate that is dropped is the best of no other component
+    judged = held.join(best, "component").withColumn("kept", rank == F.col("best"))
+    judged = materialize(judged.filter("not kept or rows > 1").select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark"), "kept"))
+    same = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark"))
+    alone = keyed.join(judged, same, "left_anti").select(*names)
+    repeated = judged.filter("kept")
+    if repeated.isEmpty():
+        return alone
+    one = keyed.join(repeated, same, "left_semi").groupBy("_id", "_mark").agg(F.min(F.struct(*names)).alias("_row"))
+    return alone.unionByName(one.select(*[F.col("_row")[c].alias(c) for c in names]))

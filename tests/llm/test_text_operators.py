@@ -170,6 +170,35 @@ def test_near_duplicates(spark, docs):
         assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
+def test_one_row_of_each_near_duplicate_group_stays(spark, docs):
+    """Repeated rows, shared ids and null ids."""
+    extra = [(i, t, "en", "b", n, "x", 1, "s", "i", "h", "k", 0.5) for i, t, n in (
+        *[(70, "the same long row many times over", 1)] * 40, (None, "nobody owns this text at all", 2), (None, "nobody owns this text at all", 2),
+        (6, BASE.replace("word50 ", "thing "), 3), (5, BASE.replace("word60 ", "some "), 3), (5, "a clean text under a shared id", 3), (90, "a clean text under a shared id", 3),
+        (91, "the first of two with no least id", 4), (None, "the first of two with no least id", 4), (None, None, 5), (None, None, 5))]
+    rows = docs.unionByName(spark.createDataFrame(extra, SCHEMA)).repartition(5)
+    got = neardup.without_near_duplicates(rows)
+    assert got.columns == rows.columns
+    everything, sets = rows.collect(), []
+    for r in everything:
+        w = WORD.findall(low(r.text))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(sets)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                parent[find(i)] = find(j)
+    stay = {}
+    for i, r in enumerate(everything):
+        k = find(i) if sets[i] else ("no words", i)
+        if k not in stay or (r.doc_id is None, r.doc_id or 0) < (stay[k].doc_id is None, stay[k].doc_id or 0):
+            stay[k] = r
+    left = Counter((r.doc_id, r.text) for r in got.collect())
+    assert left == Counter((r.doc_id, r.text) for r in stay.values())
+    assert left[70, "the same long row many times over"] == left[6, "another text of six"] == left[5, "a clean text under a shared id"] == left[None, "nobody owns this text at all"] == 1
+
+
 def test_near_duplicate_groups_beyond_a_block(spark):
     """A chain and a star larger than a block, with members that only one other joins."""
     words = [f"t{i}" for i in range(120)]
