@@ -36,13 +36,22 @@ class Rule:
         return f"{self.kind}/{self.part}/{self.least}/{self.pattern}"
 
 
+#: A private key: the header, then all up to its END line unless another BEGIN or END comes first; without an END line,
+#: the header fields and base64 that follow (runs of 16 and more, or lines of nothing else), also where line ends are
+#: written as \\n. The loops are possessive, which Java runs without recursion.
+KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:(?:[\x20\x09-\x0D]|\\[nrt])++(?:(?:Proc-Type|DEK-Info):(?:(?!\\[nr])[^\r\n])*+"
+    r"|[A-Za-z0-9+/]{16,}+={0,2}+|(?<=[\r\n]|\\n)[A-Za-z0-9+/]++={0,2}+(?=[\x20\t]*+(?:[\r\n]|\\[nr]|\z))))*+)"
+)
 #: Kinds in the order that breaks ties; the first three are the base, the others the scanner's own.
 RULES = (
     Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("key", KEY),
 )
 SPAN = "array<struct<start:int,order:int,kind:string,end:int>>"
 

@@ -113,6 +113,32 @@ def test_secrets(spark, docs):
     assert clean[14] == "secret=a [secret] AKIAX" and clean[17] == TEXTS[17] and "hunter22" not in clean[13]
 
 
+def test_private_keys_are_masked_whole(spark):
+    body = [base64.b64encode(hashlib.sha512(bytes([i])).digest()).decode()[:64] for i in range(24)] + ["Qk9EWQ=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FFA1", ""]
+    texts, want = zip(
+        (f"a {begin}\n" + "\n".join(body) + f"\n{end} z", "a [secret] z"),
+        ("a\n" + "\r\n".join([begin, *fields, *body, end]) + "\nz", "a\n[secret]\nz"),
+        (f"a {begin} " + " ".join(body) + f" {end} z", "a [secret] z"),  # line ends made spaces
+        ('"' + "\\n".join([begin, *fields, *body, end]) + '" z', '"[secret]" z'),  # or written out
+        ("a\n" + "\n".join([begin, *fields, *body]), "a\n[secret]"),  # cut off
+        (begin + "\n" + "\n".join(body) + "\nplain words follow it", "[secret]\nplain words follow it"),
+        ('"' + "\\n".join([begin, *body]) + '\\nplain words"', '"[secret]\\nplain words"'),
+        ("\n".join([begin, *body[:3], begin, *body[3:], end]) + "\nz", "[secret]\n[secret]\nz"),  # the first has no end
+        ("-----BEGIN CERTIFICATE-----\nabc\n-----END CERTIFICATE----- b", "-----BEGIN CERTIFICATE-----\nabc\n-----END CERTIFICATE----- b"),
+        (f"{begin} is how a key starts", "[secret] is how a key starts"),
+        (begin + "\n" + "\n".join(body * 4000) + f"\n{end} z", "[secret] z"),  # long ones do not exhaust the stack
+        (begin + "\n" + "\n".join(body * 4000) + "\nz z", "[secret]\nz z"),
+        (begin + " - - x" * 100_000, "[secret]" + " - - x" * 100_000),
+    )
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in secretscan.redact_documents(docs).collect()}
+    for i, t in enumerate(want):
+        assert got[i] == t, (i, got[i][:300])
+    assert not any(line in got[i] for i in got for line in body)
+
+
 def test_licenses(spark, docs):
     rows = licenses.scan_documents(docs).collect()
     assert len(rows) == docs.count()
