@@ -1,17 +1,18 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Each distinct set of word shingles gets minima of many hash functions. Bands of full minima deal sets to buckets;
-beside them travels the packed signature of each minimum's low bits, whose agreeing places, corrected for chance
-collisions, estimate the similarity. A bucket proposes not all
-its pairs but the strongest spanning forest of those that may pass, and proposals are confirmed on the full sets.
+beside them travels the packed signature of each minimum's low bits, whose agreeing places tell which pairs may pass.
+A bucket proposes not all its pairs but the strongest spanning forest of those that may pass, and proposals are
+confirmed on the full sets.
 Every pair that may pass lies in one tree of some forest; where confirmed links leave a tree in several components,
 the documents between those are compared on their full sets within tasks, which give only links that join components.
 Equal sets are one node from the start.
 
 Large buckets and trees are cut into blocks that meet pairwise in different tasks, so none is ever held by one.
 
-With 24 bands of 4 a pair at the threshold meets with a probability of 1 - 2e-8, and the estimate's cut lies more than
-five standard errors below the threshold.
+The bands and the cut of agreeing places follow from the similarity asked for: a pair at the threshold meets in no
+band, or agrees in fewer places than the cut, with a probability of at most MISS each. The sum of both is 9.5e-9 at 0.85 (28 bands of 4, 73 of 112 places) and
+1.1e-8 at 0.8 (36 bands of 4, 88 of 144 places).
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; a text of fewer words than a shingle
 is one shingle; equal rows are copies; rows with equal id and different text are separate documents; an empty table
@@ -21,7 +22,10 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +36,12 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .hmm import split_words
 
-BANDS, BAND, BITS = 24, 4, 4
-HASHES = BANDS * BAND
-#: Estimated similarity from which a pair is confirmed, words remembered by a task, rows of a bucket's block, and tasks
-#: that share a hub's neighbours.
-FLOOR, REMEMBERED, BLOCK, SALTS = 0.64, 200_000, 512, 8
+#: Low bits of a minimum in the signature, and the probability with which the bands, and likewise the cut, may miss a
+#: pair at the threshold.
+BITS, MISS = 4, 1e-8
+#: Words remembered by a task, rows of a bucket's block, and tasks that share a hub's neighbours.
+REMEMBERED, BLOCK, SALTS = 200_000, 512, 8
 
-_odd = np.random.default_rng(20).integers(0, 1 << 32, (2, HASHES), np.uint32)
-TIMES, PLUS = _odd[0] | np.uint32(1), _odd[1]
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -48,11 +50,52 @@ def _mixed(h: np.ndarray, turn: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@dataclass(frozen=True)
+class Shape:
+    """bands of `band` minima each, and the agreeing places from which a pair is confirmed on its full sets."""
+
+    bands: int
+    band: int
+    least: int
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * self.band
+
+
+@cache
+def shape_of(similarity: float) -> Shape:
+    """The fewest bands, and for them the highest cut, that each miss a pair of this similarity with at most MISS."""
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity must be above 0 and at most 1")
+    band = 4 if similarity >= 0.75 else 3 if similarity >= 0.5 else 2 if similarity >= 0.25 else 1
+    unmet = -similarity**band
+    bands = 1 if unmet == -1 else math.ceil(math.log(MISS) / math.log1p(unmet))
+    while bands * band * BITS % 64:  # signatures are read as whole 64-bit words
+        bands += 1
+    least = 0
+    while least < bands * band and tail(bands * band, similarity, least + 1) <= MISS:
+        least += 1
+    return Shape(bands, band, least)
+
+
+def tail(hashes: int, similarity: float, least: int) -> float:
+    """The probability that a pair agrees in fewer than `least` places."""
+    agree = similarity + (1 - similarity) * 2.0**-BITS
+    return math.fsum(math.comb(hashes, i) * agree**i * (1 - agree) ** (hashes - i) for i in range(least))
+
+
+@cache
+def _odd(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    drawn = np.random.default_rng(20).integers(0, 1 << 32, (2, hashes), np.uint32)
+    return drawn[0] | np.uint32(1), drawn[1]
+
+
 class Sketcher:
     """Shingle sets and their minima; remembers the hashes of words it has met."""
 
-    def __init__(self, shingle: int):
-        self.shingle = shingle
+    def __init__(self, shingle: int, shape: Shape | None = None):
+        self.shingle, self.shape = shingle, shape
         self.words: dict[str, int] = {}
 
     def _hash(self, word: str) -> int:
@@ -74,12 +117,12 @@ class Sketcher:
             out = _mixed(out + h[i : len(h) - size + 1 + i], i)
         return np.unique(out)
 
-    @staticmethod
-    def minima(shingles: np.ndarray) -> np.ndarray:
+    def minima(self, shingles: np.ndarray) -> np.ndarray:
         low = _mixed(shingles, 1).astype(np.uint32)
-        least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+        times, plus = _odd(self.shape.hashes)
+        least = np.full(self.shape.hashes, 0xFFFFFFFF, np.uint32)
         for i in range(0, len(low), 1024):
-            np.minimum(least, (TIMES[:, None] * low[i : i + 1024] + PLUS[:, None]).min(1), out=least)
+            np.minimum(least, (times[:, None] * low[i : i + 1024] + plus[:, None]).min(1), out=least)
         return least
 
     @staticmethod
@@ -88,10 +131,9 @@ class Sketcher:
         low = (_mixed(minima.astype(np.uint64), 2) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
         return (low[::2] << BITS | low[1::2]).tobytes()
 
-    @staticmethod
-    def bands(minima: np.ndarray) -> np.ndarray:
-        keys = np.arange(BANDS, dtype=np.uint64)
-        for column in minima.reshape(BANDS, BAND).T:
+    def bands(self, minima: np.ndarray) -> np.ndarray:
+        keys = np.arange(self.shape.bands, dtype=np.uint64)
+        for column in minima.reshape(self.shape.bands, self.shape.band).T:
             keys = _mixed(keys + column, 0)
         return keys.view(np.int64)
 
@@ -101,25 +143,19 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a ^ b
     x |= x >> np.uint64(1)
     x |= x >> np.uint64(2)
-    return HASHES - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1).astype(np.int64)
-
-
-def estimate(agree: np.ndarray | int) -> np.ndarray | float:
-    """Similarity from agreeing places, corrected for low bits that agree by chance."""
-    chance = 2.0**-BITS
-    return (agree / HASHES - chance) / (1 - chance)
+    return 64 // BITS * x.shape[-1] - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1).astype(np.int64)
 
 
 SKETCH = "doc_id long, n_shingles long, content binary, signature binary, bands array<long>"
 
 
-def sketch(docs: DataFrame, shingle: int) -> DataFrame:
+def sketch(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """One row per row of docs: the size of its set, a digest of the set (null if empty), signature and band keys, and
     the mark of the row if docs have one."""
-    also = [c for c in docs.columns if c == "mark"]
+    also, shape = [c for c in docs.columns if c == "mark"], shape_of(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(shingle)
+        sketcher = Sketcher(shingle, shape)
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 n, content, signature, bands = [], [], [], []
@@ -181,7 +217,7 @@ def in_blocks(rows: DataFrame, key: str) -> DataFrame:
 
 
 def hopeful(group: dict[str, np.ndarray | list], similarity: float) -> np.ndarray:
-    """Agreeing places of those pairs of a group that may pass by set sizes and estimate; 0 for the others."""
+    """Agreeing places of those pairs of a group that may pass by set sizes and the cut; 0 for the others."""
     signature, n = group["signature"], group["n"]
     allowed = 100 * np.minimum(n[:, None], n) >= similarity * 100 * np.maximum(n[:, None], n)
     if group["across"][0]:
@@ -190,7 +226,7 @@ def hopeful(group: dict[str, np.ndarray | list], similarity: float) -> np.ndarra
     if not allowed.any():
         return np.zeros(allowed.shape, np.int64)
     agree = np.stack([agreeing(signature, row) for row in signature])
-    return np.where(allowed & (estimate(agree) >= FLOOR), agree, 0)
+    return np.where(allowed & (agree >= max(shape_of(similarity).least, 1)), agree, 0)
 
 
 def by_group(rows: DataFrame, pairs_of) -> DataFrame:
@@ -329,7 +365,7 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(sketches, found): one row per row of docs, with its mark if docs have one; and content, component (a content)
     and component_id (the least doc_id) of each set that has copies or links."""
-    sketches = materialize(sketch(docs, shingle))
+    sketches = materialize(sketch(docs, shingle, similarity))
     # equal sets have equal signatures and bands, so any of them stands for its copies
     nodes = sketches.filter("content is not null").groupBy("content").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")

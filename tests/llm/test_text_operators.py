@@ -225,6 +225,23 @@ def test_one_row_of_each_near_duplicate_group_stays(spark, docs):
     assert left[70, "the same long row many times over"] == left[6, "another text of six"] == left[5, "a clean text under a shared id"] == left[None, "nobody owns this text at all"] == 1
 
 
+def test_signatures_follow_the_similarity():
+    for similarity in (0.95, 0.85, 0.8, 0.7, 0.6, 0.5, 0.3, 0.1):
+        shape = neardup.shape_of(similarity)
+        agree, n = similarity + (1 - similarity) / 16, shape.bands * shape.band
+        below = sum(math.comb(n, i) * agree**i * (1 - agree) ** (n - i) for i in range(shape.least))
+        assert below <= 1e-8 and (1 - similarity**shape.band) ** shape.bands <= 1e-8
+
+
+def test_pairs_at_a_low_threshold_are_found(spark):
+    """Pairs of texts that share 60 of 100 words."""
+    words = lambda i, c, n: [f"{c}{i}x{j}" for j in range(n)]
+    pairs = [(words(i, "s", 60) + words(i, "a", 20), words(i, "s", 60) + words(i, "b", 20)) for i in range(60)]
+    rows = [(2 * i + k, " ".join(t)) for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, 0.6).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got) and len(got) == 120
+
+
 def test_near_duplicate_groups_beyond_a_block(spark):
     """A chain and a star larger than a block, with members that only one other joins."""
     words = [f"t{i}" for i in range(120)]
