@@ -3,8 +3,10 @@
 A bounded sample of labelled documents teaches three things: which tokens go with toxic documents (by a lower
 confidence limit of their log odds), a two-state chain over tokens whose features are the grades of a token and its
 neighbours, and how a document's marginals combine to a score. Token labels follow from the documents': in a toxic
-document the graded tokens are offending, elsewhere none is. Every document is then scored whole: forward-backward
-marginals of all its tokens give its score, and tokens likelier offending than not give offsets.
+document the graded tokens are offending, elsewhere none is. Every document is one chain, in fitting and in scoring:
+forward-backward marginals of all its tokens give its score, and tokens likelier offending than not give offsets.
+
+Tokens are runs of letters with A to Z lower-cased, so that offsets are those of the text itself.
 
 Defined cases: a null or empty text has no tokens and gets the score of no evidence; without labels of both kinds
 nothing is known to offend and every score is low; repeated labels of a document count once, as toxic if any is; equal
@@ -14,6 +16,7 @@ rows give equal rows; an empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -23,31 +26,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chains import Packed, alike
+
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled documents of each kind that the model is fitted on, at most; each is drawn by a hash of its id.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 4000
 #: Standard errors below the log odds, and the limits that part its grades; only graded tokens are kept.
-ERRORS, GRADES = 2.5, (0.3, 1.0, 2.0)
-WINDOW = 64
+ERRORS, GRADES = 2.0, (0.3, 1.0, 2.0)
 LEVELS = len(GRADES) + 1
-#: No neighbour beyond a document's ends: the grade of an ordinary token. The feature past a window's end:
-PAST = LEVELS**3
+#: Parts of the sample; a document meets the grades that the other parts gave, so that chance finds earn no weight.
+FOLDS = 4
+#: Tokens whose chains are walked together.
+TOGETHER = 1_000_000
 
 
 def features(grades: np.ndarray) -> np.ndarray:
-    """One number for each token from the grades of the one before it, itself and the one after it."""
+    """One number for each token from the grades of the one before it, itself and the one after it; beyond a
+    document's ends stand ordinary tokens. It is 0 where none of the three is graded."""
     before, after = np.zeros_like(grades), np.zeros_like(grades)
     before[1:], after[:-1] = grades[:-1], grades[1:]
     return (before.astype(np.int16) * LEVELS + grades) * LEVELS + after
 
 
-def windows_of(sequence: np.ndarray) -> np.ndarray:
-    rows = max(1, -(-len(sequence) // WINDOW))
-    out = np.full(rows * WINDOW, PAST, np.int16)
-    out[: len(sequence)] = sequence
-    return out.reshape(rows, WINDOW)
-
-
 @dataclass
 class Field:
     """grade of each kept token; weights of a token's, its left and its right neighbour's grade for state 1; the
@@ -63,53 +63,47 @@ class Field:
 
     @classmethod
     def blank(cls, grades: dict[str, int]) -> Field:
-        return cls(grades, *[np.zeros(LEVELS) for _ in range(3)], np.zeros((2, 2)), np.zeros(2), np.array([-4.0, 0, 0, 0]))
+        """A field in which offending tokens are rare everywhere."""
+        return cls(grades, *[np.zeros(LEVELS) for _ in range(3)], np.array([[0.0, -4.0], [0.0, -4.0]]), np.array([0.0, -4.0]), np.array([-4.0, 0, 0, 0]))
 
     def potentials(self) -> np.ndarray:
-        """exp of the weight of state 1 for every feature; 1 past the end."""
+        """exp of the weight of state 1 for every feature."""
         f = np.arange(LEVELS**3)
-        return np.append(np.exp(self.left[f // LEVELS**2] + self.own[f // LEVELS % LEVELS] + self.right[f % LEVELS]), 1.0)
-
-    def marginals(self, windows: np.ndarray, full: bool = False):
-        """Probability of state 1 at each place of each window (0 past its end); with full, also the expected number
-        of each transition, window by window."""
-        n, length = windows.shape
-        psi, move, start = self.potentials()[windows], np.exp(self.move), np.exp(self.start)
-        real = windows != PAST
-        ahead = np.empty((length, n, 2))
-        now = np.stack([np.full(n, start[0]), start[1] * psi[:, 0]], 1)
-        for t in range(length):
-            if t:
-                now = ahead[t - 1] @ move
-                now[:, 1] *= psi[:, t]
-            ahead[t] = now / now.sum(1, keepdims=True)
-        out, pairs, back = np.zeros((n, length)), np.zeros((n, 2, 2)), np.ones((n, 2))
-        for t in range(length - 1, -1, -1):
-            both = ahead[t] * back
-            out[:, t] = np.where(real[:, t], both[:, 1] / both.sum(1), 0)
-            told = back * np.stack([np.ones(n), psi[:, t]], 1)
-            if full and t:
-                joint = ahead[t - 1][:, :, None] * move * told[:, None, :]
-                pairs += np.where(real[:, t, None, None], joint / joint.sum((1, 2), keepdims=True), 0)
-            back = np.where(real[:, t, None], told @ move.T, 1.0)
-            back /= back.sum(1, keepdims=True)
-        return (out, pairs) if full else out
+        return np.exp(self.left[f // LEVELS**2] + self.own[f // LEVELS % LEVELS] + self.right[f % LEVELS])
+
+    def marginals(self, chains: Packed, weight: np.ndarray | None = None):
+        """Probability of state 1 at every token of chains, packed. With a weight for each chain (in their packed order)
+        also the weighted sum of the expected transitions."""
+        shown = np.ones((len(chains.values), 2))
+        shown[:, 1] = self.potentials()[chains.values]
+        move, start, steps = np.exp(self.move), np.exp(self.start), chains.steps()
+        ahead, told, pairs = np.empty_like(shown), np.empty_like(shown), np.zeros((2, 2))
+        for t, a, b in steps:
+            now = shown[a:b] * (start if t == 0 else ahead[last : last + b - a] @ move)
+            ahead[a:b] = now / (now[:, :1] + now[:, 1:])
+            last = a
+        back = np.ones((len(chains.order), 2))
+        for t, a, b in reversed(steps):
+            told[a:b] = back[: b - a]
+            here = shown[a:b] * back[: b - a]
+            if t and weight is not None:
+                before = ahead[chains.begin[t - 1] : chains.begin[t - 1] + b - a]
+                share = weight[: b - a] / np.einsum("ni,ij,nj->n", before, move, here)
+                pairs += move * ((before * share[:, None]).T @ here)
+            new = here @ move.T
+            back[: b - a] = new / (new[:, :1] + new[:, 1:])
+        both = ahead * told
+        out = both[:, 1] / both.sum(1)
+        return out if weight is None else (out, pairs)
 
     def of_documents(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """The marginals of every token of each sequence of features. Windows without a graded token differ only in
-        their length, so they are worked out once."""
-        if not sequences:
-            return []
-        cut = [windows_of(s) for s in sequences]
-        windows = np.concatenate(cut)
-        odd = ((windows > 0) & (windows < PAST)).any(1)
-        plain = np.zeros((WINDOW + 1, WINDOW), np.int16)
-        plain[np.arange(WINDOW) >= np.arange(WINDOW + 1)[:, None]] = PAST
-        p = self.marginals(plain)[(windows != PAST).sum(1)]
-        if odd.any():
-            p[odd] = self.marginals(windows[odd])
-        ends = np.cumsum([len(c) for c in cut])
-        return [p[end - len(c) : end].ravel()[: len(s)] for end, c, s in zip(ends, cut, sequences)]
+        """The marginals of every token of each sequence of features."""
+        out: list[np.ndarray] = [np.zeros(0)] * len(sequences)
+        for group in alike(sequences, TOGETHER):
+            chains = Packed([sequences[i] for i in group])
+            for i, p in zip(group, chains.unpacked(self.marginals(chains))):
+                out[i] = p
+        return out
 
     def evidence(self, p: np.ndarray) -> np.ndarray:
         """What a document's score looks at: its surest token, the expected offending tokens and their density."""
@@ -120,8 +114,31 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.document, -30, 30)))
 
 
+class Judge:
+    """Marginals and scores of texts. Documents without a graded token differ only in their length, so each length is
+    worked out once and remembered as its evidence; their tokens are all likelier not offending."""
+
+    def __init__(self, field: Field):
+        self.field, self.plain = field, {}
+
+    def judged(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray | None]]:
+        """The evidence of each sequence, and its marginals where it has a graded token."""
+        odd = [bool(s.any()) for s in sequences]
+        new = sorted({len(s) for s, o in zip(sequences, odd) if not o} - self.plain.keys())
+        marginals = self.field.of_documents([np.zeros(n, np.int16) for n in new] + [s for s, o in zip(sequences, odd) if o])
+        self.plain |= {n: self.field.evidence(p) for n, p in zip(new, marginals)}
+        rest = iter(marginals[len(new) :])
+        found = [next(rest) if o else None for o in odd]
+        return np.array([self.plain[len(s)] if p is None else self.field.evidence(p) for s, p in zip(sequences, found)]), found
+
+
+def lowered(text: str | None) -> str:
+    """text with A to Z lower-cased, character for character."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def tokens_of(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").lower())
+    return TOKEN.findall(lowered(text))
 
 
 def graded(tokens: list[str], grades: dict[str, int]) -> np.ndarray:
@@ -136,93 +153,124 @@ def labelled_sample(labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = C
     return parts[0].unionByName(parts[1])
 
 
-def token_grades(sample: DataFrame) -> tuple[dict[str, int], int, int]:
-    """Grades of the tokens of sample (text, toxic), and its toxic and clean documents. A token counts once a document,
-    and once for all documents where it stands between the same two others: those are copies of one passage."""
+def token_grades(sample: DataFrame) -> tuple[list[dict[str, int]], int, int]:
+    """Grades of the tokens of sample (text, toxic, fold), and its toxic and clean documents: for each fold those that
+    the other folds tell, and last those of all. A token counts once a document, and once for all documents where it
+    stands between the same two others: those are copies of one passage."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            met: set[tuple[str, int, int]] = set()
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            met: set[tuple[str, int, int, int]] = set()
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
                 tokens = ["", *tokens_of(text), ""]
                 first = dict(zip(reversed(tokens[1:-1]), range(len(tokens) - 2, 0, -1)))
-                met.update((w, toxic, crc32(f"{tokens[i - 1]} {tokens[i + 1]}".encode())) for w, i in first.items())
-            columns = zip(*met) if met else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()))], names=["word", "toxic", "context"])
+                met.update((w, toxic, crc32(f"{tokens[i - 1]} {tokens[i + 1]}".encode()), fold) for w, i in first.items())
+            columns = zip(*met) if met else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int32()))], names=["word", "toxic", "context", "fold"])
+
+    totals = {(r["toxic"], r["fold"]): r["count"] for r in sample.groupBy("toxic", "fold").count().collect()}
+    of = lambda toxic, without: sum(n for (t, f), n in totals.items() if t == toxic and f != without)
+    places = sample.select("text", "toxic", "fold").mapInArrow(count, "word string, toxic int, context long, fold int")
+    places = places.groupBy("word", "toxic", "context").agg(F.min("fold").alias("fold"))
+    seen = lambda toxic, without: F.count_if((F.col("toxic") == toxic) & (F.col("fold") != without))
+    counts = places.groupBy("word").agg(*[seen(t, f).alias(f"c{t}_{f}") for t in (0, 1) for f in range(FOLDS + 1)])
+
+    def low(without: int):
+        t, n = F.col(f"c1_{without}") + 0.5, F.col(f"c0_{without}") + 0.5
+        return F.log(t / (of(1, without) + 1.0)) - F.log(n / (of(0, without) + 1.0)) - ERRORS * F.sqrt(1 / t + 1 / n)
 
-    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
-    places = sample.select("text", "toxic").mapInArrow(count, "word string, toxic int, context long").distinct()
-    counts = places.groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("n"), F.sum("toxic").alias("t"))
-    odds = F.log((F.col("t") + 0.5) / (bad + 1.0)) - F.log((F.col("n") + 0.5) / (good + 1.0))
-    low = odds - ERRORS * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") + 0.5))
-    kept = counts.select("word", low.alias("low")).filter(F.col("low") >= GRADES[0])
-    return {r["word"]: int(np.searchsorted(GRADES, r["low"], "right")) for r in kept.collect()}, bad, good
+    lows = counts.select("word", *[low(f).alias(f"low{f}") for f in range(FOLDS + 1)])
+    kept = lows.filter(F.greatest(*[f"low{f}" for f in range(FOLDS + 1)]) >= GRADES[0]).collect()
+    grades = [{r["word"]: int(np.searchsorted(GRADES, r[f"low{f}"], "right")) for r in kept if r[f"low{f}"] >= GRADES[0]} for f in range(FOLDS + 1)]
+    return grades, of(1, FOLDS), of(0, FOLDS)
 
 
-def fit(docs: DataFrame, sample: DataFrame, rounds: int = 150) -> Field:
+def fit(docs: DataFrame, sample: DataFrame, rounds: int = 100) -> Field:
     """The model from the documents of sample (doc_id, toxic, weight), of bounded number; equal texts count once."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    chosen = chosen.groupBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("of")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"), F.max("weight").alias("weight")).cache()
+    chosen = chosen.groupBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("of")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"), F.max("weight").alias("weight"))
+    chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("of"), F.lit(FOLDS)).cast("int")).cache()
     grades, bad, good = token_grades(chosen)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short = [features(graded(tokens_of(t), grades)).tobytes() for t in batch.column("text").to_pylist()]
+            folds = batch.column("fold").to_pylist()
+            short = [features(graded(tokens_of(t), grades[f])).tobytes() for t, f in zip(batch.column("text").to_pylist(), folds)]
             yield pa.RecordBatch.from_arrays([pa.array(short, pa.binary()), batch.column("toxic"), batch.column("weight")], names=["features", "toxic", "weight"])
 
-    rows = chosen.select("text", "toxic", "weight").mapInArrow(shorten, "features binary, toxic int, weight double").collect()
+    rows = chosen.select("text", "toxic", "weight", "fold").mapInArrow(shorten, "features binary, toxic int, weight double").collect()
     chosen.unpersist()
-    field = Field.blank(grades)
+    field = Field.blank(grades[-1])
     if not (bad and good):
         return field
-    # documents in a fixed order, and equal windows of equal labels once
+    # documents in a fixed order; equal chains of equal labels, as those without graded tokens often are, once
     rows.sort(key=lambda r: (r["toxic"], bytes(r["features"])))
-    sequences = [np.frombuffer(bytes(r["features"]), np.int16) for r in rows]
-    cut = [windows_of(x) for x in sequences]
-    tagged = np.concatenate([np.concatenate([w, np.full((len(w), 1), r["toxic"], np.int16)], 1) for w, r in zip(cut, rows)])
-    unique, times = np.unique(tagged, axis=0, return_counts=True)
-    windows, real = unique[:, :-1], unique[:, :-1] != PAST
-    own = windows // LEVELS % LEVELS
-    state = real & (own > 0) & (unique[:, -1:] == 1)
-    _ascend(field, windows, real, state, times / times.sum(), rounds)
-
-    evidence = np.stack([field.evidence(p) for i in range(0, len(rows), 500) for p in field.of_documents(sequences[i : i + 500])])
-    toxic, weight = np.array([r["toxic"] for r in rows], float), np.array([r["weight"] for r in rows])
-    for _ in range(30):  # Newton steps of a logistic regression with a small penalty
-        p = field.score(evidence)
-        slope = evidence.T @ (weight * (toxic - p)) - 0.5 * field.document
-        bend = (evidence * (weight * p * (1 - p))[:, None]).T @ evidence + 0.5 * np.eye(4)
-        field.document = field.document + np.linalg.solve(bend, slope)
+    times = Counter((r["toxic"], bytes(r["features"])) for r in rows)
+    unique = [(np.frombuffer(x, np.int16), t, n) for (t, x), n in times.items() if x]
+    if unique:
+        _ascend(field, Packed([x for x, _, _ in unique]), np.array([t for _, t, _ in unique]), np.array([n for _, _, n in unique], float), rounds)
+    evidence, _ = Judge(field).judged([np.frombuffer(bytes(r["features"]), np.int16) for r in rows])
+    field.document = logistic(evidence, np.array([r["toxic"] for r in rows], float), np.array([r["weight"] for r in rows]))
     return field
 
 
-def _ascend(field: Field, windows: np.ndarray, real: np.ndarray, state: np.ndarray, weight: np.ndarray, rounds: int) -> None:
-    """Gradient ascent (with adapted steps) on the penalised log likelihood of the windows' states."""
-    parts = [windows // LEVELS**2, windows // LEVELS % LEVELS, windows % LEVELS]
-    flat = [np.where(real, x, 0).ravel() for x in parts]
-    names = ("left", "own", "right", "move", "start")
-
-    def gather(p: np.ndarray, pairs: np.ndarray) -> list[np.ndarray]:
-        mass = (p * weight[:, None]).ravel()
-        sums = [np.bincount(x, mass, LEVELS) for x in flat]
-        return [*sums, (pairs * weight[:, None, None]).sum(0), np.array([((1 - p[:, 0]) * weight).sum(), (p[:, 0] * weight).sum()])]
-
-    y = state.astype(float)
-    told = np.zeros((len(windows), 2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            told[:, a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & real[:, 1:]).sum(1)
-    want = gather(y, told)
-    first, second = [np.zeros_like(w) for w in want], [np.zeros_like(w) for w in want]
+def logistic(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray, penalty: float = 0.5) -> np.ndarray:
+    """Weights of a penalised logistic regression (evidence has a column of ones first). Columns are standardised, and
+    each Newton step is halved until the penalised log likelihood rises, so nearly separable evidence cannot diverge."""
+    centre, spread = evidence[:, 1:].mean(0), evidence[:, 1:].std(0)
+    spread[spread < 1e-9] = 1.0
+    x = np.concatenate([evidence[:, :1], (evidence[:, 1:] - centre) / spread], 1)
+
+    def likelihood(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (toxic * z - np.logaddexp(0, z))).sum() - penalty / 2 * (w**2).sum())
+
+    w = np.zeros(x.shape[1])
+    now = likelihood(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (toxic - p)) - penalty * w
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
+        step = np.linalg.solve(bend, slope)
+        while (new := likelihood(w + step)) < now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if new <= now + 1e-9:
+            break
+        w, now = w + step, new
+    raw = np.append(w[0] - (w[1:] * centre / spread).sum(), w[1:] / spread)
+    return raw
+
+
+def _ascend(field: Field, chains: Packed, toxic: np.ndarray, times: np.ndarray, rounds: int) -> None:
+    """Gradient ascent (with adapted steps) on the penalised log likelihood of the states of whole chains: in toxic
+    ones the graded tokens are offending."""
+    values, weight = chains.values, times[chains.order] / times.sum()
+    row = np.empty(len(values), np.int64)
+    row[chains.place] = chains.row
+    mass = weight[row]
+    parts = {"left": values // LEVELS**2, "own": values // LEVELS % LEVELS, "right": values % LEVELS}
+    state = (parts["own"] > 0) & (toxic[chains.order][row] == 1)
+    first_tokens = chains.active[0] if len(chains.active) else 0
+
+    def gather(p: np.ndarray, pairs: np.ndarray) -> dict[str, np.ndarray]:
+        sums = {name: np.bincount(x, p * mass, LEVELS) for name, x in parts.items()}
+        starts = (p[:first_tokens] * mass[:first_tokens]).sum()
+        return sums | {"move": pairs, "start": np.array([mass[:first_tokens].sum() - starts, starts])}
+
+    seen = np.zeros((2, 2))
+    for t, a, b in chains.steps()[1:]:
+        before = state[chains.begin[t - 1] : chains.begin[t - 1] + b - a]
+        seen += np.bincount(2 * before + state[a:b], mass[a:b], 4).reshape(2, 2)
+    want = gather(state.astype(float), seen)
+    first, second = ({k: np.zeros_like(v) for k, v in want.items()} for _ in range(2))
     for turn in range(1, rounds + 1):
-        have = gather(*field.marginals(windows, full=True))
-        for i, name in enumerate(names):
+        have = gather(*field.marginals(chains, weight))
+        for name in want:
             value = getattr(field, name)
-            slope = want[i] - have[i] - 1e-4 * value
-            first[i] = 0.9 * first[i] + 0.1 * slope
-            second[i] = 0.99 * second[i] + 0.01 * slope**2
-            setattr(field, name, value + 0.2 * (first[i] / (1 - 0.9**turn)) / (np.sqrt(second[i] / (1 - 0.99**turn)) + 1e-8))
+            slope = want[name] - have[name] - 1e-4 * value
+            first[name] = 0.9 * first[name] + 0.1 * slope
+            second[name] = 0.99 * second[name] + 0.01 * slope**2
+            setattr(field, name, value + 0.2 * (first[name] / (1 - 0.9**turn)) / (np.sqrt(second[name] / (1 - 0.99**turn)) + 1e-8))
 
 
 SCORED = "score double, spans array<struct<start:int,end:int,probability:double>>"
@@ -237,17 +285,16 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(field)
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                scores, spans = [], []
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                marginals = field.of_documents([features(graded(tokens_of(t), field.grades)) for t in texts])
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                texts = [lowered(t) for t in part.column("text").to_pylist()]
+                evidence, marginals = judge.judged([features(graded(TOKEN.findall(t), field.grades)) for t in texts])
+                spans = []
                 for text, p in zip(texts, marginals):
-                    scores.append(float(field.score(field.evidence(p))))
-                    hit = {int(i) for i in np.flatnonzero(p >= 0.5)}
-                    found = [(m.start(), m.end(), float(p[i])) for i, m in enumerate(TOKEN.finditer(text.lower())) if i in hit] if hit else []
-                    spans.append([dict(zip(("start", "end", "probability"), s)) for s in found])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(spans, spans_type)], names=[*part.schema.names, "score", "spans"])
+                    hit = set(np.flatnonzero(p >= 0.5).tolist()) if p is not None else set()
+                    spans.append([{"start": m.start(), "end": m.end(), "probability": float(p[i])} for i, m in enumerate(TOKEN.finditer(text)) if i in hit] if hit else [])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(field.score(evidence), pa.float64()), pa.array(spans, spans_type)], names=[*part.schema.names, "score", "spans"])
 
     return plain.mapInArrow(run, schema)
 
