@@ -1,8 +1,14 @@
 """Mixing sources to target weights.
 
-Documents are cut into blocks of a fixed number of words, each output shard draws how many blocks it takes from
-each source, and a pseudorandom permutation of a source's block numbers says which. Slots and blocks then meet in a
-join by block number, so no source is ever sorted, collected or held by one task.
+Documents are cut into blocks of a fixed number of words. The slots of all output shards are dealt to the sources by
+one pseudorandom permutation of the slots, in which each source owns a stretch as long as its need: so each shard's
+source counts are the multinomial draw of its slots under the condition that all shards together meet the targets
+(drawn one after the other without replacement). A slot's place in its source's stretch then goes through that source's
+own permutation of block numbers, and slots and blocks meet in a join by block number. No source is ever sorted,
+collected or held by one task.
+
+Facts of sources are one row each (some 100 bytes) and are ranked and summed up in one task: meant for up to some
+millions of sources.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own and comes
 last; rows with equal source, id and size are interchangeable and keep one result row each; an empty table gives an
@@ -20,15 +26,16 @@ from .common import WORD, materialize
 
 #: Documents packed into one run of blocks, and runs summed together in one step of the block numbering.
 RUN_DOCS, RUN_GROUP = 128, 1024
-#: Slots written by one row of the shard plan.
+#: Slots of an output shard that one row of the plan writes.
 CHUNK = 4096
-#: Cells of the grid that finds a draw's source, and steps of the walk that keeps a permutation inside its range.
+#: Cells of the grid that finds a slot's source, at least, and steps of the walk that keeps a permutation inside its range.
 CELLS, WALK = 1024, 16
 
 
 @dataclass
 class Mix:
-    """pieces: the part of each document in each block; slots: the block in each slot of each output shard."""
+    """pieces: the part of each document in each block; slots: the source and block in each slot i of each output
+    shard, in the shard's order."""
 
     sizes: DataFrame
     sources: DataFrame
@@ -82,7 +89,9 @@ def permuted(position: Column, n: Column, key: Column) -> Column:
             y = (y + F.pmod(F.xxhash64(x, key, F.lit(-turn)), b)) % b
         return x * b + y
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(position), lambda v, _: F.when(v < n, v).otherwise(step(v)))
+    found = step(position)
+    walked = F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), found, lambda v, _: F.when(v < n, v).otherwise(step(v)))
+    return F.when(found < n, found).otherwise(walked)
 
 
 def _earlier(window, value: str) -> Column:
@@ -95,13 +104,13 @@ def mix_sources(
     share: float = 1.5,
     epochs: int = 2,
     block_words: int = 64,
-    shard_slots: int = 1 << 18,
+    shard_slots: int = 1 << 16,
     seed: int = 42,
 ) -> Mix:
     """Plan the mix of docs (doc_id, source, text) as blocks of block_words words in shards of shard_slots slots.
 
-    A shard takes the whole part of each source's expected count and draws the rest from the multinomial of the
-    fractional parts, so its counts have the multinomial's mean and the least spread. The same seed gives the same mix.
+    A source's need is its target in blocks, rounded, and at most epochs times its blocks. The same seed gives the same
+    mix.
     """
     sizes = materialize(document_sizes(docs))
     sources = materialize(source_targets(sizes, weights, share, epochs))
@@ -131,48 +140,38 @@ def mix_sources(
 
     stock = runs.groupBy("rank").agg(F.sum("blocks").alias("blocks"))
     asked = sources.join(stock, "rank").withColumn("expected", F.col("target") * F.col("blocks") / F.col("source_size"))
-    whole = Window.partitionBy()
-    asked = asked.withColumn("shards", F.greatest(F.ceil(F.sum("expected").over(whole) / shard_slots), F.lit(1)).cast("long"))
-    asked = asked.withColumn("each", F.floor(F.col("expected") / F.col("shards"))).withColumn("part", F.col("expected") / F.col("shards") - F.col("each"))
-    parts = F.sum("part").over(whole)
-    high = F.sum("part").over(Window.orderBy("rank"))
-    asked = materialize(asked.withColumn("parts", parts).withColumn("high", high).withColumn("low", high - F.col("part")))
-
-    # the drawn part of each shard: a uniform number for each slot falls in one source's stretch of [0, parts)
-    upto = lambda j: F.floor(j * F.col("parts") + 0.5)
-    draws = asked.groupBy().agg(F.max("shards").alias("shards"), F.max("parts").alias("parts")).filter("shards > 0")
-    draws = draws.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    draws = draws.withColumn("n", upto(F.col("shard") + 1) - upto(F.col("shard"))).filter("n > 0")
-    draws = draws.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    uniform = F.pmod(F.xxhash64("shard", "draw", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    draws = draws.withColumn("u", uniform * F.col("parts")).withColumn("cell", F.floor(F.col("u") / F.col("parts") * CELLS))
-    cell = lambda c: F.floor(F.col(c) / F.col("parts") * CELLS)
-    reach = asked.filter("part > 0").select("rank", "low", "high", F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
-    drawn = draws.join(reach, "cell").filter("u >= low and u < high").groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("more"))
-
-    plan = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).join(drawn, ["rank", "shard"], "left")
-    plan = plan.withColumn("more", F.coalesce("more", F.lit(0)))
-    plan = plan.withColumn("start", F.col("shard") * F.col("each") + _earlier(Window.partitionBy("rank").orderBy("shard"), "more"))
-    room = F.greatest(F.lit(0), F.col("blocks") * epochs - F.col("start"))
-    plan = plan.withColumn("count", F.least(F.col("each") + F.col("more"), room)).filter("count > 0")
-    plan = plan.select("rank", "source", "shard", "start", "count", "blocks")
-    plan = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / CHUNK))))
+    asked = asked.withColumn("need", F.least(F.round("expected").cast("long"), F.col("blocks") * epochs)).filter("need > 0")
+    high = F.sum("need").over(Window.orderBy("rank")).cast("long")
+    asked = materialize(asked.select("rank", "source", "blocks", "need", high.alias("high"), (high - F.col("need")).alias("low")))
+    total, found = asked.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count(F.lit(1))).first()
+
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a number of partitions, so that AQE does not put these few rows, each of which makes CHUNK slots, into one task
-    plan = plan.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "shard", "chunk")
-    slots = plan.withColumn("i", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("count"), (F.col("chunk") + 1) * CHUNK) - 1)))
-    nth = F.col("start") + F.col("i")
-    epoch = F.floor(nth / F.col("blocks"))
+    plan = spark.range(0, -(-total // CHUNK), 1, min(parts, max(1, -(-total // CHUNK)))).withColumnRenamed("id", "chunk")
+    slots = plan.select(F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.lit(total), (F.col("chunk") + 1) * CHUNK) - 1)).alias("slot"))
+    slots = slots.withColumn("at", permuted(F.col("slot"), F.lit(total).cast("long"), F.lit(seed).cast("long")))
+    cells = max(CELLS, 4 * found)
+    cell = lambda c: F.floor(F.col(c) * F.lit(cells) / F.lit(max(total, 1)))
+    stretches = asked.withColumn("last", F.col("high") - 1).withColumn("cell", F.explode(F.sequence(cell("low"), cell("last")))).drop("last")
+    slots = slots.withColumn("cell", cell("at")).join(stretches, "cell").filter("at >= low and at < high")
+    nth = F.col("at") - F.col("low")
+    slots = slots.select("rank", "source", "slot", "blocks", nth.alias("nth"), F.floor(nth / F.col("blocks")).alias("epoch"))
     slots = slots.select(
-        "rank", "shard", "i", epoch.alias("epoch"),
-        permuted(nth % F.col("blocks"), F.col("blocks"), F.xxhash64("rank", epoch, F.lit(seed))).alias("block"),
+        F.floor(F.col("slot") / shard_slots).alias("shard"), (F.col("slot") % shard_slots).alias("i"), "rank", "source", "epoch",
+        permuted(F.col("nth") % F.col("blocks"), F.col("blocks"), F.xxhash64("rank", "epoch", F.lit(seed))).alias("block"),
     )
     return Mix(sizes, sources, pieces, slots)
 
 
+def _times(mix: Mix) -> DataFrame:
+    """How often each block is taken; as many rows as blocks taken, so never broadcast."""
+    return mix.slots.groupBy("rank", "block").agg(F.count(F.lit(1)).cast("int").alias("times")).hint("merge")
+
+
 def taken_words(mix: Mix) -> DataFrame:
     """One row per document: how many of its words the mix takes, repeats counted, and its source's size and target."""
-    times = mix.slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
-    of_doc = mix.pieces.join(times, ["rank", "block"], "left").groupBy("rank", "run", "at", "doc_id", "size")
+    of_doc = mix.pieces.join(_times(mix), ["rank", "block"], "left").groupBy("rank", "run", "at", "doc_id", "size")
     taken = of_doc.agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     facts = mix.sources.select("rank", "source_size", "target")
     taken = taken.join(facts, "rank").select("doc_id", "size", "source_size", "target", "taken")
@@ -181,17 +180,31 @@ def taken_words(mix: Mix) -> DataFrame:
     return taken.unionByName(empty.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
 
 
+def _by_row(mix: Mix, docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """placed (rank, source, run, at, doc_id, size and more) with `row`, the row of docs that stands there. Rows of
+    equal id, source and size are told apart by their texts."""
+    nth = F.row_number().over(Window.partitionBy("rank", "doc_id", "size").orderBy("run", "at"))
+    placed = placed.withColumn("nth", nth)
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("of_doc"), F.col("source").cast("string").alias("of_source"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("of_size"), F.col("text").alias("of_text"), F.struct(*docs.columns).alias("row"),
+    ).filter("of_size > 0")
+    rows = rows.withColumn("of_nth", F.row_number().over(Window.partitionBy("of_doc", "of_source", "of_size").orderBy("of_text"))).drop("of_text")
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size")) & (F.col("nth") == F.col("of_nth"))
+    return rows.join(placed, same).drop("of_doc", "of_source", "of_size", "of_nth")
+
+
 def mixed_blocks(mix: Mix, docs: DataFrame) -> DataFrame:
-    """The mix itself: one row per slot with its shard, source and words, in the shard's pseudorandom order."""
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("of"), F.regexp_extract_all("text", F.lit(WORD), 0).alias("all"))
-    words = words.withColumn("size", F.size("all").cast("long")).filter("size > 0").dropDuplicates(["doc_id", "of", "size"])
-    same = mix.pieces["doc_id"].eqNullSafe(words["doc_id"]) & mix.pieces["source"].eqNullSafe(words["of"]) & (mix.pieces["size"] == words["size"])
-    parts = mix.pieces.join(words.drop("of"), same).select(
-        "rank", "source", "block", "run", "at", F.slice("all", (F.col("first_word") + 1).cast("int"), F.col("words").cast("int")).alias("part")
-    )
-    blocks = parts.groupBy("rank", "source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"])).alias("words"))
-    out = mix.slots.join(blocks, ["rank", "block"])
-    return out.select("shard", F.xxhash64("rank", "i", "shard").alias("position"), "source", "epoch", "block", "words")
+    """The mix itself: one row per slot with its shard, position, source, epoch, block and words. A block has the fixed
+    number of words, but for the last of each run of documents, which has what is left."""
+    piece = F.struct("block", F.col("first_word").cast("int").alias("first_word"), F.col("words").cast("int").alias("words"))
+    placed = mix.pieces.groupBy("rank", "run", "at", "doc_id", "source", "size").agg(F.collect_list(piece).alias("pieces"))
+    rows = _by_row(mix, docs, placed).withColumn("all", F.regexp_extract_all(F.col("row")["text"], F.lit(WORD), 0))
+    parts = rows.select("rank", "run", "at", "all", F.explode("pieces").alias("p"))
+    parts = parts.select("rank", F.col("p.block").alias("block"), "at", F.slice("all", F.col("p.first_word") + 1, F.col("p.words")).alias("part"))
+    blocks = parts.groupBy("rank", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"])).alias("words"))
+    out = mix.slots.join(blocks.hint("merge"), ["rank", "block"])
+    return out.select("shard", F.col("i").alias("position"), "source", "epoch", "block", "words")
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
@@ -202,29 +215,19 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     text, each on a new line, then those taken a second time, and so on. So the words of the result are those of
     the mix's slots. Rows of equal id, source and size are told apart by their texts."""
     mix = mix_sources(docs, **how)
-    times = mix.slots.groupBy("rank", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    pieces = mix.pieces.join(times, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    pieces = mix.pieces.join(_times(mix), ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     piece = F.struct(F.col("first_word").cast("int").alias("first"), F.col("words").cast("int").alias("words"), "times")
-    rows = pieces.groupBy("rank", "run", "at", "doc_id", "source", "size").agg(
-        F.min("times").alias("_least"), F.max("times").alias("_most"), F.collect_list(F.when(F.col("times") > 0, piece)).alias("_pieces")
+    placed = pieces.groupBy("rank", "run", "at", "doc_id", "source", "size").agg(
+        F.min("times").alias("least"), F.max("times").alias("most"), F.collect_list(F.when(F.col("times") > 0, piece)).alias("pieces")
     )
-    nth = F.row_number().over(Window.partitionBy("rank", "doc_id", "size").orderBy("at"))
-    rows = rows.withColumn("_nth", nth).filter("_most > 0")
-    rows = rows.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_nth", "_least", "_most", "_pieces")
-
-    facts = document_sizes(docs).columns
-    own = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")}
-    keyed = docs.withColumns({f"_of_{c}": own[c] for c in facts}).filter("_of_size > 0")
-    keyed = keyed.withColumn("_of_nth", F.row_number().over(Window.partitionBy(*[f"_of_{c}" for c in facts]).orderBy("text")))
-    same = F.col("_of_doc_id").eqNullSafe(F.col("_doc")) & F.col("_of_source").eqNullSafe(F.col("_source"))
-    kept = keyed.join(rows, same & (F.col("_of_size") == F.col("_size")) & (F.col("_of_nth") == F.col("_nth")))
-    even = F.col("_least") == F.col("_most")
-    new = F.when(even, F.col("text")).otherwise(_taken_text(F.col("text"), F.col("_pieces"), F.col("_most")))
-    kept = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(even, F.col("_most")).otherwise(1)))).withColumn("_new", new)
-    changed = {"text": F.col("_new")}
+    kept = _by_row(mix, docs, placed).filter("most > 0")
+    even, text = F.col("least") == F.col("most"), F.col("row")["text"]
+    new = F.when(even, text).otherwise(_taken_text(text, F.col("pieces"), F.col("most")))
+    kept = kept.select("row", even.alias("even"), new.alias("new"), F.explode(F.sequence(F.lit(1), F.when(even, F.col("most")).otherwise(1))).alias("copy"))
+    own = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(even, F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
-    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+        own["n_chars"] = F.when(F.col("even"), own["n_chars"]).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def _taken_text(text: Column, pieces: Column, most: Column) -> Column:

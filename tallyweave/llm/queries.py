@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, covertree, hmm, hnsw, licenses, mixing, neardup, secretscan, toxicity, urlfilter
-from .common import remainder, table
+from .common import remainder, shared_dir, table
 
 #: The production rules of op3: (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -43,12 +45,17 @@ def op6_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secretscan.scan_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Two scans into one ledger, as versions come in: first half of the documents, then all of them, of which only the
+    blobs that the first scan has not met are read for secrets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_dir(spark)}/ledgers/{uuid.uuid4().hex}"
+    secretscan.scan_into(docs.filter(remainder(F.col("doc_id"), 2) == 0), path)
+    found = secretscan.scan_into(docs, path)
     kinds = [r.kind for r in secretscan.RULES if r.base]
-    base = F.filter("_spans", lambda s: s["kind"].isin(kinds))
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
     return found.select(
-        "doc_id", *[secretscan.count_kind(F.col("_spans"), k).alias(f"n_{k}") for k in kinds],
-        F.sha2(secretscan.spans_text(base).cast("binary"), 256).alias("base_sha256"), secretscan.spans_text(F.col("_spans")).alias("spans"),
+        "row.doc_id", *[secretscan.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in kinds],
+        F.sha2(secretscan.spans_text(base).cast("binary"), 256).alias("base_sha256"), secretscan.spans_text(F.col("spans")).alias("spans"),
     )
 
 

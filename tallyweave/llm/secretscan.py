@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,7 @@ RULES = (
     Rule("key", KEY),
 )
 SPAN = "array<struct<start:int,order:int,kind:string,end:int>>"
+LEDGER = f"blob string, rule_version string, spans {SPAN}"
 
 
 def matches(text: Column, rule: Rule, order: int) -> Column:
@@ -100,15 +102,33 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger): each row of versions with its blob and spans (all rules, by start, then rule order), and
-    the ledger with the new pairs, to be kept for the next scan."""
+    """(findings, ledger): each row of versions as `row`, with its blob and spans (all rules, by start, then rule
+    order), and the ledger with the new pairs, to be kept for the next scan."""
     fresh = materialize(scan_unseen(versions, ledger, rules))
     full = fresh if ledger is None else ledger.unionByName(fresh)
-    hits = full.filter(F.col("rule_version").isin([r.version for r in rules]) & (F.size("spans") > 0))
-    hits = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"))
-    keyed = versions.withColumn("_blob", blob_of(F.col("text")))
-    found = keyed.join(hits.withColumnRenamed("blob", "_of"), F.col("_blob") == F.col("_of"), "left").drop("_of")
-    return found.withColumn("_spans", F.coalesce("_spans", F.array().cast(SPAN))), full
+    return findings(versions, full, rules), full
+
+
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Each row of versions as `row`, with its blob and the spans that ledger holds of it."""
+    hits = ledger.filter(F.col("rule_version").isin([r.version for r in rules]) & (F.size("spans") > 0))
+    hits = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = versions.select(F.struct(*versions.columns).alias("row"), blob_of(F.col("text")).alias("blob")).join(hits, "blob", "left")
+    return found.select("row", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+def scan_into(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The findings of versions by the ledger kept under path, to which the pairs it lacks are scanned and added. A scan
+    that is stopped adds nothing or all of its pairs, and one that is repeated finds nothing left to scan."""
+    spark = versions.sparkSession
+    try:
+        held = spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = None
+    scan_unseen(versions, held, rules).write.mode("append").option("compression", "zstd").parquet(path)
+    return findings(versions, spark.read.schema(LEDGER).parquet(path), rules)
 
 
 def spans_text(spans: Column) -> Column:
@@ -139,6 +159,8 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with every finding replaced and n_chars counted anew; the columns are those of docs."""
     found, _ = scan_versions(docs)
-    new = redacted(F.col("text"), F.col("_spans"))
-    changed = {"text": new} | ({"n_chars": F.when(F.size("_spans") > 0, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    new = redacted(F.col("row")["text"], F.col("spans"))
+    own = {c: F.col("row")[c] for c in docs.columns} | {"text": new}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.size("spans") > 0, F.length(new)).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[own[c].alias(c) for c in docs.columns])

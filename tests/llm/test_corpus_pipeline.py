@@ -16,7 +16,7 @@ def test_stages_keep_what_they_should(spark):
     field = toxicity.fit(docs, toxicity.labelled_sample(corpus_pipeline.table(spark, sf, "labels")))
     assert ids[0] - ids[1] == {r.doc_id for r in toxicity.score_documents(docs, field).filter("score >= 0.3").collect()}
     assert ids[1] - ids[2] == {r.doc_id for r in neardup.near_duplicates(frames[1]).filter("not kept").collect()}
-    assert ids[2] == ids[3] and secretscan.scan_versions(frames[3])[0].filter("size(_spans) > 0").count() == 0
+    assert ids[2] == ids[3] and secretscan.scan_versions(frames[3])[0].filter("size(spans) > 0").count() == 0
     taken = {r.doc_id for r in mixing.taken_words(mixing.mix_sources(frames[3])).filter("taken > 0").collect()}
     assert ids[4] == taken == ids[5] and frames[4].count() == frames[5].count() >= len(taken)
     import public_tokenizers

@@ -67,7 +67,10 @@ def test_mixed_documents_meet_the_targets(spark):
     rows = [(i, words(i, 150 + i * 37 % 500), "abc"[i % 3] if i % 2 else "c") for i in range(240)]
     rows += [(7, words(1000, 200), "c"), (7, words(1001, 200), "c"), (None, words(1002, 200), None), (None, words(1003, 200), None), (8, None, "a"), (9, " \n", "a")]
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id bigint, text string, source string, n_chars bigint").repartition(3)
-    out = mixing.mix_documents(docs).collect()
+    docs = docs.withColumns({c: F.lit(1) for c in ("_copy", "row", "size", "nth", "rank", "times", "pieces", "of_doc")})
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    out = mixed.collect()
     plan = mixing.mix_sources(docs)
     got, of_doc = Counter(), Counter()
     for r in out:
@@ -87,6 +90,35 @@ def test_mixed_documents_meet_the_targets(spark):
     assert all(len({w.split("x")[0] for w in WORD.findall(r.text)}) == 1 for r in out)
 
 
+def test_blocks_and_shards_of_the_mix(spark):
+    """The blocks themselves: full blocks of the documents' own words, targets met, and counts that vary by shard."""
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i % 300, words(i, 40 + i * 31 % 90), "abcd"[i % 4] if i % 3 else "a") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    mix = mixing.mix_sources(docs, block_words=8, shard_slots=256)
+    out = mixing.mixed_blocks(mix, docs).collect()
+    slots = mix.slots.collect()
+    assert len(out) == len(slots) == len({(r.shard, r.i) for r in slots})
+    assert sum(len(r.words) == 8 for r in out) >= 0.97 * len(out) and all(0 < len(r.words) <= 8 for r in out)
+    own = {w for _, t, _ in rows for w in t.split()}
+    of = {w: s for _, t, s in rows for w in t.split()}
+    assert all(w in own and of[w] == r.source for r in out for w in r.words)
+    used = Counter(w for r in out for w in r.words)
+    assert max(used.values()) <= 2
+    got, shards = Counter(), {}
+    for r in out:
+        got[r.source] += len(r.words)
+        shards.setdefault(r.shard, Counter())[r.source] += 1
+    for r in mix.sources.collect():
+        assert abs(got[r.source] - r.target) <= 0.02 * r.target + 16
+    # each full shard's counts are a draw: their spread is that of a multinomial, not none and not far more
+    full = [c for s, c in shards.items() if sum(c.values()) == 256]
+    assert len(full) >= 15
+    p = sum(r.source == "a" for r in slots) / len(slots)
+    spread = sum((c["a"] - 256 * p) ** 2 for c in full) / len(full)
+    assert 0.3 < spread / (256 * p * (1 - p)) < 2.5
+
+
 def test_mixing_is_a_permutation(spark):
     n = 1000
     got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit(5)).alias("p")).collect()
@@ -96,23 +128,44 @@ def test_mixing_is_a_permutation(spark):
 def test_secrets(spark, docs):
     assign = re.compile(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
     found, ledger = secretscan.scan_versions(docs)
-    rows = found.select("text", "_spans", secretscan.spans_text(F.filter("_spans", lambda s: s["kind"].isin("assign", "access", "hex"))).alias("base")).collect()
+    rows = found.select("row.text", "spans", secretscan.spans_text(F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))).alias("base")).collect()
     assert len(rows) == docs.count() and sum(bool(r.base) for r in rows) == 4
     for r in rows:
         t = r.text or ""
         want = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
         want += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
         assert r.base == ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(want))
-    assert any(s.kind == "jwt" for r in rows for s in r._spans)
+    assert any(s.kind == "jwt" for r in rows for s in r.spans)
     # nothing is scanned twice, and a new rule is scanned alone
     ledger = ledger.cache()
     assert secretscan.scan_unseen(docs, ledger).count() == 0
     rule = secretscan.Rule("word", "idiot")
     assert secretscan.scan_unseen(docs, ledger, (*secretscan.RULES, rule)).count() == docs.select(secretscan.blob_of(F.col("text"))).distinct().count()
-    clean = {r.doc_id: r.text for r in secretscan.redact_documents(docs).collect()}
+    odd = docs.select("*", F.lit(1).alias("_spans"), F.lit("b").alias("_blob"), F.lit(2).alias("row"), F.lit(3).alias("blob"))
+    redacted = secretscan.redact_documents(odd)
+    assert redacted.columns == odd.columns and {(r._spans, r._blob, r.row, r.blob) for r in redacted.collect()} == {(1, "b", 2, 3)}
+    clean = {r.doc_id: r.text for r in redacted.collect()}
     assert clean[14] == "secret=a [secret] AKIAX" and clean[17] == TEXTS[17] and "hunter22" not in clean[13]
 
 
+def test_a_kept_ledger_is_added_to(spark, docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    some = docs.filter("doc_id < 15")
+    read = lambda: spark.read.schema(secretscan.LEDGER).parquet(path)
+    blobs = lambda frame: {r[0] for r in frame.select(secretscan.blob_of(F.col("text"))).distinct().collect()}
+    secretscan.scan_into(some, path)
+    first = {(r.blob, r.rule_version) for r in read().collect()}
+    assert {b for b, _ in first} == blobs(some) and len(first) == len(blobs(some)) * len(secretscan.RULES)
+    # the second scan is due just the blobs that are new, and adds them once
+    assert {r.blob for r in secretscan.scan_unseen(docs, read()).collect()} == blobs(docs) - blobs(some)
+    found = secretscan.scan_into(docs, path).select("row.doc_id", "row.text", "spans").collect()
+    assert read().count() == len(blobs(docs)) * len(secretscan.RULES)
+    secretscan.scan_into(docs, path)
+    assert read().count() == len(blobs(docs)) * len(secretscan.RULES)
+    want, _ = secretscan.scan_versions(docs)
+    assert sorted(map(str, found)) == sorted(str(r) for r in want.select("row.doc_id", "row.text", "spans").collect())
+
+
 def test_private_keys_are_masked_whole(spark):
     body = [base64.b64encode(hashlib.sha512(bytes([i])).digest()).decode()[:64] for i in range(24)] + ["Qk9EWQ=="]
     begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
