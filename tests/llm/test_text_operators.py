@@ -210,6 +210,30 @@ def test_licenses(spark, docs):
     assert {r.doc_id: r.labels for r in rows}[17] == "mit,mit-notice"
 
 
+def test_license_spans_are_verified(spark):
+    """Repeated notices, torn ones, words added or left out, and pieces in the wrong order."""
+    gpl, asf = "this work is licensed under the gnu general public license version 3", "you may not use this file except in compliance with the license"
+    cases = [
+        ("all rights " * 6 + "all rights reserved", [("all-rights-reserved", 12, 15)]),
+        ("All rights reserved. " * 3, [("all-rights-reserved", 3 * i, 3 * i + 3) for i in range(3)]),
+        ("x " + asf + " y", [("apache-text", 1, 13)]),
+        (asf.replace("use this", "use all of this"), [("apache-text", 0, 14)]),
+        (asf.replace("use this", "use any or all of this"), []),
+        (asf.replace("the license", "the said license"), [("apache-text", 0, 11)]),
+        (f"{gpl} {gpl}", [("gpl-3.0", 0, 12), ("gpl-3.0", 12, 24)]),
+        ("version 3 license public general gnu the under licensed is work this", []),
+        ("general public license version 3 under the gnu is licensed under this work is", []),
+        ("reserved rights all", []),
+        ("all rights " * 3000 + "reserved", [("all-rights-reserved", 5998, 6001)]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    got = {}
+    for r in licenses.license_spans(docs).filter("not base").collect():
+        got.setdefault(int(r.key.split(":")[0]), []).append((r.label, r.start, r.end))
+    for i, (text, want) in enumerate(cases):
+        assert sorted(got.get(i, [])) == want, (text[:80], got.get(i))
+
+
 def test_bpe_round_trip(spark, docs):
     import public_tokenizers as P
     import tiktoken
