@@ -4,7 +4,8 @@ Rows are dealt to shards by a hash of their id; each shard's task builds a hiera
 its distinct vectors and stores it as flat neighbour arrays in the shared folder. Queries, in blocks, visit every
 shard, and Spark merges the shards' results. Scores are computed from the original vectors in double precision.
 
-Equal vectors are one node with all its ids, so no number of copies breaks a graph or hides an id.
+Equal vectors are one node with all its ids, so no number of copies breaks a graph or hides an id. An id names one
+vector: of rows that repeat it with different vectors the least counts.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; fewer
 candidates than k are all returned; ties go to the smaller id; an empty table gives an empty result; other columns
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import blocked, matrix, merged, sharded, spread, usable
+from .vectors import blocked, for_each, matrix, merged, sharded, spread, usable
 
 #: Links of a node (twice as many on the ground layer), breadth of the search while building and asking, rows a shard.
-LINKS, BUILD, ASK, SHARD_ROWS = 12, 60, 80, 2048
+LINKS, BUILD, ASK, SHARD_ROWS = 12, 60, 100, 8192
 
 
 class Graph:
@@ -194,18 +195,17 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int, brea
                         column.append(value)
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    asked, blocks = blocked(queries, shards)
-    kept = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked, blocks = blocked(queries)
     keys = ("shard", "block", "dim")
-    kept, asked = (spread(x, shards * blocks, *keys) for x in (kept, asked))
+    kept, asked = (spread(x, shards * blocks, *keys) for x in (for_each(index, "block", blocks), for_each(asked, "shard", shards)))
     found = kept.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(ask, "query_id long, vec_id long, score double")
     return merged(found, k, best_first=False)
 
 
 def nearest_neighbours(vectors: DataFrame, k: int, query_step: int, id_column: str = "vec_id", column: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k nearest found for every row whose id is divisible by query_step, against all rows of vectors."""
-    rows, shards = sharded(usable(vectors, id_column, column, zero=False), shard_rows)
+    rows, shards = sharded(materialize(usable(vectors, id_column, column, zero=False)), shard_rows)
     index = build_index(rows, shards)
-    queries = rows.drop("shard").filter(F.col("id") % query_step == 0).dropDuplicates(["id"])
+    queries = rows.drop("shard").filter(F.col("id") % query_step == 0)
     return search_index(index, shards, queries, k)
 

@@ -1,7 +1,8 @@
 """What the two vector searches share: usable rows, shards, blocks of queries, and merging shard results.
 
-A vector's id names it: rows that repeat an id with the same vector count once. Vectors of different lengths are never
-compared; each length has shards of its own.
+An id names one vector: of rows that repeat an id with several usable vectors the least counts, component by component
+(a vector that begins another comes first). Vectors of different lengths are never compared; each length has shards of
+its own.
 """
 
 from __future__ import annotations
@@ -11,20 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 4096
 #: Partitions that the groups of a search are dealt to, at most.
 MOST_TASKS = 10_000
 
 
 def usable(vectors: DataFrame, id_column: str, column: str, zero: bool) -> DataFrame:
-    """Rows (id, vector of doubles, dim) whose vector is neither null nor holds null or non-finite components, nor is
+    """One row (id, vector of doubles, dim) for each id whose vector is neither null nor holds null or non-finite components, nor is
     all zero where zero is False."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("vector"))
     good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & good)
     if not zero:
         rows = rows.filter(F.exists("vector", lambda x: x != 0))
-    return rows.withColumn("dim", F.size("vector"))
+    return rows.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
 
 
 def sharded(rows: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
@@ -33,11 +34,15 @@ def sharded(rows: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
     return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), shards
 
 
-def blocked(queries: DataFrame, shards: int) -> tuple[DataFrame, int]:
-    """queries once for each shard, with the number of their block, and how many blocks there are."""
+def blocked(queries: DataFrame) -> tuple[DataFrame, int]:
+    """queries with the number of their block, and how many blocks there are."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
-    return queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), blocks
+    return queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")), blocks
+
+
+def for_each(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """rows once for each number from 0 to n - 1."""
+    return rows.withColumn(column, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
 def spread(rows: DataFrame, groups: int, *keys: str) -> DataFrame:
@@ -54,5 +59,5 @@ def matrix(rows: pa.Table, column: str = "vector") -> np.ndarray:
 def merged(found: DataFrame, k: int, best_first: bool) -> DataFrame:
     """The k best of each query over all shards, with ranks; ties go to the smaller id."""
     order = F.col("score").desc() if best_first else F.col("score").asc()
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -54,3 +54,48 @@ def test_few_and_large_vectors(spark):
     assert len(rows) == 4 and rows[(20, 1)] == (0, (1 << 63) - 1) and rows[(20, 2)] == (21, 64 * 32 - 128 * 16)
     assert hnsw.nearest_neighbours(frame, 10, 20).count() == 4
     assert hnsw.nearest_neighbours(frame.filter("false"), 10, 20).count() == 0 and covertree.top_inner_products(frame.filter("false"), 20, 20).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Of an id's different vectors the least counts, and no neighbour is lost to the others."""
+    random = np.random.default_rng(1)
+    rows = [(i, random.normal(size=4).tolist()) for i in [*range(12), *[1] * 6, 0, 20, 20, 20]]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    kept = {i: np.array(min(v for j, v in rows if j == i)) for i, _ in rows}
+    near = hnsw.nearest_neighbours(frame, k=10, query_step=20).collect()
+    high = covertree.top_inner_products(frame, k=20, query_step=20).collect()
+    for q in (0, 20):
+        d = sorted((float(np.sqrt(((kept[q] - v) ** 2).sum())), i) for i, v in kept.items() if i != q)
+        assert [(r.score, r.vec_id) for r in sorted(near, key=lambda r: r["rank"]) if r.query_id == q] == d[:10]
+        s = sorted((-int(np.floor(64 * kept[q]) @ np.floor(64 * v)), i) for i, v in kept.items() if i != q)
+        assert [(-r.score, r.vec_id) for r in sorted(high, key=lambda r: r["rank"]) if r.query_id == q] == s
+
+
+def test_products_of_large_vectors(spark):
+    """Whole numbers up to 64 bits, against Python's integers, in trees of several levels."""
+    random = np.random.default_rng(2)
+    scale = 2.0 ** random.integers(0, 56, (700, 1))
+    x = np.floor(random.normal(size=(700, 8)) * scale)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(3)
+    got = covertree.top_inner_products(frame, k=20, query_step=20, scale=1, shard_rows=300).collect()
+    whole = [[max(-(1 << 63), min((1 << 63) - 1, int(v))) for v in row] for row in x]
+    hold = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    for q in range(0, 700, 20):
+        want = sorted((-hold(sum(a * b for a, b in zip(whole[q], w))), i) for i, w in enumerate(whole) if i != q)[:20]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+def test_recall_over_several_shards(spark):
+    """The given vectors in several shards of some thousand rows."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in frame.collect() if r.embedding is not None]
+    x, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
+    got: dict[int, set[int]] = {}
+    for r in hnsw.nearest_neighbours(frame, k=10, query_step=100, shard_rows=700).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for q in ids[ids % 100 == 0]:
+        d = ((x - x[ids == q][0]) ** 2).sum(1)
+        want = [i for i in ids[np.lexsort((ids, d))] if i != q][:10]
+        recall.append(len(got[int(q)] & set(map(int, want))) / len(want))
+    assert np.mean(recall) >= 0.9
