@@ -2,9 +2,10 @@
 
 The most frequent words are symbols of their own and all others fall into a fixed number of classes by hash; the
 model is a Markov chain of latent states that emit symbols, and a word of a class is emitted with its add-one share of
-the class. Baum-Welch passes run over every training document: each task adds up expected counts, Spark sums them by
-symbol, and the driver turns the sums (a table of fixed size) into the next model. A document's likelihood is exact:
-a forward recursion over its whole sequence, scaled at each step, and the class shares of its rare words.
+the class. Baum-Welch passes run over every training document, each one chain from its first token to its end: tasks
+add up expected counts, Spark sums them by symbol, and the driver turns the sums (a table of fixed size) into the next
+model. A document's likelihood is exact: a forward recursion over its whole sequence, scaled at each step, and the
+class shares of its rare words.
 
 Defined cases: a null or empty text is the end token alone; without training documents every word is unknown and the
 states emit symbols evenly; equal rows give equal rows; an empty table gives an empty result; other columns are
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chains import Packed, alike
 from .common import WORD, ascii_lower, materialize
 
 #: Frequent words, classes of rare ones, and latent states.
 WORDS, CLASSES, STATES, PASSES = 24_000, 1_000, 6, 4
-#: Tokens of a training window, and tokens gathered before numpy works on them.
-WINDOW, GATHERED = 64, 1_000_000
+#: Tokens gathered in a task before numpy works on them, and tokens of chains of similar length walked together.
+GATHERED, TOGETHER = 4_000_000, 500_000
 #: Strength of the symbol frequencies that smooth each state's emissions, and how often a state stays at first.
 SMOOTH, STAY = 20.0, 0.9
 #: What str.split also takes for white space.
@@ -66,53 +68,41 @@ class Model:
         emit = emit + SMOOTH * len(prior) ** 0.5 * prior[:, None]
         return Model(self.frequency, (start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(1, keepdims=True), emit / emit.sum(0))
 
-    def expected(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of windows (n x T symbols, -1 past the end) by the scaled forward-backward recursion."""
-        n, length = windows.shape
-        k = len(self.start)
-        emit, move = self.emit.astype(np.float32), self.move.astype(np.float32)
-        forward, shown = np.empty((length, n, k), np.float32), np.empty((length, n, k), np.float32)
-        ones = np.ones((k, 1), np.float32)
-        ahead = np.broadcast_to(self.start.astype(np.float32), (n, k))
-        for t in range(length):
-            symbol = windows[:, t]
-            shown[t] = np.where(symbol[:, None] >= 0, emit[symbol], np.float32(1))
-            now = ahead * shown[t]
-            now /= now @ ones + np.float32(1e-30)
-            forward[t] = now
-            ahead = now @ move
-        moves, back = np.zeros((k, k)), np.ones((n, k), np.float32)
-        for t in range(length - 1, -1, -1):
-            here = forward[t] * back
-            here /= here @ ones + np.float32(1e-30)
+    def expected(self, chains: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts, moves and emissions over chains, by the scaled forward-backward recursion."""
+        k, symbols, steps = len(self.start), chains.values, chains.steps()
+        emit, move, ones = self.emit.astype(np.float32), self.move.astype(np.float32), np.ones((len(self.start), 1), np.float32)
+        shown, start, tiny = emit[symbols], self.start.astype(np.float32), np.float32(1e-30)
+        forward = np.empty_like(shown)
+        for t, a, b in steps:
+            now = shown[a:b] * (forward[last : last + b - a] @ move if t else start)
+            now /= now @ ones + tiny
+            forward[a:b] = now
+            last = a
+        moves, back = np.zeros((k, k)), np.ones((len(chains.order), k), np.float32)
+        for t, a, b in reversed(steps):
+            told = shown[a:b] * back[: b - a]
+            here = forward[a:b] * back[: b - a]
+            forward[a:b] = here / (here @ ones + tiny)
             if t:
-                told, before = shown[t] * back, forward[t - 1]
+                before = forward[chains.begin[t - 1] : chains.begin[t - 1] + b - a]
                 reach = told @ move.T
-                weight = (windows[:, t, None] >= 0) / ((before * reach) @ ones + np.float32(1e-30))
-                moves += move * ((before * weight).T @ told)
-                back = reach / (reach @ ones + np.float32(1e-30))
-            forward[t] = here
-        flat, weight = windows.T.ravel(), forward.reshape(-1, k)
-        real = flat >= 0
-        flat, weight = flat[real], weight[real]
-        emitted = np.stack([np.bincount(flat, weight[:, j], len(self.frequency)) for j in range(k)], 1)
-        return forward[0].sum(0, dtype=np.float64), moves, emitted
+                moves += move * ((before / ((before * reach) @ ones + tiny)).T @ told)
+                back[: b - a] = reach / (reach @ ones + tiny)
+        emitted = np.stack([np.bincount(symbols, forward[:, j], len(self.frequency)) for j in range(k)], 1)
+        return forward[: len(chains.order)].sum(0, dtype=np.float64), moves, emitted
 
     def log10_likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Of each whole sequence: the logarithms of the forward recursion's scales, added up."""
-        order = np.argsort([-len(s) for s in sequences], kind="stable")
-        lengths = np.array([len(sequences[i]) for i in order])
-        at = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        flat = np.concatenate([sequences[i] for i in order])
-        total, now = np.zeros(len(order)), np.broadcast_to(self.start, (len(order), len(self.start)))
-        for t in range(lengths[0]):
-            n = int(np.searchsorted(-lengths, -t, "left"))  # those longer than t
-            now = now[:n] * self.emit[flat[at[:n] + t]]
+        chains = Packed(sequences)
+        total, now = np.zeros(len(sequences)), np.broadcast_to(self.start, (len(sequences), len(self.start)))
+        for _, a, b in chains.steps():
+            now = now[: b - a] * self.emit[chains.values[a:b]]
             scale = now.sum(1)
-            total[:n] += np.log10(scale)
+            total[: b - a] += np.log10(scale)
             now = (now / scale[:, None]) @ self.move
-        out = np.empty(len(order))
-        out[order] = total
+        out = np.empty(len(sequences))
+        out[chains.order] = total
         return out
 
 
@@ -152,18 +142,23 @@ def encode_symbols(docs: DataFrame, frequent: list[tuple[str, int]], end_count:
     return docs.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held_out", "text").mapInArrow(run, ENCODED)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], at_most: int = GATHERED) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Row ids and sequences of similar length, about TOGETHER tokens at a time."""
+
+    def grouped() -> Iterator[tuple[list, list[np.ndarray]]]:
+        for group in alike(sequences, TOGETHER):
+            yield [ids[i] for i in group], [sequences[i] for i in group]
+
     ids, sequences, n = [], [], 0
     for batch in batches:
         for rid, raw in zip(batch.column("rid").to_pylist(), batch.column("symbols").to_pylist()):
             ids.append(rid)
             sequences.append(np.frombuffer(raw, np.uint16))
             n += len(sequences[-1])
-            if n >= at_most:
-                yield ids, sequences
+            if n >= GATHERED:
+                yield from grouped()
                 ids, sequences, n = [], [], 0
-    if ids:
-        yield ids, sequences
+    yield from grouped()
 
 
 def baum_welch(encoded: DataFrame, model: Model) -> Model:
@@ -174,12 +169,8 @@ def baum_welch(encoded: DataFrame, model: Model) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
-        for _, sequences in _gathered(batches, GATHERED // 2):
-            padded = [-(-len(s) // WINDOW) * WINDOW for s in sequences]
-            flat = np.full(sum(padded), -1, np.int32)
-            for s, at in zip(sequences, np.concatenate([[0], np.cumsum(padded)])):
-                flat[at : at + len(s)] = s
-            for sums, new in zip((start, moves, emitted), model.expected(flat.reshape(-1, WINDOW))):
+        for _, sequences in _gathered(batches):
+            for sums, new in zip((start, moves, emitted), model.expected(Packed(sequences))):
                 sums += new
         met = np.flatnonzero(emitted.sum(1))
         symbol = np.concatenate([met, -1 - np.arange(k + 1)]).astype(np.int32)

@@ -8,8 +8,8 @@ forward-backward marginals of all its tokens give its score, and tokens likelier
 
 Tokens are runs of letters with A to Z lower-cased, so that offsets are those of the text itself.
 
-Defined cases: a null or empty text has no tokens and gets the score of no evidence; without labels of both kinds
-nothing is known to offend and every score is low; repeated labels of a document count once, as toxic if any is; equal
+Defined cases: a null or empty text has no tokens and gets the score of no evidence; without labels of both kinds, or
+without a token that tells them apart, nothing is known to offend and every score is low; repeated labels of a document count once, as toxic if any is; equal
 rows give equal rows; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -36,6 +36,8 @@ ERRORS, GRADES = 2.0, (0.3, 1.0, 2.0)
 LEVELS = len(GRADES) + 1
 #: Parts of the sample; a document meets the grades that the other parts gave, so that chance finds earn no weight.
 FOLDS = 4
+#: Evidence that varies less than this is not blown up to a standard deviation of 1.
+LEAST_SPREAD = 0.05
 #: Tokens whose chains are walked together.
 TOGETHER = 1_000_000
 
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, sample: DataFrame, rounds: int = 100) -> Field:
     rows = chosen.select("text", "toxic", "weight", "fold").mapInArrow(shorten, "features binary, toxic int, weight double").collect()
     chosen.unpersist()
     field = Field.blank(grades[-1])
-    if not (bad and good):
+    if not (bad and good and grades[-1]):
         return field
     # documents in a fixed order; equal chains of equal labels, as those without graded tokens often are, once
     rows.sort(key=lambda r: (r["toxic"], bytes(r["features"])))
@@ -217,8 +219,7 @@ def fit(docs: DataFrame, sample: DataFrame, rounds: int = 100) -> Field:
 def logistic(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray, penalty: float = 0.5) -> np.ndarray:
     """Weights of a penalised logistic regression (evidence has a column of ones first). Columns are standardised, and
     each Newton step is halved until the penalised log likelihood rises, so nearly separable evidence cannot diverge."""
-    centre, spread = evidence[:, 1:].mean(0), evidence[:, 1:].std(0)
-    spread[spread < 1e-9] = 1.0
+    centre, spread = evidence[:, 1:].mean(0), np.maximum(evidence[:, 1:].std(0), LEAST_SPREAD)
     x = np.concatenate([evidence[:, :1], (evidence[:, 1:] - centre) / spread], 1)
 
     def likelihood(w: np.ndarray) -> float:
@@ -302,4 +303,8 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs whose score stays below threshold, by a model fitted on labels; the columns are those of docs."""
     field = fit(docs, labelled_sample(labels))
-    return score_documents(docs.select(*docs.columns), field).filter(F.col("score") < threshold).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    plain = docs.toDF(*names).withColumnRenamed(names[at], "text")
+    names[at] = "text"
+    return score_documents(plain, field).filter(F.col("score") < threshold).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -352,11 +352,59 @@ def test_forward_recursion_is_exact():
         for x in s[1:]:
             now = (now @ model.move) * model.emit[x]
         assert abs(math.log10(now.sum()) - got) < 1e-12
-    windows = np.array([[1, 2, 3, 0], [6, 5, -1, -1]], np.int32)
-    start, moves, emitted = model.expected(windows)
-    assert abs(start.sum() - 2) < 1e-4 and abs(moves.sum() - 4) < 1e-4 and abs(emitted.sum() - 6) < 1e-4
+
+
+def test_expected_counts_are_those_of_whole_chains():
+    """Against the plain recursion, on chains of very different lengths, one of them of 200 tokens."""
+    import numpy as np
+
+    from tallyweave.llm.chains import Packed
+
+    random = np.random.default_rng(5)
+    model = hmm.Model(np.ones(7), random.dirichlet(np.ones(3)), random.dirichlet(np.ones(3), 3), random.dirichlet(np.ones(7), 3).T)
+    chains = [random.integers(0, 7, n).astype(np.uint16) for n in (3, 200, 1, 66)]
+    start, moves, emitted = np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))
+    for x in chains:
+        ahead, back = [model.start * model.emit[x[0]]], [np.ones(3)]
+        for s in x[1:]:
+            ahead.append(ahead[-1] @ model.move * model.emit[s] / ahead[-1].sum())
+        for s in x[:0:-1]:
+            back.append(model.move @ (back[-1] * model.emit[s]) / back[-1].sum())
+        back = back[::-1]
+        for t, s in enumerate(x):
+            here = ahead[t] * back[t]
+            emitted[s] += here / here.sum()
+            if t == 0:
+                start += here / here.sum()
+            else:
+                both = ahead[t - 1][:, None] * model.move * (model.emit[s] * back[t])
+                moves += both / both.sum()
+    for got, want in zip(model.expected(Packed(chains)), (start, moves, emitted)):
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
     better = model.next(start, moves, emitted)
-    assert better.emit.sum(0).round(6).tolist() == [1, 1, 1]
+    assert better.emit.sum(0).round(6).tolist() == [1, 1, 1] and better.log10_likelihood(chains).sum() > model.log10_likelihood(chains).sum() - 5
+
+
+def test_scores_are_probabilities(spark):
+    """score end to end, from the symbols and class shares that the docstring names, on whole texts of 1 to 90 words."""
+    import numpy as np
+
+    texts = [" ".join(f"w{(i * j) % 11}" for j in range(1 + 10 * i)) for i in range(10)]
+    docs = spark.createDataFrame([(i, t, i == 9) for i, t in enumerate(texts)], "doc_id bigint, text string, held_out boolean")
+    words, classes, states = 5, 3, 2
+    rows = {r.doc_id: r.score for r in hmm.score_documents(docs, words, classes, states, 2).collect()}
+    count = Counter(w for t in texts[:9] for w in t.split())
+    frequent = sorted(count, key=lambda w: (-count[w], w))[:words]
+    of_class = lambda w: zlib.crc32(w.encode()) % classes
+    rare = {c: [count[w] for w in count if w not in frequent and of_class(w) == c] for c in range(classes)}
+    symbol = lambda w: frequent.index(w) + 1 if w in frequent else words + 1 + of_class(w)
+    chains = [np.array([*map(symbol, t.split()), 0], np.uint16) for t in texts]
+    model = hmm.Model.first(np.array([9, *[count[w] for w in frequent], *[sum(rare[c]) for c in range(classes)]]) + 0.5, states)
+    for _ in range(2):
+        model = model.next(*model.expected(hmm.Packed(chains[:9])))
+    share = lambda w: 0 if w in frequent else math.log10((count[w] + 1) / (sum(rare[of_class(w)]) + len(rare[of_class(w)]) + 1))
+    for i, got in enumerate(model.log10_likelihood(chains)):
+        assert abs(rows[i] - got - sum(map(share, texts[i].split()))) < 1e-3
 
 
 def test_toxicity(spark, docs):
