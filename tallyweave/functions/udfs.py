@@ -1,7 +1,8 @@
-"""The two functions Spark lacks, as vectorised UDFs."""
+"""The functions Spark lacks, as vectorised UDFs."""
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -15,6 +16,20 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def _folded(value):
+    if isinstance(value, str):
+        return unicodedata.normalize("NFKC", value)
+    if isinstance(value, list):
+        return [_folded(v) for v in value]
+    return {k: _folded(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+@F.pandas_udf(T.StringType())
+def nfkc_json(body: pd.Series) -> pd.Series:
+    """JSON with NFKC applied to every text in it; nulls stay."""
+    return body.map(lambda b: json.dumps(_folded(json.loads(b)), ensure_ascii=False), na_action="ignore")
+
+
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, one row of the table at a time in the bits of a number."""
     where: dict[str, int] = {}

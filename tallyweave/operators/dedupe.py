@@ -1,12 +1,12 @@
 """Exact and near duplicates of an invoice among those that count as existing.
 
-Both joins are equi joins on the supplier and a value (the number, or the total), so they shuffle on a selective key
-and never meet all invoices of a supplier with each other.
+Both joins are equi joins on the supplier and a value (the number, or the total and a stretch of days), so they shuffle
+on a selective key and never meet all invoices of a supplier, nor all of a monthly fixed total, with each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number_key
@@ -15,32 +15,59 @@ from ..schemas import ACTIVE
 FACTS = ("arrival", "partner_code", "invoice_number", "total_amount", "issue_date")
 
 
-def candidates(invoices: DataFrame, existing: DataFrame, scope: str = "earlier", window_days: int = 7) -> DataFrame:
-    """Pairs (arrival, other, kind) of an invoice and an existing one of the same supplier that is an exact or a near
-    duplicate. scope 'earlier' counts only what arrived before it; 'all' every other one."""
+def _sides(invoices: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     if "status" in existing.columns:
         existing = existing.filter(F.col("status").isin(*ACTIVE))
     this = invoices.select(*FACTS).filter("partner_code is not null").withColumn("key", number_key(F.col("invoice_number")))
     that = existing.select(*[F.col(c).alias(f"o_{c}") for c in FACTS]).filter("o_partner_code is not null").withColumn("o_key", number_key(F.col("o_invoice_number")))
-    order = F.col("o_arrival") < F.col("arrival") if scope == "earlier" else F.col("o_arrival") != F.col("arrival")
-    same = F.col("partner_code") == F.col("o_partner_code")
-    exact = this.filter("key <> ''").join(that, same & (F.col("key") == F.col("o_key")) & order).select("arrival", F.col("o_arrival").alias("other"), F.lit("exact").alias("kind"))
+    return this, that
+
+
+def _near(this: DataFrame, that: DataFrame, order: Column, window_days: int) -> DataFrame:
+    # days fall in stretches one longer than the window, so near ones lie in the same or in neighbouring stretches
+    stretch = lambda c: F.floor(F.unix_date(F.col(c)) / (window_days + 1))
+    this = this.withColumn("stretch", F.explode(F.sequence(stretch("issue_date") - 1, stretch("issue_date") + 1)))
+    that = that.withColumn("o_stretch", stretch("o_issue_date"))
+    same = (F.col("partner_code") == F.col("o_partner_code")) & (F.col("total_amount") == F.col("o_total_amount")) & (F.col("stretch") == F.col("o_stretch"))
     close = F.abs(F.date_diff("issue_date", "o_issue_date")) <= window_days
     twin = F.coalesce((F.col("key") != "") & (F.col("key") == F.col("o_key")), F.lit(False))
-    near = this.join(that, same & (F.col("total_amount") == F.col("o_total_amount")) & close & order).filter(~twin)
-    return exact.unionByName(near.select("arrival", F.col("o_arrival").alias("other"), F.lit("near").alias("kind")))
+    return this.join(that, same & close & order).filter(~twin).select("arrival", F.col("o_arrival").alias("other"))
+
+
+def _order(scope: str) -> Column:
+    return F.col("o_arrival") < F.col("arrival") if scope == "earlier" else F.col("o_arrival") != F.col("arrival")
+
+
+def candidates(invoices: DataFrame, existing: DataFrame, scope: str = "earlier", window_days: int = 7) -> DataFrame:
+    """Pairs (arrival, other, kind) of an invoice and an existing one of the same supplier that is an exact or a near
+    duplicate. scope 'earlier' counts only what arrived before it; 'all' every other one."""
+    this, that = _sides(invoices, existing)
+    same = (F.col("partner_code") == F.col("o_partner_code")) & (F.col("key") == F.col("o_key"))
+    exact = this.filter("key <> ''").join(that, same & _order(scope)).select("arrival", F.col("o_arrival").alias("other"))
+    return exact.withColumn("kind", F.lit("exact")).unionByName(_near(this, that, _order(scope), window_days).withColumn("kind", F.lit("near")))
+
+
+def first_exact(this: DataFrame, that: DataFrame, scope: str) -> DataFrame:
+    """arrival and dup_exact, the first exact duplicate, from the two first arrivals of each number: no group of copies
+    is paired up."""
+    order = Window.partitionBy("o_partner_code", "o_key").orderBy("o_arrival")
+    firsts = that.filter("o_key <> ''").select("o_partner_code", "o_key", "o_arrival").distinct().withColumn("nth", F.row_number().over(order)).filter("nth <= 2")
+    firsts = firsts.groupBy("o_partner_code", "o_key").agg(F.min("o_arrival").alias("first"), F.max("o_arrival").alias("second"))
+    met = this.join(firsts, (F.col("partner_code") == F.col("o_partner_code")) & (F.col("key") == F.col("o_key")))
+    other = F.when(F.col("first") != F.col("arrival"), F.col("first")).when((F.col("second") != F.col("arrival")), F.col("second"))
+    if scope == "earlier":
+        other = F.when(F.col("first") < F.col("arrival"), F.col("first"))
+    return met.select("arrival", other.alias("dup_exact")).filter("dup_exact is not null")
 
 
 def find_duplicates(invoices: DataFrame, existing: DataFrame, scope: str = "earlier", window_days: int = 7) -> DataFrame:
     """arrival, dup_exact (the first exact duplicate) and dup_near (near ones, in order of arrival). The scan stops at
     the first exact duplicate, so only near ones that arrived before it are listed."""
-    found = candidates(invoices, existing, scope, window_days)
-    first = found.groupBy("arrival").agg(
-        F.min(F.when(F.col("kind") == "exact", F.col("other"))).alias("dup_exact"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "near", F.col("other")))).alias("near"),
-    )
+    this, that = _sides(invoices, existing)
+    near = _near(this, that, _order(scope), window_days).groupBy("arrival").agg(F.array_sort(F.collect_list("other")).alias("near"))
+    both = first_exact(this, that, scope).join(near, "arrival", "full_outer").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
     kept = F.filter("near", lambda x: F.col("dup_exact").isNull() | (x < F.col("dup_exact")))
-    return first.select("arrival", "dup_exact", kept.alias("dup_near"))
+    return both.select("arrival", "dup_exact", kept.alias("dup_near"))
 
 
 def with_duplicates(invoices: DataFrame, existing: DataFrame, scope: str = "earlier", window_days: int = 7) -> DataFrame:

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_date
 from ..schemas import CHECK, FALLBACK_UNIT, TAX_RATES
+from ..sources.stores import store
 from .checks import expected_tax, line_sum, unknown_codes
 
 # The ledger's error codes with their response status, and the state that each leads to.
 RESPONSES = {"UNAUTHORIZED": 401, "PARTNER_NOT_FOUND": 400, "UNKNOWN_TAX_CODE": 400, "DUE_DATE_BEFORE_ISSUE_DATE": 400, "DUPLICATE_INVOICE": 409, "AMOUNT_MISMATCH": 422, "VALIDATION_ERROR": 422, "NOT_FOUND": 404}
 STATES = {"DUPLICATE_INVOICE": "BLOCKED", "PARTNER_NOT_FOUND": "BLOCKED", "AMOUNT_MISMATCH": "NEEDS_REVIEW", "UNKNOWN_TAX_CODE": "NEEDS_REVIEW", "DUE_DATE_BEFORE_ISSUE_DATE": "NEEDS_REVIEW", "VALIDATION_ERROR": "NEEDS_REVIEW"}
 KEY = ["partner_code", "invoice_number"]
-#: Rows of a partition of the sequence, in a range of arrivals.
+#: Ranges of arrivals that are numbered side by side, at least.
 SEQUENCE_PARTITIONS = 64
 
 
@@ -94,8 +95,10 @@ def judge(requests: DataFrame, partners: DataFrame, ledger: DataFrame | None = N
 
 def numbered(registered: DataFrame, start: int = 0) -> DataFrame:
     """registered with n, dense from start + 1 in order of arrival, without a global sort in one task: rows are
-    range-partitioned by arrival, and each partition is numbered from the count of those before it."""
-    ranged = registered.repartitionByRange(SEQUENCE_PARTITIONS, "arrival").withColumn("_part", F.spark_partition_id())
+    range-partitioned by arrival, and each partition is numbered from the count of those before it. Which row lies in
+    which partition is written down once: bounds are sampled, so a stage run again could deal rows otherwise."""
+    parts = max(SEQUENCE_PARTITIONS, int(registered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = store(registered.repartitionByRange(parts, "arrival").withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_skip", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("_part").orderBy("arrival"))
@@ -138,6 +141,11 @@ def postings(answers: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     return out.join(tried, "arrival", "left").withColumn("attempt", (F.coalesce("tried", F.lit(0)) + 1).cast("int")).drop("tried")
 
 
+def first_success(posted: DataFrame) -> DataFrame:
+    """arrival and accounting_id of each invoice's first successful posting."""
+    return posted.filter("succeeded").groupBy("arrival").agg(F.min_by("accounting_id", "attempt").alias("accounting_id"))
+
+
 def confirm(pending: DataFrame, ledger: DataFrame) -> DataFrame:
     """Sends without an answer: POSTED if the ledger holds exactly that supplier and number, else POST_FAILED."""
     held = ledger.groupBy(*KEY).agg(F.min("accounting_id").alias("accounting_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.udfs import nfkc
+from ..functions.udfs import nfkc_json
 from ..schemas import CONFIDENCES, RAW_TEXTS
 
 
@@ -15,11 +15,9 @@ def breakdown_codes(breakdown: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(breakdown, lambda b: S.tax_code(b["rate_raw"])), lambda c: c.isNotNull()))
 
 
-def normalize_lines(lines: Column, breakdown: Column) -> Column:
-    """Lines with an amount and a description, numbered anew in printed order. A line without a printed rate takes the
-    one code of the breakdown, T10 if there is none, and UNKNOWN if there are several."""
-    codes = breakdown_codes(breakdown)
-    fallback = F.when(F.size(codes) == 1, F.element_at(codes, 1)).when(F.size(codes) == 0, F.lit("T10"))
+def typed_lines(lines: Column) -> Column:
+    """Lines with an amount and a description, each text of them read once; rate is the printed one, code what it
+    stands for."""
     typed = F.transform(
         lines,
         lambda x: F.struct(
@@ -28,53 +26,56 @@ def normalize_lines(lines: Column, breakdown: Column) -> Column:
             S.clean(x["unit"]).alias("unit"),
             S.parse_amount(x["unit_price_raw"]).alias("unit_price"),
             S.parse_amount(x["amount_raw"]).alias("amount"),
-            F.coalesce(S.tax_code(x["tax_rate_raw"], fallback), F.lit("UNKNOWN")).alias("tax_code"),
+            x["tax_rate_raw"].alias("rate"),
+            (F.btrim(S.wide(x["tax_rate_raw"]), F.lit(S.BLANKS)) == "").alias("blank"),
+            S.tax_code(x["tax_rate_raw"]).alias("code"),
         ),
     )
-    kept = F.filter(typed, lambda x: x["amount"].isNotNull() & (x["description"] != ""))
-    return F.transform(kept, lambda x, i: F.struct((i + 1).alias("seq"), x["description"], x["quantity"], x["unit"], x["unit_price"], x["amount"], x["tax_code"]))
+    return F.filter(typed, lambda x: x["amount"].isNotNull() & (x["description"] != ""))
+
 
+def normalize_lines(typed: Column, codes: Column) -> Column:
+    """typed lines numbered anew in printed order. A line without a printed rate takes the one code of the breakdown,
+    T10 if there is none, and UNKNOWN if there are several."""
+    fallback = F.when(F.size(codes) == 1, F.element_at(codes, 1)).when(F.size(codes) == 0, F.lit("T10"))
+    code = lambda x: F.coalesce(F.when(x["blank"], fallback).otherwise(x["code"]), F.lit("UNKNOWN"))
+    return F.transform(typed, lambda x, i: F.struct((i + 1).alias("seq"), x["description"], x["quantity"], x["unit"], x["unit_price"], x["amount"], code(x).alias("tax_code")))
 
-def unmapped_rates(lines: Column, breakdown: Column) -> Column:
+
+def unmapped_rates(typed: Column, breakdown: Column, codes: Column) -> Column:
     """Printed rates that no code stands for, of the breakdown and of lines that count, and a remark where a line
     without a rate could be either of several; sorted, each once."""
     odd = lambda x: x.isNotNull() & (S.clean(x) != "") & S.tax_code(x).isNull()
     rates = F.filter(F.transform(breakdown, lambda b: b["rate_raw"]), odd)
-    counted = F.filter(lines, lambda x: S.parse_amount(x["amount_raw"]).isNotNull() & (S.clean(x["description"]) != ""))
-    of_lines = F.filter(F.transform(counted, lambda x: x["tax_rate_raw"]), odd)
-    unclear = (F.size(breakdown_codes(breakdown)) > 1) & F.exists(counted, lambda x: S.clean(x["tax_rate_raw"]) == "")
+    of_lines = F.transform(F.filter(typed, lambda x: ~x["blank"] & x["code"].isNull()), lambda x: x["rate"])
+    unclear = (F.size(codes) > 1) & F.exists(typed, lambda x: x["blank"])
     remark = F.when(unclear, F.array(F.lit("a line shows no rate and the breakdown has several"))).otherwise(F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(F.concat(rates, of_lines, remark)))
 
 
-def fold_exactly(raw: DataFrame) -> DataFrame:
-    """raw with NFKC applied to every text that the native fold may not cover. Only rows with such a text go through
-    Python; the others stay in the JVM."""
-    texts = [c for c in RAW_TEXTS if c in raw.columns]
-    everything = F.concat_ws("", *texts, F.to_json("lines"), F.to_json("tax_breakdown"), F.to_json("handwritten_annotations"))
-    plain, odd = raw.filter(everything.rlike(S.FOLDABLE)), raw.filter(~everything.rlike(S.FOLDABLE))
-    odd = odd.withColumns({c: nfkc(c) for c in texts})
-    for column, fields in (("lines", ("description", "quantity_raw", "unit", "unit_price_raw", "amount_raw", "tax_rate_raw")), ("tax_breakdown", ("rate_raw", "base_raw", "tax_raw"))):
-        # every field's texts in one string, parted by a character that no transcription holds
-        for f in fields:
-            joined = F.array_join(F.transform(column, lambda x: F.coalesce(x[f], F.lit("\x02"))), "\x01")
-            odd = odd.withColumn(f"_{f}", F.split(nfkc(joined), "\x01"))
-        shown = lambda f, i: F.when(F.col(f"_{f}")[i] != "\x02", F.col(f"_{f}")[i]).alias(f)
-        odd = odd.withColumn(column, F.transform(column, lambda x, i: F.struct(*[shown(f, i) for f in fields]))).drop(*[f"_{f}" for f in fields])
-    return plain.unionByName(odd)
-
+def fold(raw: DataFrame) -> DataFrame:
+    """raw with NFKC applied to every text that the native fold does not cover. One JSON of such a row goes through
+    Python; of other rows only a null does."""
+    names = [c for c in (*RAW_TEXTS, "lines", "tax_breakdown", "handwritten_annotations") if c in raw.columns]
+    kinds = ", ".join(f"`{c}` {raw.schema[c].dataType.simpleString()}" for c in names)
+    body = raw.withColumn("_body", F.to_json(F.struct(*names)))
+    body = body.withColumn("_body", F.when(~F.col("_body").rlike(S.FOLDABLE), F.col("_body")))
+    told = body.withColumn("_told", F.from_json(nfkc_json("_body"), kinds))
+    return told.withColumns({c: F.when(F.col("_told").isNotNull(), F.col("_told")[c]).otherwise(F.col(c)) for c in names}).drop("_body", "_told")
 
-def normalize(raw: DataFrame, exact: bool = False) -> DataFrame:
-    """Typed invoices from raw transcriptions (RAW_SCHEMA and any other columns, which are kept).
 
-    Text is folded natively; with exact, texts beyond the native fold get full NFKC first.
-    """
-    raw = fold_exactly(raw) if exact else raw
+def normalize(raw: DataFrame) -> DataFrame:
+    """Typed invoices from raw transcriptions (RAW_SCHEMA and any other columns, which are kept). All text is folded as
+    NFKC does."""
+    raw = fold(raw)
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(raw.schema[c].dataType))
     lines, breakdown, marks = empty("lines"), empty("tax_breakdown"), empty("handwritten_annotations")
     payment = F.exists(marks, lambda m: F.coalesce(m["affects_payment_details"], F.lit(False)))
     currency = S.clean(F.col("currency"))
     rest = [c for c in raw.columns if c not in (*RAW_TEXTS, "lines", "tax_breakdown", "handwritten_annotations", "field_confidence")]
+    # in a projection of their own: both are used more than once
+    raw = raw.withColumn("_typed", typed_lines(lines)).withColumn("_codes", breakdown_codes(breakdown))
+    typed, codes = F.col("_typed"), F.col("_codes")
     return raw.select(
         *rest,
         S.clean(F.col("supplier_name")).alias("supplier_name"),
@@ -89,8 +90,8 @@ def normalize(raw: DataFrame, exact: bool = False) -> DataFrame:
         S.parse_amount(F.col("total_amount_raw")).alias("total_amount"),
         F.when(currency == "", "JPY").otherwise(currency).alias("currency"),
         S.clean(F.col("bank_details_raw")).alias("bank_details"),
-        normalize_lines(lines, breakdown).alias("lines"),
-        unmapped_rates(lines, breakdown).alias("unmapped_tax_rates"),
+        normalize_lines(typed, codes).alias("lines"),
+        unmapped_rates(typed, breakdown, codes).alias("unmapped_tax_rates"),
         S.least_confidence(F.col("field_confidence"), CONFIDENCES).alias("min_confidence"),
         (F.size(marks) > 0).alias("has_handwriting"),
         payment.alias("handwriting_affects_payment"),

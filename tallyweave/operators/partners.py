@@ -33,22 +33,57 @@ def fuzzy_matches(missed: DataFrame, partners: DataFrame, threshold: int = FUZZY
     """name_key, by_name and score of the best partner at or above threshold for each of missed (name_key, distinct);
     ties go to the earliest partner.
 
-    Keys of lengths that cannot reach the threshold never meet: pairs join on length, and an edit-distance bound in
-    the JVM leaves few for the exact score.
+    A partner's key that is one character longer or shorter and else equal beats every other, so these are looked up
+    first, by the keys with a character left out. For the rest a partner's key is cut into one piece more than it may
+    have characters added or lost: at least one piece then stands unchanged in the name, so pairs join on pieces. An
+    edit-distance bound in the JVM leaves few of them for the exact score.
     """
     keys = name_keys(partners).groupBy("name_key").agg(F.min_by("partner_code", "ord").alias("partner_code"), F.min("ord").alias("ord"))
-    # 200 * min(la, lb) / (la + lb) >= threshold bounds the other length
-    share = threshold / (200 - threshold)
-    length = F.length("name_key")
-    lengths = F.sequence(F.greatest(F.lit(1), F.floor(length * share)).cast("int"), F.ceil(length / share).cast("int"))
-    asked = missed.filter("name_key <> ''").withColumn("length", F.explode(lengths))
-    held = keys.withColumnRenamed("name_key", "key").withColumn("length", F.length("key"))
-    near = asked.join(held, "length").filter(may_reach(F.col("name_key"), F.col("key"), threshold))
-    scored = near.withColumn("score", indel_ratio("name_key", "key")).filter(F.col("score") >= threshold)
+    held = keys.withColumnRenamed("name_key", "key")
+    asked = missed.select("name_key").filter("name_key <> ''")
+    longer = asked.join(held.withColumn("less", F.explode(shortened(F.col("key")))), F.col("name_key") == F.col("less")).drop("less")
+    shorter = asked.withColumn("less", F.explode(shortened(F.col("name_key")))).join(held, F.col("less") == F.col("key")).drop("less")
+    close = _scored(longer.unionByName(shorter), threshold).filter(F.length("name_key") > 2)
+    rest = asked.join(close.select("name_key").distinct(), "name_key", "left_anti")
+    lengths = F.sequence(F.greatest(F.lit(1), F.floor(F.length("name_key") * threshold / (200 - threshold))).cast("int"), F.ceil(F.length("name_key") * (200 - threshold) / threshold).cast("int"))
+    rest = rest.withColumn("length", F.explode(lengths)).withColumn("piece", F.explode(all_pieces(F.col("name_key"), F.col("length"), threshold)))
+    cut = held.withColumn("length", F.length("key")).withColumn("piece", F.explode(pieces(F.col("key"), threshold)))
+    scored = close.unionByName(_scored(rest.join(cut, ["length", "piece"]).select("name_key", "key", "partner_code", "ord"), threshold))
     best = scored.groupBy("name_key").agg(F.max_by(F.struct("partner_code", "score"), F.struct("score", -F.col("ord"))).alias("b"))
     return best.select("name_key", F.col("b.partner_code").alias("by_name"), F.lit("FUZZY_NAME").alias("name_method"), F.round("b.score", 1).alias("score"))
 
 
+def _scored(pairs: DataFrame, threshold: int) -> DataFrame:
+    near = pairs.filter(may_reach(F.col("name_key"), F.col("key"), threshold)).distinct()
+    return near.withColumn("score", indel_ratio("name_key", "key")).filter(F.col("score") >= threshold)
+
+
+def shortened(key: Column) -> Column:
+    """key with each one of its characters left out."""
+    n = F.length(key)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, n))))
+
+
+def _parts(length: Column, threshold: int) -> Column:
+    """Pieces of a key of this length: one more than the characters that a name similar enough may add or lack."""
+    longest = F.floor(length * (200 - threshold) / threshold)
+    return F.least(length, F.floor((length + longest) * (100 - threshold) / 100) + 1).cast("int")
+
+
+def pieces(key: Column, threshold: int) -> Column:
+    n = F.length(key)
+    parts = _parts(n, threshold)
+    start = lambda i: F.floor(i * n / parts).cast("int")
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(key, start(i) + 1, start(i + 1) - start(i))))
+
+
+def all_pieces(name: Column, length: Column, threshold: int) -> Column:
+    """Every stretch of name that could be a piece of a key of this length."""
+    size, n = F.floor(length / _parts(length, threshold)).cast("int"), F.length(name)
+    stretches = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(name, i, k))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(stretches(size), stretches(size + 1)))
+
+
 def resolve(invoices: DataFrame, partners: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
     """invoices (supplier_name, registration_no) with by_registration, by_name, agreement, partner_code, method and
     match_confidence. Similarity is tried only on distinct names that no key equals."""

@@ -55,16 +55,17 @@ def history(changes: DataFrame, n: int = 25) -> DataFrame:
 def in_force(events: DataFrame, changes: DataFrame, slot: str = "day") -> DataFrame:
     """events (event_id, at) each with the last change (change_id, at, value) not after it, or nulls.
 
-    Both sides meet by time slot; a slot also carries the last change before it, so a slot's task sees all it needs
-    and no event meets every change.
+    Events and changes lie together in time slots and each event takes the last change before it in its slot, by one
+    sort of the slot; a slot's first events take the last change of the slots before, of which there is one row each.
     """
-    slots = changes.withColumn("slot", F.date_trunc(slot, "at")).groupBy("slot").agg(F.max_by(F.struct("change_id", "at", "value"), F.struct("at", "change_id")).alias("last"))
-    of_events = events.withColumn("slot", F.date_trunc(slot, "at"))
-    # the last change of an earlier slot, over the few distinct slots
-    both = of_events.select("slot").distinct().join(slots, "slot", "full_outer")
+    made = F.struct("change_id", "at", "value")
+    of_changes = changes.select(F.date_trunc(slot, "at").alias("slot"), "at", F.lit(None).cast(dict(events.dtypes)["event_id"]).alias("event_id"), made.alias("change"), F.lit(0).alias("turn"))
+    of_events = events.select(F.date_trunc(slot, "at").alias("slot"), "at", "event_id", F.lit(None).cast(of_changes.schema["change"].dataType).alias("change"), F.lit(1).alias("turn"))
+    both = of_changes.unionByName(of_events)
+    within = Window.partitionBy("slot").orderBy("at", "turn", F.col("change.change_id")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("inside", F.last("change", ignorenulls=True).over(within)).filter("turn = 1")
+    last = both.groupBy("slot").agg(F.max_by("change", F.when(F.col("turn") == 0, F.struct("at", F.col("change.change_id")))).alias("last"))
     before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = both.select("slot", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    inside = of_events.join(changes.select(F.date_trunc(slot, "at").alias("slot"), F.struct("change_id", "at", "value").alias("c")), "slot", "left")
-    latest = inside.groupBy("event_id", "slot").agg(F.first("at").alias("at"), F.max_by("c", F.when(F.col("c.at") <= F.col("at"), F.struct("c.at", "c.change_id"))).alias("inside"))
-    chosen = latest.join(carried, "slot", "left").withColumn("chosen", F.coalesce("inside", "carried"))
+    carried = last.select("slot", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    chosen = inside.join(carried, "slot", "left").withColumn("chosen", F.coalesce("inside", "carried"))
     return chosen.select("event_id", "at", F.col("chosen.change_id").alias("change_id"), F.col("chosen.value").alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SEVERITIES
-from .ledger import lookup
+from .ledger import first_success, lookup
 
 # The queue's order, and the names states are shown by.
 RANKS = {"BLOCKED": 0, "NEEDS_REVIEW": 1, "POST_FAILED": 2, "EXTRACT_FAILED": 3, "EXTRACTED": 4, "PENDING": 5, "POSTED": 6, "REJECTED": 7}
@@ -31,8 +31,13 @@ def rank(status: Column) -> Column:
     return F.coalesce(lookup(RANKS, status), F.lit(9))
 
 
-def queue(invoices: DataFrame) -> DataFrame:
-    """One row per invoice for the work queue, with rank to sort by (then arrival)."""
+def queue(invoices: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """One row per invoice for the work queue, with rank to sort by (then arrival), and with the ledger's number of the
+    first successful posting where postings are given."""
+    if postings is not None:
+        first = first_success(postings).withColumnRenamed("accounting_id", "_id")
+        rows = queue(invoices).join(first, "arrival", "left")
+        return rows.withColumnRenamed("_id", "accounting_id")
     failed = F.size(F.filter("checks", lambda c: ~c["passed"]))
     return invoices.select(
         "arrival", "status", rank(F.col("status")).alias("rank"), "supplier_name", "partner_code", "invoice_number", "issue_date", "due_date", "total_amount",

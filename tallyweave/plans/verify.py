@@ -10,10 +10,10 @@ from ..schemas import POLICY
 from ..sources.stores import store
 
 
-def verify(raw: DataFrame, master: DataFrame, policy: dict = POLICY, existing: DataFrame | None = None, scope: str = "earlier", exact: bool = False) -> DataFrame:
+def verify(raw: DataFrame, master: DataFrame, policy: dict = POLICY, existing: DataFrame | None = None, scope: str = "earlier") -> DataFrame:
     """Checked invoices from raw transcriptions with arrival. existing is what duplicates are looked for in; without
     it, the batch itself."""
-    resolved = store(partners.resolve(store(normalize.normalize(raw, exact)), master))
+    resolved = store(partners.resolve(store(normalize.normalize(raw)), master))
     return judge(resolved, policy, existing, scope)
 
 

@@ -83,13 +83,20 @@ def raw_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = raw.unionByName(twins).unionByName(again)
     era = F.concat(F.lit("平成"), (F.year("issue") - 1988).cast("string"), F.date_format("issue", "年M月d日"))
     shown = F.when(F.col("key") % 4 == 0, F.date_format("issue", "yyyy-MM-dd")).when(F.col("key") % 4 == 1, F.date_format("issue", "yyyy/MM/dd")).when(F.col("key") % 4 == 2, F.date_format("issue", "yyyy年M月d日")).otherwise(era)
+    # every fifth has a text layer, and every seventh of those is smudged
+    page = F.when(F.col("key") % 35 == 0, F.lit("smudged beyond recognition")).otherwise(F.translate(F.concat_ws(" ", "invoice_number", "subtotal_raw", "total_amount_raw"), "△", "-"))
+    both = both.withColumn("text_layer", F.when(F.col("key") % 5 == 0, page))
     return both.withColumn("issue_date_raw", shown).drop("key", "issue")
 
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_operations(read(spark, sf_dir, "events"))
+
+
+def as_operations(events: DataFrame) -> DataFrame:
     """Events as calls of the reading model and as invoices in their states."""
     status = F.when(F.col("event_type") == "purchase", "POSTED").when(F.col("event_type") == "view", "EXTRACTED").when(F.col("event_type") == "click", "NEEDS_REVIEW").when(F.col("event_type") == "error", "EXTRACT_FAILED").otherwise("BLOCKED")
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("arrival"), F.col("user_id").alias("document_id"), F.col("ts").alias("at"), status.alias("status"), (F.col("user_id") * 0.001).alias("cost_usd"),
         F.when(F.col("event_type") == "error", 0).otherwise(F.floor(F.col("value") * 10)).cast("int").alias("latency_ms"),
     )
