@@ -31,3 +31,8 @@ def layer(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     if key not in _layers:
         _layers[key] = store(build())
     return _layers[key]
+
+
+def forget_layers() -> None:
+    """Have every layer built anew where it is next asked for."""
+    _layers.clear()

@@ -1,14 +1,18 @@
 """From raw transcriptions to the ledger on twelve invoices of five suppliers, one for each way through."""
 
 import json
+import random
+import shutil
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import checks, ledger, policy, review
+from tallyweave.operators import checks, dedupe, ledger, normalize, partners, policy, review
 from tallyweave.plans import verify
 from tallyweave.schemas import POLICY
 from tallyweave.sources import intake
+from tallyweave.streaming import arrivals
 
 PARTNERS = [(f"P-{i}", n, [a], f"T{i:013d}", i) for i, (n, a) in enumerate([("株式会社ヤマダ", "Yamada"), ("佐藤商店", "Sato"), ("東京フーズ", "TF"), ("大阪機械", "Osaka"), ("三井設備", "Mitsui")], 1001)]
 
@@ -89,10 +93,14 @@ def test_ledger_refuses_shapes(spark, done):
 
 
 def test_review(spark, done):
-    approvals = spark.createDataFrame([(1, "ann", None, None), (7, "ann", None, None), (8, "bob", None, "ok"), (9, "bob", None, None), (0, "ann", None, None)], "arrival bigint, actor string, outcome string, note string")
+    approvals = spark.createDataFrame([(1, "ann", None, None), (7, "ann", None, None), (8, "bob", "pay_altered", "ok"), (9, "bob", None, None), (0, "ann", None, None)], "arrival bigint, actor string, outcome string, note string")
     judged = {r.arrival: r for r in review.judge_approvals(done["posted"], approvals).collect()}
     assert {k: r.result for k, r in judged.items()} == {1: "send", 7: "payment decision missing", 8: "send", 9: "blocked", 0: "already registered"}
-    assert judged[8].event_note == "ok; overrode 1 check(s): arithmetic.total"
+    assert judged[8].event_note == "ok; payment details: supplier confirmed the account changed; overrode 1 check(s): arithmetic.total"
+    decided = spark.createDataFrame([(7, "ann", "supplier_unreachable", None, "12-3", "by mail")], "arrival bigint, actor string, outcome string, note string, account string, confirmed string")
+    sent = review.judge_approvals(done["posted"], decided).first()
+    assert sent.result == "send" and sent.event_note.startswith("payment details: supplier could not be reached; pay 12-3; by mail; overrode")
+    assert review.judge_approvals(done["posted"], decided.withColumn("outcome", F.lit("printed"))).first().result == "payment decision missing"
     edits = spark.createDataFrame([(9, "ann", "ヤマダ", None), (0, "ann", "x", None)], "arrival bigint, actor string, patch_supplier_name string, patch_total_amount bigint")
     edited, events, refused = review.apply_edits(done["posted"], edits)
     assert edited.filter("arrival = 9").first().supplier_name == "ヤマダ" and events.count() == 1 and refused.count() == 1
@@ -115,3 +123,81 @@ def test_results_do_not_depend_on_partitions(spark, done):
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == {r.arrival: r.status for r in done["checked"].select("arrival", "status").collect()}
     assert checks.NAMES[0] == "extraction.lines_present"
+
+
+def test_fuzzy_matches_are_those_of_all_pairs(spark):
+    """Names that differ by characters added, lost, changed and swapped, against every pair's similarity."""
+    from tallyweave.functions.udfs import common_length
+
+    draw = random.Random(4)
+    names = ["".join(draw.choice("abcde") for _ in range(draw.randint(1, 14))) for _ in range(60)] + ["customer%06d" % i for i in range(0, 90, 3)]
+    asked = set()
+    for n in names:
+        for _ in range(draw.randint(0, 3)):
+            i = draw.randrange(max(1, len(n)))
+            n = draw.choice([n[:i] + n[i + 1 :], n[:i] + draw.choice("abcde") + n[i:], n[:i] + "z" + n[i + 1 :]])
+        asked.add(n)
+    asked -= {*names, ""}
+    master = spark.createDataFrame([(f"P-{i}", n, [], "", i) for i, n in enumerate(names)], "partner_code string, name string, aliases array<string>, registration_no string, ord int")
+    got = {r.name_key: (r.by_name, r.score) for r in partners.fuzzy_matches(spark.createDataFrame([(a,) for a in asked], "name_key string"), master).collect()}
+    want = {}
+    for a in asked:
+        scores = [(-200.0 * common_length(a, n) / (len(a) + len(n)), i) for i, n in enumerate(names)]
+        if -min(scores)[0] >= 85:
+            want[a] = (f"P-{names.index(names[min(scores)[1]])}", round(-min(scores)[0], 1))
+    assert got == want and len(want) > 30
+
+
+def test_all_text_is_folded(spark):
+    texts = ["ﾔﾏﾀﾞ商店", "㍿ヤマダ", "Ⅻ ﬁne", "plain", "１２３", "ｶﾞ㈱", None]
+    rows = [(i, t, [(t, "①", "㌔", "５００", "②00", "１０％")]) for i, t in enumerate(texts)]
+    raw = spark.createDataFrame(rows, "arrival bigint, supplier_name string, lines array<struct<description:string,quantity_raw:string,unit:string,unit_price_raw:string,amount_raw:string,tax_rate_raw:string>>")
+    raw = raw.withColumns({c: F.lit("") for c in ("supplier_registration_no", "invoice_number", "issue_date_raw", "due_date_raw", "subtotal_raw", "tax_amount_raw", "total_amount_raw", "currency", "bank_details_raw", "notes")})
+    raw = raw.withColumns({"tax_breakdown": F.array().cast("array<struct<rate_raw:string,base_raw:string,tax_raw:string>>"), "handwritten_annotations": F.array().cast("array<struct<text:string,location:string,affects_payment_details:boolean>>"), "field_confidence": F.struct(*[F.lit(1.0).alias(c) for c in ("supplier_name", "supplier_registration_no", "invoice_number", "issue_date", "due_date", "subtotal", "tax_amount", "total_amount", "lines")])})
+    got = {r.arrival: r for r in normalize.normalize(raw).collect()}
+    for i, t in enumerate(texts):
+        folded = unicodedata.normalize("NFKC", t or "").strip()
+        assert got[i].supplier_name == folded
+        assert [(x.description, x.quantity, x.unit, x.amount, x.tax_code) for x in got[i].lines] == ([(folded, 1, "キロ", 200, "T10")] if folded else [])
+
+
+def test_first_exact_duplicate(spark):
+    """Groups of copies, against all pairs, in both scopes."""
+    import datetime as dt
+
+    rows = [(i, f"P-{i % 2}", "ab"[i % 3 > 0] + str(i % 2), 100 + i % 3, dt.date(2026, 1, 1 + i % 20)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "arrival bigint, partner_code string, invoice_number string, total_amount bigint, issue_date date")
+    for scope in ("earlier", "all"):
+        got = {r.arrival: (r.dup_exact, r.dup_near) for r in dedupe.find_duplicates(frame, frame, scope).collect()}
+        for a in rows:
+            others = [b for b in rows if b[0] != a[0] and b[1] == a[1] and (scope == "all" or b[0] < a[0])]
+            first = min((b[0] for b in others if b[2] == a[2]), default=None)
+            near = [b[0] for b in others if b[3] == a[3] and b[2] != a[2] and abs((b[4] - a[4]).days) <= 7 and (first is None or b[0] < first)]
+            assert got.get(a[0], (None, [])) == (first, near)
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, done, tmp_path):
+    """Three deliveries; the second is run again as after a loss between its two writes, and once more after all."""
+    answers = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(RAW)], "arrival bigint, answer string")
+    records, _ = intake.raw_records(answers)
+    invoices, kept = str(tmp_path / "invoices"), str(tmp_path / "ledger")
+    run = lambda n, low, high: arrivals.register_batch(records.filter(f"arrival >= {low} and arrival < {high}"), n, done["master"], invoices, kept, POLICY)
+    read = lambda path, *c: sorted(map(tuple, spark.read.parquet(path).select(*c).collect()))
+    run(0, 0, 4)
+    run(1, 4, 8)
+    first = read(invoices, "arrival", "status", "accounting_id"), read(kept, "accounting_id", "invoice_number")
+    shutil.rmtree(f"{invoices}/batch=1")
+    run(1, 4, 8)
+    assert (read(invoices, "arrival", "status", "accounting_id"), read(kept, "accounting_id", "invoice_number")) == first
+    run(2, 8, 12)
+    assert [s for _, s in read(invoices, "arrival", "status")] == WANTED
+    assert read(kept, "accounting_id") == [(f"ACC-{i:04d}",) for i in range(1, 8)]
+    run(1, 4, 8)
+    assert [s for _, s in read(invoices, "arrival", "status")] == WANTED and spark.read.parquet(kept).count() == 7
+
+
+def test_review_events(spark, done):
+    events = [(1, "approve", "ann", None, "ok", None), (0, "reject", "ann", None, None, None), (9, "reject", "ann", None, "no", None), (8, "edit", "bob", None, None, "B-9"), (0, "edit", "bob", None, None, "x"), (77, "reject", "bob", None, None, None), (None, "policy", "bob", None, "confidence_floor", None)]
+    frame = spark.createDataFrame(events, "arrival bigint, kind string, actor string, outcome string, note string, patch_invoice_number string")
+    got = {(r.arrival, r.kind): r.result for r in arrivals.judged_events(frame, done["posted"]).collect()}
+    assert got == {(1, "approve"): "send", (0, "reject"): "already registered", (9, "reject"): "rejected", (8, "edit"): "edited", (0, "edit"): "already registered", (77, "reject"): "not found", (None, "policy"): "policy changed"}
