@@ -48,6 +48,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(words.alias("word")).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("c"))
 
 
+def most_frequent(counts: DataFrame, words: int) -> DataFrame:
+    """The `words` most frequent of counts (word, c), ties by word. A histogram of the logarithms of c tells first below
+    which count none can be among them, so that no partition sends its own `words` rows."""
+    step = F.floor(F.log2("c") * 8)
+    sizes = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, n = 0, 0
+    for least, more in sizes:
+        n += more
+        if n >= words:
+            break
+    return counts.filter(step >= least).orderBy(F.col("c").desc(), "word").limit(words)
+
+
 class Model:
     """start (K), move (K x K) and emit (symbols x K); symbol 0 is the end, then frequent words, then classes."""
 
@@ -200,7 +213,7 @@ def score_documents(docs: DataFrame, words: int = WORDS, classes: int = CLASSES,
     train = docs.filter(~F.col("held_out"))
     counts = materialize(word_counts(train))
     spark, ends = docs.sparkSession, train.count()
-    frequent = [(r["word"], r["c"]) for r in counts.orderBy(F.col("c").desc(), "word").limit(words).collect()]
+    frequent = [(r["word"], r["c"]) for r in most_frequent(counts, words).collect()]
     n_words, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     total, types = n_words + ends, n_types + (1 if ends else 0)
 
