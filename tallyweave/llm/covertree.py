@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .vectors import blocked, for_each, matrix, merged, sharded, spread, usable
 
-#: Points of a leaf of data and of queries, points whose products are taken at once, and rows of a shard.
-LEAF, ASKED, TAKEN, SHARD_ROWS = 64, 16, 256, 8192
+#: Points of a leaf, points whose products are taken at once, and rows of a shard.
+LEAF, TAKEN, SHARD_ROWS = 64, 256, 4096
+#: A node of queries that would fall into children of fewer points each, on average, stays one group: queries that far
+#: apart share no useful bound, and bounds for each alone cost more than the products that they save.
+THIN = 4
 EXACT = float(1 << 42)
 #: Slack of the bound for the rounding of radii, norms and products.
 SLACK = 1e-9
@@ -50,7 +53,7 @@ class CoverTree:
         self.largest = float(np.abs(self.placed).max(initial=0))
 
     @classmethod
-    def build(cls, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> CoverTree:
+    def build(cls, points: np.ndarray, ids: np.ndarray, thin: int = 1) -> CoverTree:
         apart_from = lambda c, rows: np.sqrt(((points[rows] - points[c]) ** 2).sum(1))
         centre, radius, low, high, first, fan = ([] for _ in range(6))
 
@@ -64,17 +67,24 @@ class CoverTree:
         while waiting:
             i, members, apart = waiting.pop()
             scale, at = radius[i], low[i]
-            if len(members) <= leaf or scale == 0:
+            if len(members) <= LEAF or scale == 0:
                 final[at : high[i]] = members
                 continue
-            first[i], near = len(centre), centre[i]
-            while len(members):
+            near, parts, left = centre[i], [], members
+            while len(left) and len(parts) * thin <= len(members):
                 inside = apart <= scale / 2
-                waiting.append(node(near, at, members[inside], apart[inside]))
-                fan[i], at, members = fan[i] + 1, at + int(inside.sum()), members[~inside]
-                if len(members):
-                    near = int(members[0])
-                    apart = apart_from(near, members)
+                parts.append((near, left[inside], apart[inside]))
+                left = left[~inside]
+                if len(left):
+                    near = int(left[0])
+                    apart = apart_from(near, left)
+            if len(parts) * thin > len(members):
+                final[at : high[i]] = members
+                continue
+            first[i], fan[i] = len(centre), len(parts)
+            for near, rows, apart in parts:
+                waiting.append(node(near, at, rows, apart))
+                at += len(rows)
         where = np.empty(len(points), np.int64)
         where[final] = np.arange(len(points))
         return cls(placed=points[final], ids=ids[final], centre=where[centre], radius=radius, low=low, high=high, first=first, fan=fan)
@@ -178,11 +188,11 @@ def dual_search(data: CoverTree, queries: CoverTree, k: int, seen: list[int] | N
 TREE = "shard int, dim int, " + ", ".join(f"{name} binary" for name in CoverTree.KEPT)
 
 
-def build_trees(rows: DataFrame, shards: int, leaf: int) -> DataFrame:
+def build_trees(rows: DataFrame, shards: int, thin: int = 1) -> DataFrame:
     """One row per shard and length of rows (shard, dim, id, vector): the tree as flat arrays."""
 
     def build(group: pa.Table) -> pa.Table:
-        tree = CoverTree.build(matrix(group), group.column("id").to_numpy(), leaf)
+        tree = CoverTree.build(matrix(group), group.column("id").to_numpy(), thin)
         row = {"shard": group.column("shard")[0].as_py(), "dim": group.column("dim")[0].as_py()} | tree.row()
         return pa.table({c: pa.array([v], pa.int32() if isinstance(v, int) else pa.binary()) for c, v in row.items()})
 
@@ -203,8 +213,8 @@ def top_inner_products(vectors: DataFrame, k: int, query_step: int, scale: int =
         columns = zip(*found) if found else ([], [], [])
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
-    trees = for_each(build_trees(rows, shards, LEAF), "block", blocks)
-    asked = for_each(build_trees(queries.withColumnRenamed("block", "shard"), blocks, ASKED).withColumnRenamed("shard", "block"), "shard", shards)
+    trees = for_each(build_trees(rows, shards), "block", blocks)
+    asked = for_each(build_trees(queries.withColumnRenamed("block", "shard"), blocks, THIN).withColumnRenamed("shard", "block"), "shard", shards)
     keys = ("shard", "block", "dim")
     trees, asked = (spread(x, shards * blocks, *keys) for x in (trees, asked))
     found = trees.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
