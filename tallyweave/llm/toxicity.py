@@ -41,6 +41,8 @@ LEVELS = len(GRADES) + 1
 FOLDS = 4
 #: Evidence that varies less than this is not blown up to a standard deviation of 1.
 LEAST_SPREAD = 0.05
+#: Tokens within which offending ones count together: a passage, however long its document is.
+PASSAGE = 64
 #: Tokens whose chains are walked together.
 TOGETHER = 200_000
 
@@ -111,9 +113,13 @@ class Field:
         return out
 
     def evidence(self, p: np.ndarray) -> np.ndarray:
-        """What a document's score looks at: its surest token, the expected offending tokens and their density."""
-        total = p.sum()
-        return np.array([1.0, p.max(initial=0.0), np.log1p(total), np.log1p(100 * total / max(len(p), 1))])
+        """What a document's score looks at: its surest token, the offending tokens expected in its worst passage, and
+        their density. Only tokens likelier offending than not are summed: the small marginals of plain tokens, and
+        finds far apart, would add up over a very long text."""
+        sums = np.concatenate([[0.0], np.cumsum(np.where(p >= 0.5, p, 0.0))])
+        passage = min(PASSAGE, len(p))
+        worst = (sums[passage:] - sums[: len(sums) - passage]).max()
+        return np.array([1.0, p.max(initial=0.0), np.log1p(worst), np.log1p(100 * sums[-1] / max(len(p), 1))])
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.document, -30, 30)))

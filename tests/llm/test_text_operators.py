@@ -465,6 +465,18 @@ def test_document_weights_do_not_diverge():
     assert p[toxic == 1].min() > 0.9 and p[toxic == 0].max() < 0.05 and np.abs(weights).max() < 100
 
 
+def test_evidence_does_not_grow_with_plain_text():
+    """Plain tokens add nothing, finds far apart do not add up, and a dense passage counts wherever it stands."""
+    import numpy as np
+
+    field = toxicity.Field.blank({})
+    plain, dense = np.full(200_000, 1e-3), np.full(200_000, 1e-3)
+    assert np.allclose(field.evidence(plain), [1, 1e-3, 0, 0]) and np.allclose(field.evidence(plain[:5]), field.evidence(plain)) and np.allclose(field.evidence(plain[:0]), [1, 0, 0, 0])
+    plain[::1000], dense[-20:] = 0.9, 0.9
+    assert np.isclose(field.evidence(plain)[2], np.log1p(0.9)) and np.isclose(field.evidence(dense)[2], np.log1p(18))
+    assert np.isclose(field.evidence(dense[-40:])[2], np.log1p(18)) and np.isclose(field.evidence(dense[-40:])[3], np.log1p(45))
+
+
 def test_toxicity_on_held_out_documents(spark):
     """The documents whose labels op4 does not learn from. Some labels have no trace in the text; those texts that hold
     a word which stands in several toxic documents and no clean one must be caught."""
