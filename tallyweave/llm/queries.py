@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, hmm, hnsw, licenses, mixing, neardup, secretscan, toxicity, urlfilter
+from . import bpe, covertree, divergence, hmm, hnsw, licenses, mixing, neardup, resample, secretscan, toxicity, urlfilter
 from .common import remainder, shared_dir, table
 
 #: The production rules of op3: (verdict, host, path).
@@ -80,7 +80,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_hnsw, op3_url_filter, op4_toxicity, op5_cover_tree, op6_hmm_score, op7_secret_scan, op8_minhash, op9_byte_bpe, op10_license_scan)}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OPERATIONS = (
+    op1_mix_sources, op2_hnsw, op3_url_filter, op4_toxicity, op5_cover_tree, op6_hmm_score, op7_secret_scan, op8_minhash, op9_byte_bpe, op10_license_scan, op12_source_divergence,
+    op13_resample,
+)
+QUERIES = {f.__name__: f for f in OPERATIONS}
 
 #: The queries DuckDB can express; the others are tested against brute force in tests/llm.
 ORACLES = {
@@ -135,4 +147,43 @@ ORACLES = {
         reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, t.b FROM reach r JOIN two t ON t.a = r.b)
         SELECT n.doc_id, n.n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept
         FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n_shingles""",
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        t AS (SELECT doc_id, lang, source, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM d),
+        k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+        v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, v.v FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+                  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v)::HUGEINT AS p FROM cells),
+        q AS (SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v)::HUGEINT AS q
+              FROM (SELECT lang, term, sum(n)::HUGEINT AS n, any_value(v) AS v FROM cells GROUP BY lang, term)),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term
+                         WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+        terms AS (SELECT p.lang, p.source, p.term AS item, (((p.p - q.q) * (p.p - q.q)) // (p.p + q.q))::BIGINT AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q),
+        both_ AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM both_)
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10""",
+    "op13_resample": r"""
+        WITH w AS (
+            SELECT 'd' AS side, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+            UNION ALL
+            SELECT 'b', NULL, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark),
+        f AS (SELECT side, doc_id, unnest(ws) AS word FROM w),
+        tbl AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[]),
+                lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+        codes AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(word) + 1), lambda i: ('0x' || substr(hex(word), 2 * i - 1, 2))::BIGINT)),
+                         lambda c, b: xor(c // 256, tbl.t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT word FROM f), tbl),
+        n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f JOIN codes USING (word) GROUP BY bucket),
+        sums AS (SELECT sum(s)::DOUBLE AS sd, sum(t)::DOUBLE AS td FROM n),
+        gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sd + 10000) / ((s + 1)::DOUBLE * (td + 10000))))::BIGINT AS gain FROM n, sums),
+        weight AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM f JOIN codes USING (word) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+        scored AS (SELECT w.doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+                   + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || w.doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN weight USING (doc_id) WHERE side = 'd'),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM scored WHERE n_features >= 20)
+        SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM scored s LEFT JOIN r USING (doc_id)"""
 }
