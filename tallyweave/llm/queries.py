@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, divergence, hmm, hnsw, licenses, mixing, neardup, resample, secretscan, toxicity, urlfilter
+from . import bpe, covertree, divergence, hmm, hnsw, licenses, mixing, neardup, resample, secretscan, substrings, toxicity, urlfilter
 from .common import remainder, shared_dir, table
 
 #: The production rules of op3: (verdict, host, path).
@@ -80,6 +80,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -89,8 +94,8 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATIONS = (
-    op1_mix_sources, op2_hnsw, op3_url_filter, op4_toxicity, op5_cover_tree, op6_hmm_score, op7_secret_scan, op8_minhash, op9_byte_bpe, op10_license_scan, op12_source_divergence,
-    op13_resample,
+    op1_mix_sources, op2_hnsw, op3_url_filter, op4_toxicity, op5_cover_tree, op6_hmm_score, op7_secret_scan, op8_minhash, op9_byte_bpe, op10_license_scan, op11_substring_dedup,
+    op12_source_divergence, op13_resample,
 )
 QUERIES = {f.__name__: f for f in OPERATIONS}
 
@@ -147,6 +152,15 @@ ORACLES = {
         reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, t.b FROM reach r JOIN two t ON t.a = r.b)
         SELECT n.doc_id, n.n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept
         FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n_shingles""",
+    "op11_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
+        windows AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS w FROM starts),
+        seen AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN seen USING (w) WHERE first < doc_id),
+        words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     "op12_source_divergence": r"""
         WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
         t AS (SELECT doc_id, lang, source, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
