@@ -3,200 +3,335 @@
 Documents are cut at white space into chunks, and chunks are counted, by document first, then by task. Each chunk that
 occurs anywhere is cut into terms once, and its terms are joined back to its counts; whatever is said of terms
 (occurrences in a source, distinct documents of a language) is added up from chunks. A term is kept for a language if
-`least` of its documents hold it. For that no document list grows: where a task has met a chunk in `least` documents
-itself it says so, and only otherwise it names them.
+`least` of its documents hold it. For that no list of documents grows: `least` of them are enough, and then the name
+just counts as held by many.
 
-Kept terms' smoothed shares are compared as whole numbers, between each source and its language and between sources;
-sources meet block of terms by block of terms, as one matrix each.
+Counts travel as packed arrays: tasks send each shard of chunks one row, shards of chunks send each shard of terms one
+row, and both add up what comes in as it comes, so that a frequent chunk costs a shard no more than its sources.
+
+Kept terms' smoothed shares are compared as whole numbers, between each source and its language and between sources:
+every shard of terms is one matrix a language, of which the sums of pairs and the `top` terms of each source go on.
 
 Defined cases: null text, language and source count as empty; a document is told by its id, so rows that repeat one
 count once for `least`, and rows without id are told apart by their text; occurrences count for every row; a source
-without terms has a count of 0 for each kept term; a language without kept terms compares as 0; an empty table gives
-an empty result; other columns are ignored.
+without terms has a count of 0 for each kept term; sources of a language without kept terms are 0 apart; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import materialize
 
-#: A term is a maximal run of letters A to Z and characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term is a maximal run of letters A to Z and characters beyond ASCII (bytes of 128 and more in UTF-8).
+TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 SCALE = 1_000_000_000
-#: Chunks a task gathers before it adds them up; cells of a block's matrix of sources and terms; terms of a block.
-GATHERED, CELLS, TERMS = 3_000_000, 1_000_000, 2_000
-#: What a row of chunk counts says: occurrences in a source, one document of a language, or enough of them.
-OCCURS, HELD, MANY = 0, 1, 2
-
-
-def chunk_counts(docs: DataFrame, least: int) -> DataFrame:
-    """Rows (what, lang, source, chunk, doc, n) of docs (doc, lang, source, text), added up within tasks: OCCURS with n
-    by source; HELD by document, for chunks that the task has met in fewer than `least` of a language; else MANY."""
-
-    class Codes(dict):
-        def __missing__(self, value):
-            self[value] = code = len(self)
-            return code
-
-    def summed(pieces: list[np.ndarray], chunks: Codes, homes: Codes, ids: list[int]) -> Iterator[pa.RecordBatch]:
-        # pieces hold the documents' words as numbers (place of the document * 2^32 + chunk)
-        pairs, times = np.unique(np.concatenate(pieces), return_counts=True)
-        doc, chunk = pairs >> 32, pairs & 0xFFFFFFFF
-        words, places = np.array(list(chunks), object), list(homes)
-        home_of, langs = np.array([h for _, h in ids]), Codes()
-        lang_of = np.array([langs[lang] for lang, _ in places])
-        names = [list(langs), [lang for lang, _ in places], [source for _, source in places]]
-
-        def rows(what, lang, source, c, d, n):
-            text = lambda x: pa.array(x, pa.string())
-            size = len(c)
-            number = lambda x: pa.array(np.broadcast_to(x, size), pa.int64())
-            where = pa.nulls(size, pa.string()) if source is None else source
-            return pa.RecordBatch.from_arrays([pa.array(np.full(size, what), pa.int32()), lang, where, text(words[c]), number(d), number(n)], names=["what", "lang", "source", "chunk", "doc", "n"])
-
-        taken = lambda i, of: pa.DictionaryArray.from_arrays(pa.array(i, pa.int32()), pa.array(names[of], pa.string())).dictionary_decode()
-        key = home_of[doc] << 32 | chunk
+#: Words a task gathers before it adds them up, and entries a shard does; cells of a matrix worked on at a time.
+GATHERED, PENDING, CELLS = 3_000_000, 2_000_000, 1_000_000
+#: Bytes of text for each shard.
+SHARD_BYTES = 8_000_000
+
+
+class Codes(dict):
+    """Numbers for values in the order in which they are first asked for."""
+
+    def __missing__(self, value) -> int:
+        self[value] = code = len(self)
+        return code
+
+
+def pairs(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """One number for each pair; b is less than size."""
+    return a * max(size, 1) + b
+
+
+def heads(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+class Tally:
+    """Names with their occurrences by home (language and source), and the documents of a language that hold them, as
+    far as `least`."""
+
+    def __init__(self, least: int):
+        self.least, self.pending = least, 0
+        self.names, self.homes, self.langs = Codes(), Codes(), Codes()
+        none = np.zeros(0, np.int64)
+        self.counts, self.held, self.many = [(none, none, none)], [(none, none, none)], [(none, none)]
+
+    def add(self, counts: tuple, held: tuple, many: tuple) -> None:
+        """Add arrays (name, home, n), (name, lang, document) and (name, lang) in this tally's numbers."""
+        self.counts.append(counts)
+        self.held.append(held)
+        self.many.append(many)
+        self.pending += len(counts[0]) + len(held[0])
+        if self.pending > PENDING:
+            self.settle()
+
+    def settle(self) -> None:
+        """Equal entries become one."""
+        homes, langs = len(self.homes), len(self.langs)
+        name, home, n = (np.concatenate(x) for x in zip(*self.counts))
+        key = pairs(name, home, homes)
         order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[order], prepend=-1))
-        total, at = np.add.reduceat(times[order], first), key[order][first]
-        yield rows(OCCURS, taken(at >> 32, 1), taken(at >> 32, 2), at & 0xFFFFFFFF, 0, total)
-        # ids that repeat count once, so documents are told by a number of their own
-        _, person = np.unique(np.array([i for i, _ in ids]), return_inverse=True)
-        key, who = lang_of[home_of[doc]] << 32 | chunk, person[doc]
-        order = np.lexsort((who, key))
-        key, doc, who = key[order], doc[order], who[order]
-        once = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(who, prepend=-1) != 0))
-        key, doc = key[once], doc[once]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
+        first = heads(key[order])
+        self.counts = [(name[order][first], home[order][first], np.add.reduceat(n[order], first) if len(first) else n)]
+        sure = np.unique(pairs(*(np.concatenate(x) for x in zip(*self.many)), langs))
+        name, lang, document = (np.concatenate(x) for x in zip(*self.held))
+        key = pairs(name, lang, langs)
+        open_ = ~np.isin(key, sure)
+        key, document = key[open_], document[open_]
+        order = np.lexsort((document, key))
+        key, document = key[order], document[order]
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (document[1:] != document[:-1])]) if len(key) else np.zeros(0, bool)
+        key, document = key[once], document[once]
+        first = heads(key)
         size = np.diff(np.append(first, len(key)))
-        many, few = first[size >= least], np.repeat(size < least, size)
-        yield rows(MANY, taken(key[many] >> 32, 0), None, key[many] & 0xFFFFFFFF, 0, 0)
-        yield rows(HELD, taken(key[few] >> 32, 0), None, key[few] & 0xFFFFFFFF, np.array([i for i, _ in ids], np.int64)[doc[few]], 0)
+        few = np.repeat(size < self.least, size)
+        sure = np.concatenate([sure, key[first[size >= self.least]]])
+        self.held, self.many = [(key[few] // max(langs, 1), key[few] % max(langs, 1), document[few])], [(sure // max(langs, 1), sure % max(langs, 1))]
+        self.pending = 0
+
+    def packed(self, shards: int) -> Iterator[tuple]:
+        """One row for each shard of names."""
+        self.settle()
+        names, homes, langs = list(self.names), list(self.homes), list(self.langs)
+        shard = np.array([crc32(x) % shards for x in names], np.int64)
+        place = np.zeros(len(names), np.int64)  # of a name within its shard
+        by_shard = np.argsort(shard, kind="stable")
+        first = heads(shard[by_shard])
+        place[by_shard] = np.arange(len(names)) - np.repeat(first, np.diff(np.append(first, len(names))))
+        sorted_ = [tuple(x[order] for x in arrays) for arrays in (self.counts[0], self.held[0], self.many[0]) for order in [np.argsort(shard[arrays[0]], kind="stable")]]
+        bounds = [np.searchsorted(shard[arrays[0]], np.arange(shards + 1)) for arrays in sorted_]
+        for start, end in zip(first.tolist(), np.append(first[1:], len(names)).tolist()):
+            s = int(shard[by_shard[start]])
+            part = [tuple(x[b[s] : b[s + 1]] for x in arrays) for arrays, b in zip(sorted_, bounds)]
+            used, home = np.unique(part[0][1], return_inverse=True)
+            lists = [[homes[h][0] for h in used], [homes[h][1] for h in used], langs]
+            small = lambda x: x.astype(np.int32).tobytes()
+            yield (
+                s, b"\n".join([names[i] for i in by_shard[start:end]]), *lists, small(place[part[0][0]]), small(home), part[0][2].tobytes(),
+                small(place[part[1][0]]), small(part[1][1]), part[1][2].tobytes(), small(place[part[2][0]]), small(part[2][1]),
+            )
+
+    def take(self, row: dict) -> None:
+        """Add a row of packed()."""
+        name = np.array([self.names[x] for x in row["names"].split(b"\n")], np.int64)
+        home = np.array([self.homes[x] for x in zip(row["home_lang"], row["home_source"])], np.int64)
+        lang = np.array([self.langs[x] for x in row["langs"]], np.int64)
+        of = lambda c, kind=np.int32: np.frombuffer(row[c], kind)
+        self.add((name[of("name")], home[of("home")], of("n", np.int64)), (name[of("held")], lang[of("held_lang")], of("document", np.int64)), (name[of("many")], lang[of("many_lang")]))
+
+    def of_terms(self) -> Tally:
+        """The same of the terms that the names hold: each name is cut once."""
+        self.settle()
+        out = Tally(self.least)
+        out.homes, out.langs = self.homes, self.langs
+        found = [[out.names[t] for t in TERM.findall(name.lower())] for name in self.names]
+        size = np.array([len(f) for f in found], np.int64)
+        terms, begin = np.array([t for f in found for t in f], np.int64), np.cumsum(size) - size
+
+        def joined(arrays: tuple) -> tuple:
+            times = size[arrays[0]]
+            at = np.repeat(np.arange(len(times)), times)
+            step = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            return terms[begin[arrays[0]][at] + step], *(x[at] for x in arrays[1:])
+
+        out.add(joined(self.counts[0]), joined(self.held[0]), joined(self.many[0]))
+        return out
+
+    def kept(self) -> Iterator[tuple]:
+        """(lang, terms, sources, term, source, n): for each language the names that many documents hold."""
+        self.settle()
+        names, homes = list(self.names), list(self.homes)
+        home_lang = np.array([self.langs[lang] for lang, _ in homes], np.int64)
+        sure = np.unique(pairs(*self.many[0], len(self.langs)))
+        name, home, n = self.counts[0]
+        key = pairs(name, home_lang[home], len(self.langs))
+        known = np.isin(key, sure)
+        name, home, n = name[known], home[known], n[known]
+        for code, lang in enumerate(list(self.langs)):
+            mine = home_lang[home] == code
+            if mine.any():
+                used, term = np.unique(name[mine], return_inverse=True)
+                sources, source = np.unique(home[mine], return_inverse=True)
+                yield lang, b"\n".join([names[i] for i in used]), [homes[h][1] for h in sources], term.astype(np.int32).tobytes(), source.astype(np.int32).tobytes(), n[mine].tobytes()
+
+
+COLUMNS = {
+    "shard": pa.int32(), "names": pa.binary(), "home_lang": pa.list_(pa.string()), "home_source": pa.list_(pa.string()), "langs": pa.list_(pa.string()), "name": pa.binary(), "home": pa.binary(), "n": pa.binary(),
+    "held": pa.binary(), "held_lang": pa.binary(), "document": pa.binary(), "many": pa.binary(), "many_lang": pa.binary(),
+}
+KEPT = {"lang": pa.string(), "terms": pa.binary(), "sources": pa.list_(pa.string()), "term": pa.binary(), "source": pa.binary(), "n": pa.binary()}
+KINDS = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string", pa.list_(pa.string()): "array<string>"}
+
+
+def batch_of(rows: list[tuple], columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(columns.values())], names=list(columns))
+
+
+def ddl(columns: dict) -> str:
+    return ", ".join(f"{name} {KINDS[kind]}" for name, kind in columns.items())
+
+
+def chunk_tallies(docs: DataFrame, least: int, shards: int) -> DataFrame:
+    """The chunks of docs (doc, lang, source, text), tallied within tasks and packed by shard."""
+
+    def tallied(words: list[np.ndarray], chunks: Codes, places: list[tuple]) -> pa.RecordBatch:
+        tally = Tally(least)
+        tally.names = chunks
+        home = np.array([tally.homes[lang, source] for _, lang, source in places], np.int64)
+        lang = np.array([tally.langs[lang] for _, lang, _ in places], np.int64)
+        document = np.array([doc for doc, _, _ in places], np.int64)
+        # a document's chunks are counted before anything else
+        each, times = np.unique(np.concatenate(words), return_counts=True)
+        place, chunk = each >> 32, each & 0xFFFFFFFF
+        none = np.zeros(0, np.int64)
+        tally.add((chunk, home[place], times), (chunk, lang[place], document[place]), (none, none))
+        return batch_of(list(tally.packed(shards)), COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, chunks, homes, ids, n = [], Codes(), Codes(), [], 0
+        words, chunks, places, n = [], Codes(), [], 0
         for batch in batches:
             for doc, lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "lang", "source", "text"))):
                 parts = text.encode().split()
                 if not parts:
                     continue
-                pieces.append(np.fromiter(map(chunks.__getitem__, parts), np.int64, len(parts)) | len(ids) << 32)
-                ids.append((doc, homes[lang, source]))
+                words.append(np.fromiter(map(chunks.__getitem__, parts), np.int64, len(parts)) | len(places) << 32)
+                places.append((doc, lang, source))
                 n += len(parts)
                 if n >= GATHERED:
-                    yield from summed(pieces, Codes({w.decode(): c for w, c in chunks.items()}), homes, ids)
-                    pieces, chunks, homes, ids, n = [], Codes(), Codes(), [], 0
-        if pieces:
-            yield from summed(pieces, Codes({w.decode(): c for w, c in chunks.items()}), homes, ids)
-
-    return docs.mapInArrow(run, "what int, lang string, source string, chunk string, doc long, n long")
-
-
-def terms_of(chunk: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(chunk), F.lit(TERM), F.lit(0))
-
-
-def term_counts(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(kept, counts) of docs (doc_id, lang, source, text): the terms (lang, term) that stand in `least` documents of a
-    language, and how often (lang, source, term, n) kept terms occur."""
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    told = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text("text"))).alias("doc"), text("lang").alias("lang"), text("source").alias("source"), text("text").alias("text"))
-    chunks = materialize(chunk_counts(told, least).groupBy("what", "lang", "source", "chunk", "doc").agg(F.sum("n").alias("n")))
-    # each chunk that occurs is cut into terms here, once, wherever it stands
-    terms = chunks.select("chunk").distinct().withColumn("terms", terms_of(F.col("chunk"))).filter(F.size("terms") > 0)
-    of_chunks = materialize(chunks.join(terms, "chunk").select("what", "lang", "source", F.explode("terms").alias("term"), "doc", "n").groupBy("what", "lang", "source", "term", "doc").agg(F.sum("n").alias("n")))
-    many = of_chunks.filter(F.col("what") == MANY).select("lang", "term")
-    few = of_chunks.filter(F.col("what") == HELD).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least)
-    kept = materialize(many.unionByName(few.select("lang", "term")).distinct())
-    counts = of_chunks.filter(F.col("what") == OCCURS).select("lang", "source", "term", "n").join(kept, ["lang", "term"])
-    return kept, materialize(counts)
-
-
-def with_shares(counts: DataFrame, homes: DataFrame) -> DataFrame:
-    """counts (of homes: `total` occurrences of `kept` kept terms) with p, a smoothed share of SCALE rounded down, plus
-    1. Decimals keep it exact beyond the range of whole numbers."""
-    whole = lambda c: f"cast({c} as decimal(20, 0))"
-    p = f"1 + ({SCALE} * ({whole('n')} + 2)) div ({whole('total')} + 2 * {whole('kept')})"
-    return counts.join(homes, [c for c in ("lang", "source") if c in homes.columns]).withColumn("p", F.expr(p))
-
-
-def apart(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), p + q)
-
-
-def compared(shares: DataFrame, homes: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, item, value): for each source of a language and each other one the sum over all kept terms of how
-    far their shares (lang, source, term, p) are apart. Sources and terms are dealt to blocks, and each two blocks of
-    sources meet in a block of terms as two matrices; a term that a source lacks stands there with p0."""
-    sizes = homes.groupBy("lang", "kept").agg(F.count(F.lit(1)).alias("sources"))
-    sizes = sizes.select("lang", F.ceil(F.col("sources") / F.lit(CELLS // TERMS)).cast("int").alias("of_sources"), F.greatest(F.ceil(F.col("kept") / TERMS), F.lit(1)).cast("int").alias("of_terms"))
-    block_of_source = F.pmod(F.xxhash64("source"), F.col("of_sources")).cast("int")
-    block_of_term = F.pmod(F.xxhash64("term"), F.col("of_terms")).cast("int")
-    per_block = kept.join(sizes, "lang").groupBy("lang", block_of_term.alias("terms")).agg(F.count(F.lit(1)).alias("n"))
-    with_terms = shares.join(sizes, "lang").select("lang", block_of_term.alias("terms"), block_of_source.alias("mine"), "of_sources", "source", "term", "p", F.lit(0).cast("long").alias("n"))
-    none = homes.join(sizes, "lang").withColumn("terms", F.explode(F.sequence(F.lit(0), F.col("of_terms") - 1))).join(per_block, ["lang", "terms"], "left")
-    none = none.select("lang", "terms", block_of_source.alias("mine"), "of_sources", "source", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    side = with_terms.unionByName(none).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("of_sources") - 1)))
-    def keyed(a: str, b: str):
-        # every column under an alias: both sides come of one table
-        named = {"lang": "lang", "terms": "terms", "mine": a, "theirs": b, "source": "source", "term": "term", "p": "p", "n": "n"}
-        return side.select(*[F.col(c).alias(name) for c, name in named.items()]).groupBy("lang", "terms", "a", "b")
-
-    def matrix(rows: pa.Table, column: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray, int]:
-        source, term, p = (rows.column(c).to_pylist() for c in ("source", "term", "p"))
-        base = {s: i for i, s in enumerate(sorted(s for s, t in zip(source, term) if t is None))}
-        p0 = np.zeros(len(base), np.int64)
-        for s, t, x in zip(source, term, p):
-            if t is None:
-                p0[base[s]] = x
-        out = np.repeat(p0[:, None], len(column), 1)
-        for s, t, x in zip(source, term, p):
-            if t is not None:
-                out[base[s], column[t]] = x
-        return list(base), p0, out, max(rows.column("n").to_pylist())
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        lang = key[0].as_py()
-        met = sorted({t for side in (left, right) for t in side.column("term").to_pylist() if t is not None})
-        column = {t: i for i, t in enumerate(met)}
-        mine, p0, p, n = matrix(left, column)
-        theirs, q0, q, _ = matrix(right, column)
-        value = [(((x - q) ** 2) // (x + q)).sum(1) + (n - len(met)) * ((x0 - q0) ** 2 // (x0 + q0)) for x, x0 in zip(p, p0)]
-        pairs = [(s, t, int(v)) for s, row in zip(mine, value) for t, v in zip(theirs, row) if s != t]
-        columns = [pa.array([lang] * len(pairs), pa.string()), *(pa.array([x[i] for x in pairs], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64())))]
-        return pa.Table.from_arrays(columns, names=["lang", "source", "item", "value"])
-
-    made = keyed("a", "b").cogroup(keyed("b", "a")).applyInArrow(run, "lang string, source string, item string, value long")
-    return made.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+                    yield tallied(words, chunks, places)
+                    words, chunks, places, n = [], Codes(), [], 0
+        if words:
+            yield tallied(words, chunks, places)
+
+    return docs.mapInArrow(run, ddl(COLUMNS))
+
+
+def by_shard(rows: DataFrame, least: int, finish: Callable[[Tally], Iterator[tuple]], columns: dict) -> DataFrame:
+    """What finish gives of each shard's tally, which is added up row by row."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, tally = None, Tally(least)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["shard"] != shard:
+                    if shard is not None:
+                        yield batch_of(list(finish(tally)), columns)
+                    shard, tally = row["shard"], Tally(least)
+                tally.take(row)
+        if shard is not None:
+            yield batch_of(list(finish(tally)), columns)
+
+    return rows.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, ddl(columns))
+
+
+def kept_terms(docs: DataFrame, least: int = 10) -> DataFrame:
+    """Rows (lang, terms, sources, term, source, n): the terms that `least` documents of a language hold and how often
+    each of its sources has them, shard by shard, packed."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = int(max(1, -(-size // SHARD_BYTES)))
+    told = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))).alias("doc"), text("lang"), text("source"), text("text"))
+    terms = by_shard(chunk_tallies(told, least, shards), least, lambda tally: tally.of_terms().packed(shards), COLUMNS)
+    return materialize(by_shard(terms, least, lambda tally: tally.kept(), KEPT))
+
+
+def sums_of(kept: DataFrame) -> DataFrame:
+    """(lang, source, total, kept): the occurrences of each source, and in a row without source the number of terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                source, n = np.frombuffer(row["source"], np.int32), np.frombuffer(row["n"], np.int64)
+                total = np.zeros(len(row["sources"]), np.int64)
+                np.add.at(total, source, n)
+                out += [(row["lang"], s, int(t), 0) for s, t in zip(row["sources"], total)]
+                out.append((row["lang"], None, 0, row["terms"].count(b"\n") + 1))
+            yield batch_of(out, {"lang": pa.string(), "source": pa.string(), "total": pa.int64(), "kept": pa.int64()})
+
+    return kept.mapInArrow(run, "lang string, source string, total long, kept long").groupBy("lang", "source").agg(F.sum("total").alias("total"), F.sum("kept").alias("kept"))
+
+
+def shares(n: np.ndarray, total, kept: int) -> np.ndarray:
+    """1 + floor(SCALE * (n + 2) / (total + 2 * kept)), exactly."""
+    exact = n.astype(object) if n.max(initial=0) > 9_000_000_000 else n
+    return (1 + SCALE * (exact + 2) // (total + 2 * kept)).astype(np.int64)
+
+
+def far(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) ** 2 // (p + q)
+
+
+def compared(rows: DataFrame, top: int) -> DataFrame:
+    """(lang, source, part, item, value) of rows (lang, kept, homes and the columns of kept_terms, null where a language
+    keeps no term): sums of the terms at hand for pairs of sources, and each source's `top` terms among them."""
+    columns = {"lang": pa.string(), "source": pa.string(), "part": pa.string(), "item": pa.string(), "value": pa.int64()}
+
+    def of_row(row: dict) -> Iterator[tuple]:
+        lang, V = row["lang"], row["kept"]
+        homes = sorted((h["source"], h["total"]) for h in row["homes"])
+        names, totals = [s for s, _ in homes], np.array([t for _, t in homes])[:, None]
+        apart = np.zeros((len(names), len(names)), np.int64)
+        if row["terms"] is not None:
+            terms = row["terms"].split(b"\n")
+            at = {s: i for i, s in enumerate(names)}
+            line = np.array([at[s] for s in row["sources"]])[np.frombuffer(row["source"], np.int32)]
+            term, n = np.frombuffer(row["term"], np.int32), np.frombuffer(row["n"], np.int64)
+            order = np.argsort(term, kind="stable")
+            line, term, n = line[order], term[order], n[order]
+            best: list[list[tuple]] = [[] for _ in names]
+            width = max(1, CELLS // len(names))
+            for low in range(0, len(terms), width):
+                cell = slice(*np.searchsorted(term, [low, low + width]))
+                counts = np.zeros((len(names), min(width, len(terms) - low)), np.int64)
+                counts[line[cell], term[cell] - low] = n[cell]
+                p, q = shares(counts, totals, V), shares(counts.sum(0), int(totals.sum()), V)
+                for i in range(len(names)):
+                    apart[i] += far(p[i], p).sum(1)
+                    more = np.flatnonzero((counts[i] > 0) & (p[i] > q))
+                    value = far(p[i][more], q[more])
+                    if len(more) > top:  # ties with the last one stay
+                        more = more[value >= np.partition(value, -top)[-top]]
+                        value = far(p[i][more], q[more])
+                    best[i] = sorted(best[i] + [(-int(v), terms[low + j]) for v, j in zip(value, more.tolist())])[:top]
+            for source, found in zip(names, best):
+                yield from ((lang, source, "term", t.decode(), -v) for v, t in found)
+        for source, values in zip(names, apart):
+            yield from ((lang, source, "pair", other, int(v)) for other, v in zip(names, values) if other != source)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield batch_of(list(of_row(batch.slice(i, 1).to_pylist()[0])), columns)
+
+    return rows.mapInArrow(run, ddl(columns))
 
 
 def audit(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     """lang, source, part, item, value and rank. Part `pair`: how far each source of a language is from each other one;
     part `term`: the `top` terms that a source has more of than its language."""
-    kept, counts = term_counts(docs, least)
+    kept = kept_terms(docs, least)
+    sums = materialize(sums_of(kept))
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
-    homes = docs.select(text("lang"), text("source")).distinct().join(sums, ["lang", "source"], "left").join(vocabulary, "lang", "left").fillna(0, ["total", "kept"])
-    # without kept terms there is nothing to share out, and no value to work out either
-    p0 = F.expr(f"if(kept = 0, 1, 1 + ({SCALE} * cast(2 as decimal(20, 0))) div (cast(total as decimal(20, 0)) + 2 * cast(kept as decimal(20, 0))))")
-    homes = materialize(homes.withColumn("p0", p0))
-
-    shares = materialize(with_shares(counts, homes.drop("p0")).select("lang", "source", "term", "n", "p"))
-    pairs = compared(shares.drop("n"), homes, kept)
-
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    langs = homes.groupBy("lang").agg(F.sum("total").alias("total"), F.max("kept").alias("kept"))
-    q = with_shares(of_lang, langs).select("lang", "term", F.col("p").alias("q"))
-    more = shares.join(q, ["lang", "term"]).filter(F.col("p") > F.col("q"))
-    terms = more.select("lang", "source", F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
-
-    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
-    columns = lambda rows, part: rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", rank.alias("rank"))
-    return columns(pairs, "pair").unionByName(columns(terms, "term").filter(F.col("rank") <= top))
+    homes = docs.select(text("lang"), text("source")).distinct().join(sums.filter("source is not null").drop("kept"), ["lang", "source"], "left").fillna(0, ["total"])
+    vocabulary = sums.filter("source is null").select("lang", "kept")
+    langs = homes.groupBy("lang").agg(F.collect_list(F.struct("source", "total")).alias("homes")).join(vocabulary, "lang", "left").fillna(0, ["kept"])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = langs.join(kept, "lang", "left").repartition(parts, "lang", "terms")
+    found = compared(rows, top).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item"))
+    return found.withColumn("rank", rank).filter((F.col("part") == "pair") | (F.col("rank") <= top))

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tallyweave.llm import divergence, resample, substrings
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, block int, row int, term string, buckets string, rank double"
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(20_000))
-TERM, PLAIN = re.compile(divergence.TERM), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+TERM, PLAIN = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def made(spark, rows):
@@ -119,11 +120,10 @@ def audited(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("least, cells, gathered", [(10, 1_000_000, 3_000_000), (3, 2_000, 500)])
-def test_source_divergence(spark, rows, monkeypatch, least, cells, gathered):
-    monkeypatch.setattr(divergence, "GATHERED", gathered)
-    monkeypatch.setattr(divergence, "TERMS", 7 if cells < 10_000 else 2_000)
-    monkeypatch.setattr(divergence, "CELLS", 14 if cells < 10_000 else cells)
+@pytest.mark.parametrize("least, small", [(10, {}), (3, {"GATHERED": 500, "PENDING": 50, "CELLS": 14, "SHARD_BYTES": 2_000})])
+def test_source_divergence(spark, rows, monkeypatch, least, small):
+    for name, value in small.items():
+        monkeypatch.setattr(divergence, name, value)
     some = [r for r in rows if len(r[1] or "") < 5000] + [(400 + i, "Re-count, re count; RECOUNT. www.re.org/re"[i:], "it", f"s{i % 3}") for i in range(12)]
     got = sorted(tuple(r) for r in divergence.audit(made(spark, some), least, 10).collect())
     assert got == audited(some, least, 10) and {r[2] for r in got} == {"pair", "term"}
@@ -132,8 +132,12 @@ def test_source_divergence(spark, rows, monkeypatch, least, cells, gathered):
 def test_documents_of_a_term_are_counted_once_over_chunks(spark):
     """Nine documents hold both forms of a word, a tenth one of them; the other word has nine."""
     texts = [(i, "Word, word. other", "en", "a") for i in range(9)] + [(9, "word!", "en", "a"), (3, "other", "en", "a"), (3, "other", "en", "b")]
-    kept, _ = divergence.term_counts(made(spark, texts), 10)
-    assert [r.term for r in kept.collect()] == ["word"]
+    assert [r.terms for r in divergence.kept_terms(made(spark, texts), 10).collect()] == [b"word"]
+
+
+def test_shares_are_exact_for_large_counts():
+    n = 10**11 + 7
+    assert divergence.shares(np.array([n, 0]), 10**13 + 1, 5).tolist() == [1 + 10**9 * (n + 2) // (10**13 + 11), 1 + 2 * 10**9 // (10**13 + 11)]
 
 
 def resampled(rows, target, percent, n, buckets, least, seed):
