@@ -35,7 +35,7 @@ from .common import materialize
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 SCALE = 1_000_000_000
 #: Words a task gathers before it adds them up, and entries a shard does; cells of a matrix worked on at a time.
-GATHERED, PENDING, CELLS = 3_000_000, 2_000_000, 1_000_000
+GATHERED, PENDING, CELLS = 1_500_000, 1_000_000, 500_000
 #: Bytes of text for each shard.
 SHARD_BYTES = 8_000_000
 
@@ -194,6 +194,7 @@ def chunk_tallies(docs: DataFrame, least: int, shards: int) -> DataFrame:
         document = np.array([doc for doc, _, _ in places], np.int64)
         # a document's chunks are counted before anything else
         each, times = np.unique(np.concatenate(words), return_counts=True)
+        words.clear()
         place, chunk = each >> 32, each & 0xFFFFFFFF
         none = np.zeros(0, np.int64)
         tally.add((chunk, home[place], times), (chunk, lang[place], document[place]), (none, none))
