@@ -35,7 +35,7 @@ from .common import materialize
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 SCALE = 1_000_000_000
 #: Words a task gathers before it adds them up, and entries a shard does; cells of a matrix worked on at a time.
-GATHERED, PENDING, CELLS = 1_500_000, 1_000_000, 500_000
+GATHERED, PENDING, CELLS = 800_000, 500_000, 500_000
 #: Bytes of text for each shard.
 SHARD_BYTES = 8_000_000
 
@@ -203,13 +203,13 @@ def chunk_tallies(docs: DataFrame, least: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chunks, places, n = [], Codes(), [], 0
         for batch in batches:
-            for doc, lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "lang", "source", "text"))):
-                parts = text.encode().split()
-                if not parts:
-                    continue
-                words.append(np.fromiter(map(chunks.__getitem__, parts), np.int64, len(parts)) | len(places) << 32)
-                places.append((doc, lang, source))
-                n += len(parts)
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                for doc, lang, source, text in zip(*(part.column(c).to_pylist() for c in ("doc", "lang", "source", "text"))):
+                    found = text.encode().split()
+                    if found:
+                        words.append(np.fromiter(map(chunks.__getitem__, found), np.int64, len(found)) | len(places) << 32)
+                        places.append((doc, lang, source))
+                        n += len(found)
                 if n >= GATHERED:
                     yield tallied(words, chunks, places)
                     words, chunks, places, n = [], Codes(), [], 0
