@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import verify
 from ..schemas import POLICY, REVERIFIABLE
+from . import partners
 
 # The ranges of the dials.
 RANGES = {"amount_review_threshold": (0, None), "confidence_floor": (0, 1), "duplicate_window_days": (0, 365)}
@@ -22,29 +23,43 @@ def changed(policy: dict, patch: dict) -> dict | None:
     return None if new == policy else new
 
 
-def reverify(invoices: DataFrame, policy: dict = POLICY) -> DataFrame:
-    """Open invoices (checked) judged anew among all others. What a stored row no longer holds stays lost: the text
-    layer and unmapped rates; handwriting is taken from its checks."""
-    past = ("checks", "status", "reason", "dup_exact", "dup_near", "text_layer", "accounting_id", "error_code", "error_message")
+#: What a judgement works out, and what matching does: both are made anew.
+JUDGED = ("checks", "status", "reason", "dup_exact", "dup_near", "text_layer", "accounting_id", "error_code", "error_message")
+MATCHED = ("by_registration", "by_name", "agreement", "partner_code", "method", "match_confidence", "fuzzy_score")
+FACTS = ("arrival", "partner_code", "invoice_number", "total_amount", "issue_date", "status")
+
+
+def judged_again(rows: DataFrame, invoices: DataFrame, policy: dict = POLICY, master: DataFrame | None = None) -> DataFrame:
+    """Stored rows judged anew among all invoices. What a stored row no longer holds stays lost: the text layer and
+    unmapped rates; handwriting is taken from its checks. With a master their suppliers are matched again, and a known
+    supplier that a row stands by (reviewer_code, or else its own) wins over another match."""
     of = lambda name: F.get(F.filter("checks", lambda c: c["name"] == name), F.lit(0))
     pays = F.coalesce(~of("handwriting.on_payment_details")["passed"], F.lit(False))
     marked = pays | F.coalesce(~of("handwriting.detected")["passed"], F.lit(False))
-    open_ = invoices.filter(F.col("status").isin(*REVERIFIABLE)).withColumns(
+    carried = rows.withColumns(
         {
-            "was": F.col("status"),
             "unmapped_tax_rates": F.array().cast("array<string>"),
             "handwriting_notes": F.when(pays, F.lit("")).otherwise(F.coalesce(of("handwriting.detected")["detail"], F.lit(""))),
             "handwriting_affects_payment": pays,
             "has_handwriting": marked,
         }
-    )
-    return verify.judge(open_.drop(*past), policy, existing=invoices.select("arrival", "partner_code", "invoice_number", "total_amount", "issue_date", "status"), scope="all")
+    ).drop(*JUDGED)
+    if master is not None:
+        if "reviewer_code" not in carried.columns:
+            carried = carried.withColumn("reviewer_code", F.col("partner_code"))
+        carried = partners.chosen_by_reviewer(partners.resolve(carried.drop(*MATCHED), master), master).drop("reviewer_code")
+    return verify.judge(carried, policy, existing=invoices.select(*FACTS), scope="all")
+
+
+def reverify(invoices: DataFrame, policy: dict = POLICY, master: DataFrame | None = None) -> DataFrame:
+    """Open invoices (checked) judged anew among all others; was is the state before."""
+    return judged_again(invoices.filter(F.col("status").isin(*REVERIFIABLE)).withColumn("was", F.col("status")), invoices, policy, master)
 
 
-def what_if(invoices: DataFrame, policy: dict, patch: dict) -> DataFrame:
+def what_if(invoices: DataFrame, policy: dict, patch: dict, master: DataFrame | None = None) -> DataFrame:
     """How many open invoices a change would judge again and how many would move, by state before and after."""
     new = changed(policy, patch) or policy
-    return reverify(invoices, new).groupBy("was", F.col("status").alias("now")).agg(F.count(F.lit(1)).alias("invoices"))
+    return reverify(invoices, new, master).groupBy("was", F.col("status").alias("now")).agg(F.count(F.lit(1)).alias("invoices"))
 
 
 def history(changes: DataFrame, n: int = 25) -> DataFrame:

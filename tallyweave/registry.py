@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import checks, dedupe, evals, ledger, normalize, partners, policy, report, review
-from .plans import verify
+from .plans import casework, verify
 from .schemas import FALLBACK_UNIT, TAX_RATES
 from .sources import intake
 from .sources.projection import LATER, PROJECTED_POLICY, as_operations, operations, raw_invoices, read, typed_lines
@@ -548,14 +548,17 @@ def override_report(spark, sf_dir):
 @query("SELECT arrival, CASE WHEN arrival % 6 = 0 THEN 'REJECTED' ELSE status END AS status FROM judged", TYPED)
 def apply_rejects(spark, sf_dir):
     rows = checked(spark, sf_dir)
-    return review.apply_rejects(rows, rows.filter("arrival % 6 = 0").select("arrival", F.lit(None).cast("string").alias("note"))).select("arrival", "status")
+    twice = rows.filter("arrival % 6 = 0").select("arrival", F.lit(None).cast("string").alias("note"), F.explode(F.array(F.lit(1), F.lit(2))).alias("event_id"))
+    return review.apply_rejects(rows, twice).select("arrival", "status")
 
 
 @query("SELECT arrival, CASE WHEN arrival % 10 = 4 THEN 'edited ' || arrival ELSE number END AS invoice_number, total_amount, (CASE WHEN arrival % 10 = 4 THEN 1 ELSE n END)::INTEGER AS n_lines FROM judged", TYPED)
 def apply_edits(spark, sf_dir):
     rows = checked(spark, sf_dir)
     line = F.array(F.struct(F.lit("all").alias("description"), F.lit(1).cast("bigint").alias("quantity"), F.lit("").alias("unit"), F.col("total_amount").alias("unit_price"), F.col("total_amount").alias("amount"), F.lit("T10").alias("tax_code")))
-    edits = rows.filter("arrival % 10 = 4").select("arrival", F.lit("reviewer").alias("actor"), F.concat(F.lit("edited "), F.col("arrival").cast("string")).alias("patch_invoice_number"), F.lit(None).cast("bigint").alias("patch_total_amount"), line.alias("patch_lines"))
+    edits = rows.filter("arrival % 10 = 4").select("arrival", F.lit("reviewer").alias("actor"), F.concat(F.lit("edited "), F.col("arrival").cast("string")).alias("patch_invoice_number"), F.lit(None).cast("bigint").alias("patch_total_amount"), line.alias("patch_lines"), F.lit(2).alias("event_id"))
+    before = edits.withColumns({"event_id": F.lit(1), "patch_invoice_number": F.lit("first try"), "patch_lines": F.lit(None).cast(edits.schema["patch_lines"].dataType)})
+    edits = before.unionByName(edits)
     return review.apply_edits(rows, edits)[0].select("arrival", "invoice_number", "total_amount", F.size("lines").alias("n_lines"))
 
 
@@ -575,7 +578,7 @@ AGAIN = (
 
 @query("SELECT was, CASE WHEN blocked THEN 'BLOCKED' WHEN doubtful THEN 'NEEDS_REVIEW' ELSE 'EXTRACTED' END AS now, count(*) AS invoices FROM again GROUP BY ALL", AGAIN)
 def policy_whatif(spark, sf_dir):
-    return policy.what_if(checked(spark, sf_dir), PROJECTED_POLICY, {"amount_review_threshold": 250_000})
+    return policy.what_if(checked(spark, sf_dir), PROJECTED_POLICY, {"amount_review_threshold": 250_000}, master(spark, sf_dir))
 
 
 # operating figures
@@ -702,19 +705,91 @@ def stream_status(spark, sf_dir):
     return spark.table(name)
 
 
-@query("""SELECT arrival, 'approve' AS kind, CASE WHEN status = 'BLOCKED' THEN 'blocked' ELSE 'send' END AS result FROM judged WHERE arrival % 4 = 1
-    UNION ALL SELECT arrival, 'reject', 'rejected' FROM judged WHERE arrival % 6 = 0 UNION ALL SELECT arrival, 'edit', 'edited' FROM judged WHERE arrival % 10 = 4
-    UNION ALL SELECT arrival, 'policy', 'policy changed' FROM judged WHERE arrival % 1000 = 3""", TYPED)
+def folded_sql() -> str:
+    """Every open invoice as two turns of events and a change of policy leave it (see case_events)."""
+    def judged(name: str, rows: str, others: str, limit: int = 400_000) -> str:
+        # rows: the invoices judged, with their facts; others: all, as they were before
+        return f"""{name}_d AS (
+            SELECT a.arrival, coalesce(bool_or(a.nkey = b.nkey), false) AS twin,
+                   coalesce(bool_or(a.nkey <> b.nkey AND a.total_amount = b.total_amount AND abs(a.issued - b.issued) <= 7), false) AS near
+            FROM {rows} a LEFT JOIN {others} b ON a.pid = b.pid AND b.arrival <> a.arrival AND b.status <> 'REJECTED' AND (a.nkey = b.nkey OR a.total_amount = b.total_amount) GROUP BY a.arrival),
+        {name} AS (
+            SELECT a.* EXCLUDE (status), a.status AS was, n = 0 OR a.pid IS NULL OR twin AS blocked,
+                   other OR unsure OR near OR due IS NULL OR coalesce(due < issued, false) OR total_amount > {limit} AS doubtful
+            FROM {rows} a JOIN {name}_d USING (arrival))"""
+
+    verdict = "CASE WHEN blocked THEN 'BLOCKED' WHEN doubtful THEN 'NEEDS_REVIEW' ELSE 'EXTRACTED' END"
+    sent = "CASE WHEN unknown > 0 OR due < issued THEN 'NEEDS_REVIEW' ELSE 'POSTED' END"
+    approved = f"CASE WHEN blocked THEN 'BLOCKED' WHEN kind = 'bare' AND pays THEN was WHEN due IS NULL THEN was ELSE {sent} END"
+    said = "CASE WHEN blocked THEN 'blocked' WHEN kind = 'bare' AND pays THEN 'payment decision missing' WHEN due IS NULL THEN 'cannot be sent: dates' WHEN unknown > 0 THEN 'refused: UNKNOWN_TAX_CODE' WHEN due < issued THEN 'refused: DUE_DATE_BEFORE_ISSUE_DATE' ELSE 'registered' END"
+    facts = "arrival, pid, number, nkey, total_amount, issued, due, n, unknown, other, unsure, pays, kind, status, result1, result2"
+    step = lambda name, of, result, keep: f"{name} AS (SELECT arrival, pid, number, nkey, total_amount, issued, due, n, unknown, other, unsure, pays, kind, {of} AS status, {result} FROM {keep})"
+    return (
+        TYPED
+        + f""", s0 AS (
+            SELECT arrival, pid, number, nkey, total_amount, issued, due, n, unknown, ok % 59 = 0 AS pays, method = 'FUZZY_NAME' OR conflict AS unsure, status, NULL::VARCHAR AS result1, NULL::VARCHAR AS result2,
+                   len(list_filter(bad, lambda c: c.severity = 'ERROR' AND c.name NOT IN ('dedupe.near', 'dates.parsed', 'dates.order', 'amount.threshold', 'partner.match_quality', 'partner.agreement'))) > 0 AS other,
+                   CASE arrival % 12 WHEN 1 THEN 'edit' WHEN 2 THEN 'reject' WHEN 3 THEN 'late' WHEN 4 THEN 'twice' WHEN 5 THEN 'choose' WHEN 6 THEN 'bare' END AS kind
+            FROM judged),
+        a1 AS (SELECT * REPLACE (CASE WHEN kind = 'edit' THEN 'N' || arrival ELSE number END AS number, CASE WHEN kind = 'edit' THEN 'N' || arrival ELSE nkey END AS nkey,
+                      CASE WHEN kind = 'choose' THEN 1 ELSE pid END AS pid, unsure AND NOT (kind = 'choose' AND coalesce(pid <> 1, true)) AS unsure) FROM s0 WHERE kind IN ('edit', 'twice', 'choose', 'bare')),
+        {judged("j1", "a1", "s0")},
+        {step("t1", f"CASE WHEN kind IN ('edit', 'choose') THEN {verdict} ELSE {approved} END", f"CASE WHEN kind IN ('edit', 'choose') THEN 'edited' ELSE {said} END AS result1, result2", "j1")},
+        s1 AS (SELECT {facts} FROM t1 UNION ALL SELECT {facts} FROM (SELECT * REPLACE (CASE WHEN kind IN ('reject', 'late') THEN 'REJECTED' ELSE status END AS status, CASE WHEN kind IN ('reject', 'late') THEN 'rejected' END AS result1)
+               FROM s0 WHERE kind IS NULL OR kind IN ('reject', 'late'))),
+        a2 AS (SELECT * REPLACE (CASE WHEN kind = 'edit' THEN issued + 30 ELSE due END AS due) FROM s1 WHERE kind IN ('edit', 'late') OR kind = 'twice' AND status <> 'POSTED'),
+        {judged("j2", "a2", "s1")},
+        {step("t2", f"CASE WHEN kind = 'edit' THEN {verdict} ELSE {approved} END", f"result1, CASE WHEN kind = 'edit' THEN 'edited' ELSE {said} END AS result2", "j2")},
+        s2 AS (SELECT {facts} FROM t2 UNION ALL SELECT {facts} FROM (SELECT * REPLACE (CASE kind WHEN 'twice' THEN 'already registered' WHEN 'reject' THEN 'rejected' END AS result2) FROM s1 WHERE arrival NOT IN (SELECT arrival FROM t2))),
+        o AS (SELECT * FROM s2 WHERE status IN ('EXTRACTED', 'NEEDS_REVIEW', 'BLOCKED')),
+        {judged("j3", "o", "s2", 250_000)},
+        {step("t3", verdict, "result1, result2", "j3")},
+        s3 AS (SELECT {facts} FROM t3 UNION ALL SELECT {facts} FROM s2 WHERE status NOT IN ('EXTRACTED', 'NEEDS_REVIEW', 'BLOCKED')),
+        posted AS (SELECT arrival, row_number() OVER (ORDER BY coalesce(result1, '') <> 'registered', arrival) AS place FROM s3 WHERE status = 'POSTED')"""
+    )
+
+
+FOLDED = folded_sql()
+
+
+def case_events(rows: DataFrame) -> DataFrame:
+    """Two events for two invoices in twelve each: edits, rejections, a rejection and a late approval, approvals; one
+    for two more: a supplier chosen, an approval without a word about the account; and a change of policy at the end."""
+    key, no = F.col("arrival") % 12, F.lit(None).cast("string")
+    kinds = [(1, 1, "edit", no), (1, 2, "edit", no), (2, 1, "reject", no), (2, 2, "reject", no), (3, 1, "reject", no), (3, 2, "approve", F.lit("pay_printed")), (4, 1, "approve", F.lit("pay_altered")), (4, 2, "approve", F.lit("pay_altered")), (5, 1, "edit", no), (6, 1, "approve", no)]
+    when = lambda value, rest, turn, patch: F.when((F.lit(value[0]) == rest) & (F.lit(value[1]) == turn), patch)
+    made = [
+        rows.filter(key == k[0]).select((F.lit(k[1] * 10**12) + F.col("arrival")).alias("event_id"), "arrival", F.lit(k[2]).alias("kind"), F.lit("ann").alias("actor"), F.lit(f"turn {k[1]}").alias("note"), k[3].alias("outcome"),
+                                        when(k, 1, 1, F.concat(F.lit("N"), F.col("arrival").cast("string"))).alias("patch_invoice_number"), when(k, 1, 2, F.date_add("issue_date", 30)).alias("patch_due_date"), when(k, 5, 1, F.lit("P-000001")).alias("patch_partner_code"))
+        for k in kinds
+    ]
+    last = rows.sparkSession.range(1).select((F.lit(10**13)).cast("bigint").alias("event_id"), F.lit(None).cast("bigint").alias("arrival"), F.lit("policy").alias("kind"), F.lit("bob").alias("actor"), F.lit("amount_review_threshold").alias("note"), F.lit("250000").alias("outcome"), no.alias("patch_invoice_number"), F.lit(None).cast("date").alias("patch_due_date"), no.alias("patch_partner_code"))
+    out = made[0]
+    for more in [*made[1:], last]:
+        out = out.unionByName(more)
+    return out
+
+
+@query("SELECT s3.arrival, status, number AS invoice_number, CASE WHEN pid IS NOT NULL THEN format('P-{:06d}', pid) END AS partner_code, due AS due_date, CASE WHEN status = 'POSTED' THEN 'ACC-' || lpad(place::VARCHAR, greatest(4, length(place::VARCHAR))::INTEGER, '0') END AS accounting_id FROM s3 LEFT JOIN posted USING (arrival)", FOLDED)
+def review_state(spark, sf_dir):
+    """Every invoice as its reviewers' events and a change of policy leave it."""
+    rows = checked(spark, sf_dir)
+    cases = casework.apply_events(casework.open_cases(rows, rules=PROJECTED_POLICY), case_events(rows), master(spark, sf_dir))
+    return cases.invoices().select("arrival", "status", "invoice_number", "partner_code", "due_date", "accounting_id")
+
+
+@query("""SELECT arrival, CASE WHEN kind IN ('edit', 'choose') THEN 'edit' WHEN kind IN ('twice', 'bare') THEN 'approve' ELSE 'reject' END AS kind, result1 AS result, 'turn 1' AS note FROM s3 WHERE result1 IS NOT NULL
+    UNION ALL SELECT arrival, CASE WHEN kind IN ('late', 'twice') THEN 'approve' ELSE kind END, result2, 'turn 2' FROM s3 WHERE result2 IS NOT NULL
+    UNION ALL SELECT NULL, 'policy', 'policy changed', 'amount_review_threshold'""", FOLDED)
 def stream_review(spark, sf_dir):
-    """Reviewers' approvals, rejections and edits and changes of the policy as one stream of events."""
+    """The same events as a stream of two deliveries, and what came of each."""
     out, rows = run_folder(spark), checked(spark, sf_dir)
-    no, key = F.lit(None).cast("string"), F.col("arrival")
-    made = lambda kind, when, outcome, note, number: rows.filter(when).select(key, F.lit(kind).alias("kind"), F.lit("ann").alias("actor"), outcome.alias("outcome"), note.alias("note"), number.alias("patch_invoice_number"))
-    events = made("approve", key % 4 == 1, F.lit("pay_altered"), F.lit("seen"), no).unionByName(made("reject", key % 6 == 0, no, no, no))
-    events = events.unionByName(made("edit", key % 10 == 4, no, no, F.concat(F.lit("edited "), key.cast("string")))).unionByName(made("policy", key % 1000 == 3, no, F.lit("confidence_floor"), no))
-    events.write.parquet(f"{out}/events")
-    arrivals.review_stream(spark.readStream.schema(events.schema).parquet(f"{out}/events"), rows, f"{out}/judged", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/judged").select("arrival", "kind", "result")
+    events = case_events(rows)
+    for first in (True, False):
+        events.filter((F.col("event_id") < 2 * 10**12) == F.lit(first)).write.mode("append").parquet(f"{out}/events")
+        arrivals.review_stream(spark.readStream.schema(events.schema).parquet(f"{out}/events"), rows, master(spark, sf_dir), out, f"{out}/checkpoint", PROJECTED_POLICY).awaitTermination()
+    told = spark.read.parquet(f"{out}/log")
+    return told.select("arrival", "kind", "result", F.regexp_extract("event_note", "^(turn [12]|[a-z_]+)", 1).alias("note"))
 
 
 @query("SELECT 'EXTRACT_FAILED' AS status, count(*) AS invoices FROM documents")

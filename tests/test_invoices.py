@@ -1,4 +1,4 @@
-"""From raw transcriptions to the ledger on twelve invoices of five suppliers, one for each way through."""
+"""From raw transcriptions to the ledger: a master and invoices planned by the paths they are to take."""
 
 import json
 import random
@@ -9,12 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import checks, dedupe, ledger, normalize, partners, policy, review
-from tallyweave.plans import verify
+from tallyweave.plans import casework, verify
 from tallyweave.schemas import POLICY
 from tallyweave.sources import intake
 from tallyweave.streaming import arrivals
 
-PARTNERS = [(f"P-{i}", n, [a], f"T{i:013d}", i) for i, (n, a) in enumerate([("株式会社ヤマダ", "Yamada"), ("佐藤商店", "Sato"), ("東京フーズ", "TF"), ("大阪機械", "Osaka"), ("三井設備", "Mitsui")], 1001)]
+NAMES = [("青葉印刷株式会社", "Aoba Print"), ("有限会社 北浜電機", "Kitahama"), ("みどり食品", "Midori"), ("港南運輸", "Konan Lines"), ("合同会社空色", "Sorairo"), ("白川石材", "Shirakawa"), ("Delta Works", "DW")]
+PARTNERS = [(f"P-{i}", n, [a], f"T{i:013d}", i) for i, (n, a) in enumerate(NAMES, 2001)]
 
 
 def invoice(supplier, number, base, **change):
@@ -34,21 +35,25 @@ def invoice(supplier, number, base, **change):
     return record | change
 
 
-RAW = [
-    invoice("ヤマダ 御中", "A-1", 304000),
-    invoice("大阪機械", "B-1", 1400000),
-    invoice("東京フーズ", "C-1", 100000),
-    invoice("Sato", "D-1", 200000, handwritten_annotations=[{"text": "received", "location": "margin", "affects_payment_details": False}]),
-    invoice("三井設備", "E-1", 360000),
-    invoice("yamada", "A-2", 92000),
-    invoice("ヤマダ", "a-1 ", 304000),
-    invoice("東京フーズ", "C-2", 110000, handwritten_annotations=[{"text": "new account", "location": "bank", "affects_payment_details": True}]),
-    invoice("大阪機械", "B-2", 120000, total_amount_raw="9"),
-    invoice("新しい会社", "F-1", 180000),
-    invoice("佐藤商店", "D-2", 100000, supplier_registration_no="T-0000000001002"),
-    invoice("三井設備", "E-2", 540000, due_date_raw="2026年2月28日"),
-]
-WANTED = ["POSTED", "NEEDS_REVIEW", "POSTED", "POSTED", "POSTED", "POSTED", "BLOCKED", "NEEDS_REVIEW", "NEEDS_REVIEW", "BLOCKED", "POSTED", "POSTED"]
+#: Each path with its invoice and the state it ends in, in order of arrival.
+PATHS = {
+    "alias": (invoice("Kitahama", "K/77", 48000), "POSTED"),
+    "first": (invoice("みどり食品", "M-5", 252000), "POSTED"),
+    "unknown": (invoice("どこか商会", "Q-1", 90000), "BLOCKED"),
+    "limit": (invoice("港南運輸", "T-900", 2200000), "NEEDS_REVIEW"),
+    "twin": (invoice("みどり食品 御中", "m-5 ", 252000), "BLOCKED"),
+    "number": (invoice("青葉印刷", "S-1", 66000, supplier_registration_no="T-0000000002001"), "POSTED"),
+    "account": (invoice("空色", "X-1", 130000, handwritten_annotations=[{"text": "pay here", "location": "bank", "affects_payment_details": True}]), "NEEDS_REVIEW"),
+    "total": (invoice("白川石材", "R-3", 76000, total_amount_raw="12"), "NEEDS_REVIEW"),
+    "margin": (invoice("DW", "D-20", 310000, handwritten_annotations=[{"text": "thanks", "location": "margin", "affects_payment_details": False}]), "POSTED"),
+    "plain": (invoice("白川石材", "R-4", 44000), "POSTED"),
+    "kanji": (invoice("Delta Works 様", "D-21", 520000, due_date_raw="2026年3月31日"), "POSTED"),
+    "empty": (invoice("港南運輸", "T-901", 20000, lines=[]), "BLOCKED"),
+    "undated": (invoice("Konan Lines", "T-902", 28000, due_date_raw="soon"), "NEEDS_REVIEW"),
+    "near": (invoice("白川石材", "R-5", 44000), "NEEDS_REVIEW"),
+}
+RAW, WANTED = [r for r, _ in PATHS.values()], [w for _, w in PATHS.values()]
+AT = {name: i for i, name in enumerate(PATHS)}
 
 
 @pytest.fixture(scope="module")
@@ -64,22 +69,22 @@ def done(spark):
 def test_every_way_through(done):
     rows = done["posted"].orderBy("arrival").collect()
     assert [r.status for r in rows] == WANTED
-    bad = {r.arrival: {c.name for c in r.checks if not c.passed and c.severity != "WARN"} for r in rows}
-    assert bad[1] == {"amount.threshold"} and bad[6] == {"dedupe.exact", "dedupe.near"} or bad[6] == {"dedupe.exact"}
-    assert bad[7] == {"handwriting.on_payment_details"} and bad[8] == {"arithmetic.total"} and bad[9] == {"partner.resolved"}
+    bad = {name: {c.name for c in rows[i].checks if not c.passed and c.severity != "WARN"} for name, i in AT.items()}
+    alone = {"limit": "amount.threshold", "twin": "dedupe.exact", "account": "handwriting.on_payment_details", "total": "arithmetic.total", "unknown": "partner.resolved", "undated": "dates.parsed", "near": "dedupe.near"}
+    assert {name: bad[name] for name in alone} == {name: {check} for name, check in alone.items()} and "extraction.lines_present" in bad["empty"]
     assert all(17 <= len(r.checks) <= 20 for r in rows) and rows[0].lines[1].unit == "" and len(rows[0].lines) == 2
-    assert [r.method for r in rows][10] == "REGISTRATION_NO" and rows[5].method == "ALIAS"
+    assert rows[AT["number"]].method == "REGISTRATION_NO" and rows[AT["alias"]].method == "ALIAS"
     assert done["failures"].collect()[0].status == "EXTRACT_FAILED"
 
 
 def test_ledger_numbers_and_second_run(spark, done):
     records = done["records"].orderBy("accounting_id").collect()
-    assert [r.accounting_id for r in records] == [f"ACC-{i:04d}" for i in range(1, 8)]
+    assert [r.accounting_id for r in records] == [f"ACC-{i:04d}" for i in range(1, 7)]
     assert all(r.total_amount == r.subtotal + r.tax_amount for r in records)
     again, new = verify.register(done["checked"], done["master"], held=done["records"])
     assert new.count() == 0
     refused = again.filter("error_code = 'DUPLICATE_INVOICE'").collect()
-    assert len(refused) == 7 and all(r.status == "BLOCKED" and r.checks[-1].name == "accounting.accepted" for r in refused)
+    assert len(refused) == 6 and all(r.status == "BLOCKED" and r.checks[-1].name == "accounting.accepted" for r in refused)
 
 
 def test_ledger_refuses_shapes(spark, done):
@@ -93,17 +98,68 @@ def test_ledger_refuses_shapes(spark, done):
 
 
 def test_review(spark, done):
-    approvals = spark.createDataFrame([(1, "ann", None, None), (7, "ann", None, None), (8, "bob", "pay_altered", "ok"), (9, "bob", None, None), (0, "ann", None, None)], "arrival bigint, actor string, outcome string, note string")
+    asked = [("limit", "ann", None, None), ("account", "ann", None, None), ("total", "bob", "pay_altered", "ok"), ("unknown", "bob", None, None), ("plain", "ann", None, None)]
+    approvals = spark.createDataFrame([(AT[a], *rest) for a, *rest in asked], "arrival bigint, actor string, outcome string, note string")
     judged = {r.arrival: r for r in review.judge_approvals(done["posted"], approvals).collect()}
-    assert {k: r.result for k, r in judged.items()} == {1: "send", 7: "payment decision missing", 8: "send", 9: "blocked", 0: "already registered"}
-    assert judged[8].event_note == "ok; payment details: supplier confirmed the account changed; overrode 1 check(s): arithmetic.total"
-    decided = spark.createDataFrame([(7, "ann", "supplier_unreachable", None, "12-3", "by mail")], "arrival bigint, actor string, outcome string, note string, account string, confirmed string")
+    assert {k: judged[AT[k]].result for k, *_ in asked} == {"limit": "send", "account": "payment decision missing", "total": "send", "unknown": "blocked", "plain": "already registered"}
+    assert judged[AT["total"]].event_note == "ok; payment details: supplier confirmed the account changed; overrode 1 check(s): arithmetic.total"
+    decided = spark.createDataFrame([(AT["account"], "ann", "supplier_unreachable", None, "12-3", "by mail")], "arrival bigint, actor string, outcome string, note string, account string, confirmed string")
     sent = review.judge_approvals(done["posted"], decided).first()
     assert sent.result == "send" and sent.event_note.startswith("payment details: supplier could not be reached; pay 12-3; by mail; overrode")
     assert review.judge_approvals(done["posted"], decided.withColumn("outcome", F.lit("printed"))).first().result == "payment decision missing"
-    edits = spark.createDataFrame([(9, "ann", "ヤマダ", None), (0, "ann", "x", None)], "arrival bigint, actor string, patch_supplier_name string, patch_total_amount bigint")
-    edited, events, refused = review.apply_edits(done["posted"], edits)
-    assert edited.filter("arrival = 9").first().supplier_name == "ヤマダ" and events.count() == 1 and refused.count() == 1
+
+
+def test_repeated_edits_and_rejections_leave_one_row(spark, done):
+    edits = [(AT["unknown"], 1, "ann", "みどり食品", None), (AT["unknown"], 2, "bob", None, 7), (AT["unknown"], 3, "bob", "空色", None), (AT["plain"], 4, "ann", "x", None)]
+    edited, events, refused = review.apply_edits(done["posted"], spark.createDataFrame(edits, "arrival bigint, event_id bigint, actor string, patch_supplier_name string, patch_total_amount bigint"))
+    row = edited.filter(F.col("arrival") == AT["unknown"]).collect()
+    assert [(r.supplier_name, r.total_amount) for r in row] == [("空色", 7)] and edited.count() == len(RAW) and refused.count() == 1
+    told = [(json.loads(r.before), json.loads(r.after)) for r in sorted(events.collect(), key=lambda r: (r.after.count('"total_amount":7'), r.actor))]
+    assert all(b["status"] == a["status"] == "BLOCKED" for b, a in told) and [b["total_amount"] == 7 for b, a in told].count(True) == 1
+    rejects = spark.createDataFrame([(AT["limit"], 1, "a"), (AT["limit"], 2, None), (AT["plain"], 3, "b")], "arrival bigint, event_id bigint, note string")
+    rows = {r.arrival: r for r in review.apply_rejects(done["posted"], rejects).collect()}
+    assert len(rows) == len(RAW) and (rows[AT["limit"]].status, rows[AT["limit"]].reason) == ("REJECTED", "rejected by a reviewer") and rows[AT["plain"]].status == "POSTED"
+
+
+CASES = "event_id bigint, arrival bigint, kind string, actor string, note string, outcome string, patch_partner_code string, patch_supplier_name string, patch_due_date date, patch_total_amount bigint"
+
+
+def case(n, name, kind, note=None, outcome=None, **patch):
+    return n, None if name is None else AT.get(name, 77), kind, "ann", note, outcome, *(patch.get(c) for c in ("partner_code", "supplier_name", "due_date", "total_amount"))
+
+
+def test_cases_are_folded_in_order(spark, done):
+    """Each name's events, what comes of them, and the state that they leave."""
+    import datetime as dt
+
+    events = [
+        case(1, "unknown", "edit", supplier_name="空色"), case(2, "unknown", "edit", "again", total_amount=5), case(3, "unknown", "approve"),
+        case(4, "twin", "approve"), case(5, "twin", "edit", partner_code="P-2007"), case(6, "twin", "approve"), case(7, "twin", "approve"),
+        case(8, "limit", "reject", "no"), case(9, "limit", "approve", "yes after all"),
+        case(10, "account", "approve"), case(11, "account", "approve", "called", "pay_printed"), case(12, "account", "reject"),
+        case(13, "undated", "approve"), case(14, "undated", "edit", due_date=dt.date(2026, 3, 1)), case(15, "plain", "edit", total_amount=1), case(16, "nobody", "reject"),
+        case(17, "empty", "retry"), case(18, None, "policy", "amount_review_threshold", "1"), case(19, None, "policy", "nothing", "1"), case(20, "near", "reject"), case(21, "near", "reject", "twice"),
+    ]
+    raw = intake.raw_records(spark.createDataFrame([(AT["empty"], json.dumps(invoice("港南運輸", "T-901", 20000)))], "arrival bigint, answer string"))[0]
+    frame = spark.createDataFrame(events, CASES)
+    cases = casework.apply_events(casework.open_cases(done["posted"], done["records"]), frame, done["master"], raw)
+    log = {r.event_id: r for r in casework.log_of(cases).collect()}
+    results = {
+        1: "edited", 2: "edited", 3: "registered", 4: "blocked", 5: "edited", 6: "registered", 7: "already registered", 8: "rejected", 9: "registered", 10: "payment decision missing", 11: "registered",
+        12: "already registered", 13: "cannot be sent: dates", 14: "edited", 15: "already registered", 16: "not found", 17: "read again", 18: "policy changed", 19: "no such dial", 20: "rejected", 21: "rejected",
+    }
+    assert {k: r.result for k, r in log.items()} == results
+    assert log[3].event_note == "overrode 1 check(s): arithmetic.total" and log[11].event_note.startswith("called; payment details: supplier confirmed the printed account is correct")
+    assert json.loads(log[2].before)["status"] == json.loads(log[1].after)["status"] == "EXTRACTED"
+    assert json.loads(log[8].after)["status"] == "REJECTED" and json.loads(log[9].after)["status"] == "POSTED" and log[15].after is None
+    rows = {r.arrival: r for r in cases.invoices().collect()}
+    got = {name: rows[i].status for name, i in AT.items()}
+    changed = {"unknown": "POSTED", "twin": "POSTED", "limit": "POSTED", "account": "POSTED", "undated": "NEEDS_REVIEW", "empty": "POSTED", "near": "REJECTED"}
+    assert len(rows) == len(RAW) and got == dict(zip(AT, WANTED)) | changed
+    assert rows[AT["twin"]].partner_code == "P-2007" and rows[AT["unknown"]].partner_code == "P-2005" and rows[AT["near"]].reason == "twice"
+    numbers = sorted(r.accounting_id for r in rows.values() if r.accounting_id)
+    assert numbers == [f"ACC-{i:04d}" for i in range(1, 12)] and cases.held.count() == 11
+    assert "amount.threshold" in {c.name for c in rows[AT["undated"]].checks if not c.passed} and cases.policy["amount_review_threshold"] == 1
 
 
 def test_policy(spark, done):
@@ -183,21 +239,22 @@ def test_a_batch_that_is_run_again_changes_nothing(spark, done, tmp_path):
     invoices, kept = str(tmp_path / "invoices"), str(tmp_path / "ledger")
     run = lambda n, low, high: arrivals.register_batch(records.filter(f"arrival >= {low} and arrival < {high}"), n, done["master"], invoices, kept, POLICY)
     read = lambda path, *c: sorted(map(tuple, spark.read.parquet(path).select(*c).collect()))
-    run(0, 0, 4)
-    run(1, 4, 8)
+    run(0, 0, 5)
+    run(1, 5, 10)
     first = read(invoices, "arrival", "status", "accounting_id"), read(kept, "accounting_id", "invoice_number")
     shutil.rmtree(f"{invoices}/batch=1")
-    run(1, 4, 8)
+    run(1, 5, 10)
     assert (read(invoices, "arrival", "status", "accounting_id"), read(kept, "accounting_id", "invoice_number")) == first
-    run(2, 8, 12)
+    run(2, 10, 14)
     assert [s for _, s in read(invoices, "arrival", "status")] == WANTED
-    assert read(kept, "accounting_id") == [(f"ACC-{i:04d}",) for i in range(1, 8)]
-    run(1, 4, 8)
-    assert [s for _, s in read(invoices, "arrival", "status")] == WANTED and spark.read.parquet(kept).count() == 7
+    assert read(kept, "accounting_id") == [(f"ACC-{i:04d}",) for i in range(1, 7)]
+    run(1, 5, 10)
+    assert [s for _, s in read(invoices, "arrival", "status")] == WANTED and spark.read.parquet(kept).count() == 6
 
 
 def test_review_events(spark, done):
-    events = [(1, "approve", "ann", None, "ok", None), (0, "reject", "ann", None, None, None), (9, "reject", "ann", None, "no", None), (8, "edit", "bob", None, None, "B-9"), (0, "edit", "bob", None, None, "x"), (77, "reject", "bob", None, None, None), (None, "policy", "bob", None, "confidence_floor", None)]
-    frame = spark.createDataFrame(events, "arrival bigint, kind string, actor string, outcome string, note string, patch_invoice_number string")
+    events = [("limit", "approve", "ann", None, "ok", None), ("plain", "reject", "ann", None, None, None), ("unknown", "reject", "ann", None, "no", None), ("total", "edit", "bob", None, None, "B-9"), ("first", "edit", "bob", None, None, "x"), ("nobody", "reject", "bob", None, None, None), (None, "policy", "bob", None, "confidence_floor", None)]
+    frame = spark.createDataFrame([(a and AT.get(a, 77), *rest) for a, *rest in events], "arrival bigint, kind string, actor string, outcome string, note string, patch_invoice_number string")
     got = {(r.arrival, r.kind): r.result for r in arrivals.judged_events(frame, done["posted"]).collect()}
-    assert got == {(1, "approve"): "send", (0, "reject"): "already registered", (9, "reject"): "rejected", (8, "edit"): "edited", (0, "edit"): "already registered", (77, "reject"): "not found", (None, "policy"): "policy changed"}
+    want = ["send", "already registered", "rejected", "edited", "already registered", "not found", "policy changed"]
+    assert got == {(a and AT.get(a, 77), kind): w for (a, kind, *_), w in zip(events, want)}
