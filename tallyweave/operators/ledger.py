@@ -17,6 +17,8 @@ from .checks import expected_tax, line_sum, unknown_codes
 RESPONSES = {"UNAUTHORIZED": 401, "PARTNER_NOT_FOUND": 400, "UNKNOWN_TAX_CODE": 400, "DUE_DATE_BEFORE_ISSUE_DATE": 400, "DUPLICATE_INVOICE": 409, "AMOUNT_MISMATCH": 422, "VALIDATION_ERROR": 422, "NOT_FOUND": 404}
 STATES = {"DUPLICATE_INVOICE": "BLOCKED", "PARTNER_NOT_FOUND": "BLOCKED", "AMOUNT_MISMATCH": "NEEDS_REVIEW", "UNKNOWN_TAX_CODE": "NEEDS_REVIEW", "DUE_DATE_BEFORE_ISSUE_DATE": "NEEDS_REVIEW", "VALIDATION_ERROR": "NEEDS_REVIEW"}
 KEY = ["partner_code", "invoice_number"]
+#: Buckets of suppliers and numbers that a stored ledger is written in.
+BUCKETS = 256
 #: Ranges of arrivals that are numbered side by side, at least.
 SEQUENCE_PARTITIONS = 64
 
@@ -105,15 +107,28 @@ def numbered(registered: DataFrame, start: int = 0) -> DataFrame:
     return ranged.join(F.broadcast(before.select("_part", "_skip")), "_part").withColumn("n", (F.col("_skip") + place + start).cast("bigint")).drop("_part", "_skip")
 
 
-def admit(requests: DataFrame, partners: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(answers, records): every request with its error or accounting_id, and the new ledger records."""
+def admit(requests: DataFrame, partners: DataFrame, ledger: DataFrame | None = None, start: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(answers, records): every request with its error or accounting_id, and the new ledger records. Numbers go on
+    from start, which is what the ledger holds where it is not told."""
     judged = judge(requests, partners, ledger)
-    start = ledger.count() if ledger is not None else 0
+    if start is None:
+        start = ledger.count() if ledger is not None else 0
     ids = numbered(judged.filter("error_code is null").select("arrival"), start).select("arrival", F.format_string("ACC-%04d", "n").alias("accounting_id"))
     answers = judged.join(ids, "arrival", "left").withColumn("response_status", F.coalesce(lookup(RESPONSES, F.col("error_code")), F.lit(201)))
     return answers, records_of(answers)
 
 
+def bucket(partner: Column | str = KEY[0], number: Column | str = KEY[1]) -> Column:
+    return F.pmod(F.xxhash64(partner, number), F.lit(BUCKETS)).cast("int")
+
+
+def touched(requests: DataFrame, held: DataFrame) -> DataFrame:
+    """Those buckets of held (a stored ledger, partitioned by bucket) that requests have keys in: the others' files are
+    not opened."""
+    numbers = [r[0] for r in requests.select(bucket()).distinct().collect()]  # BUCKETS numbers at most
+    return held.filter(F.col("bucket").isin(numbers)).select(*KEY)
+
+
 def records_of(answers: DataFrame) -> DataFrame:
     columns = ["accounting_id", *KEY, "issue_date", "due_date", "subtotal", "tax_amount", "total_amount", F.size("lines").alias("line_count")]
     return answers.filter("error_code is null").select(*columns)

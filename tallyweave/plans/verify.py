@@ -22,12 +22,15 @@ def judge(resolved: DataFrame, policy: dict = POLICY, existing: DataFrame | None
     return checks.run_checks(dedupe.with_duplicates(resolved, within, scope, policy["duplicate_window_days"]), policy)
 
 
-def register(checked: DataFrame, master: DataFrame, held: DataFrame | None = None, policy: dict = POLICY) -> tuple[DataFrame, DataFrame]:
+def register(checked: DataFrame, master: DataFrame, held: DataFrame | None = None, policy: dict = POLICY, start: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(invoices, records): checked with their state after registration, and the new ledger records. Only clean
     invoices are sent, and none where the policy says so."""
     clean = checked.filter("status = 'EXTRACTED'") if policy["auto_post_enabled"] else checked.filter(F.lit(False))
     requests = ledger.build_payload(clean).filter("gap is null").drop("gap")
-    answers, records = ledger.admit(requests, master, held)
+    if held is not None and "bucket" in held.columns:
+        requests = store(requests)
+        held = ledger.touched(requests, held)
+    answers, records = ledger.admit(requests, master, held, start)
     told = answers.select("arrival", "accounting_id", "error_code", "error_message", F.lit(True).alias("sent"))
     out = checked.join(told, "arrival", "left")
     out = out.withColumn("checks", ledger.refusal_check(F.col("checks"), F.col("error_code"), F.col("error_message")))

@@ -691,7 +691,7 @@ def stream_register(spark, sf_dir):
     for part in (F.col("arrival") <= half, (F.col("arrival") > half) & (F.col("arrival") < LATER), F.col("arrival") >= LATER):
         raw.filter(part).write.mode("append").parquet(f"{out}/raw")
         stream = spark.readStream.schema(raw.schema).parquet(f"{out}/raw")
-        arrivals.register_stream(stream, people, f"{out}/invoices", f"{out}/ledger", f"{out}/checkpoint", PROJECTED_POLICY).awaitTermination()
+        arrivals.register_stream(stream, people, out, PROJECTED_POLICY)[-1].awaitTermination()
     done = spark.read.parquet(f"{out}/invoices")
     return done.groupBy("status").agg(F.count(F.lit(1)).alias("invoices"), F.countDistinct("accounting_id").alias("numbers"))
 

@@ -12,7 +12,7 @@ from tallyweave.operators import checks, dedupe, ledger, normalize, partners, po
 from tallyweave.plans import casework, verify
 from tallyweave.schemas import POLICY
 from tallyweave.sources import intake
-from tallyweave.streaming import arrivals
+from tallyweave.streaming import arrivals, keyed
 
 NAMES = [("青葉印刷株式会社", "Aoba Print"), ("有限会社 北浜電機", "Kitahama"), ("みどり食品", "Midori"), ("港南運輸", "Konan Lines"), ("合同会社空色", "Sorairo"), ("白川石材", "Shirakawa"), ("Delta Works", "DW")]
 PARTNERS = [(f"P-{i}", n, [a], f"T{i:013d}", i) for i, (n, a) in enumerate(NAMES, 2001)]
@@ -232,24 +232,37 @@ def test_first_exact_duplicate(spark):
             assert got.get(a[0], (None, [])) == (first, near)
 
 
-def test_a_batch_that_is_run_again_changes_nothing(spark, done, tmp_path):
-    """Three deliveries; the second is run again as after a loss between its two writes, and once more after all."""
+def test_registration_by_keyed_state(spark, done, tmp_path):
+    """Three deliveries as a stream; then the second batch is run again as after a loss between its two writes."""
     answers = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(RAW)], "arrival bigint, answer string")
     records, _ = intake.raw_records(answers)
-    invoices, kept = str(tmp_path / "invoices"), str(tmp_path / "ledger")
-    run = lambda n, low, high: arrivals.register_batch(records.filter(f"arrival >= {low} and arrival < {high}"), n, done["master"], invoices, kept, POLICY)
-    read = lambda path, *c: sorted(map(tuple, spark.read.parquet(path).select(*c).collect()))
-    run(0, 0, 5)
-    run(1, 5, 10)
-    first = read(invoices, "arrival", "status", "accounting_id"), read(kept, "accounting_id", "invoice_number")
-    shutil.rmtree(f"{invoices}/batch=1")
-    run(1, 5, 10)
-    assert (read(invoices, "arrival", "status", "accounting_id"), read(kept, "accounting_id", "invoice_number")) == first
-    run(2, 10, 14)
-    assert [s for _, s in read(invoices, "arrival", "status")] == WANTED
-    assert read(kept, "accounting_id") == [(f"ACC-{i:04d}",) for i in range(1, 7)]
-    run(1, 5, 10)
-    assert [s for _, s in read(invoices, "arrival", "status")] == WANTED and spark.read.parquet(kept).count() == 6
+    out = str(tmp_path)
+    read = lambda name, *c: sorted(map(tuple, spark.read.parquet(f"{out}/{name}").select(*c).collect()))
+    for low, high in ((0, 5), (5, 10), (10, 14)):
+        records.filter(f"arrival >= {low} and arrival < {high}").write.mode("append").parquet(f"{out}/raw")
+        stream = spark.readStream.schema(records.schema).parquet(f"{out}/raw")
+        for query in arrivals.register_stream(stream, done["master"], out, POLICY):
+            query.awaitTermination()
+    assert [s for _, s in read("invoices", "arrival", "status")] == WANTED
+    first = read("invoices", "arrival", "status", "accounting_id", "batch"), read("ledger", "accounting_id", "invoice_number", "bucket", "batch")
+    assert [n for n, *_ in first[1]] == [f"ACC-{i:04d}" for i in range(1, 7)] and {r[3] for r in first[0]} == {0, 1, 2}
+    facts = {r.arrival: (r.dup_exact, r.dup_near) for r in done["checked"].collect()}
+    assert {r.arrival: (r.dup_exact, r.dup_near) for r in spark.read.parquet(f"{out}/invoices").collect()} == facts
+    # the states that the second batch touched, as its checkpoint would give them once more
+    again = keyed.states(spark.read.parquet(f"{out}/resolved").filter("batch <= 1").withColumnRenamed("batch", "part")).filter("what <> 'part' or value = '1'")
+    shutil.rmtree(f"{out}/invoices/batch=1")
+    arrivals.register_batch(again, 1, done["master"], out, POLICY)
+    assert (read("invoices", "arrival", "status", "accounting_id", "batch"), read("ledger", "accounting_id", "invoice_number", "bucket", "batch")) == first
+
+
+def test_admission_opens_touched_buckets_only(spark, done, tmp_path):
+    held = spark.range(2000).select(F.format_string("P-%d", F.col("id") % 7 + 2001).alias("partner_code"), F.format_string("N-%d", "id").alias("invoice_number"))
+    held.withColumn("bucket", ledger.bucket()).write.partitionBy("bucket").parquet(str(tmp_path / "held"))
+    asked = held.filter("invoice_number in ('N-5', 'N-1900')")
+    opened = ledger.touched(asked, spark.read.parquet(str(tmp_path / "held")))
+    assert opened.count() < 60 and opened.join(asked, ledger.KEY).count() == 2
+    plan = opened._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_review_events(spark, done):
