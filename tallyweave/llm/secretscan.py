@@ -110,9 +110,11 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Each row of versions as `row`, with its blob and the spans that ledger holds of it."""
+    """Each row of versions as `row`, with its blob and the spans that ledger holds of it. A pair that the ledger holds
+    twice, as two scans at once or one that was half moved leave it, counts once."""
     hits = ledger.filter(F.col("rule_version").isin([r.version for r in rules]) & (F.size("spans") > 0))
-    hits = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    pairs = F.collect_set(F.struct("rule_version", "spans"))
+    hits = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.transform(pairs, lambda p: p["spans"]))).alias("spans"))
     found = versions.select(F.struct(*versions.columns).alias("row"), blob_of(F.col("text")).alias("blob")).join(hits, "blob", "left")
     return found.select("row", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 

@@ -42,7 +42,9 @@ FOLDS = 4
 #: Evidence that varies less than this is not blown up to a standard deviation of 1.
 LEAST_SPREAD = 0.05
 #: Tokens within which offending ones count together: a passage, however long its document is.
-PASSAGE = 64
+PASSAGES = (32, 64, 128)
+#: Columns of the evidence that a document score may look at; cross-validation over the training sample picks one form.
+FORMS = ((0, 1, 2, 5), (0, 1, 3, 5), (0, 1, 4, 5), (0, 1, 5), (0, 1, 3))
 #: Tokens whose chains are walked together.
 TOGETHER = 200_000
 
@@ -71,7 +73,7 @@ class Field:
     @classmethod
     def blank(cls, grades: dict[str, int]) -> Field:
         """A field in which offending tokens are rare everywhere."""
-        return cls(grades, *[np.zeros(LEVELS) for _ in range(3)], np.array([[0.0, -4.0], [0.0, -4.0]]), np.array([0.0, -4.0]), np.array([-4.0, 0, 0, 0]))
+        return cls(grades, *[np.zeros(LEVELS) for _ in range(3)], np.array([[0.0, -4.0], [0.0, -4.0]]), np.array([0.0, -4.0]), np.array([-4.0] + [0.0] * (len(PASSAGES) + 2)))
 
     def potentials(self) -> np.ndarray:
         """exp of the weight of state 1 for every feature."""
@@ -113,13 +115,12 @@ class Field:
         return out
 
     def evidence(self, p: np.ndarray) -> np.ndarray:
-        """What a document's score looks at: its surest token, the offending tokens expected in its worst passage, and
-        their density. Only tokens likelier offending than not are summed: the small marginals of plain tokens, and
-        finds far apart, would add up over a very long text."""
+        """What a document's score may look at: its surest token, the offending tokens expected in its worst passage of
+        each length, and their density. Only tokens likelier offending than not are summed: the small marginals of plain
+        tokens, and finds far apart, would add up over a very long text."""
         sums = np.concatenate([[0.0], np.cumsum(np.where(p >= 0.5, p, 0.0))])
-        passage = min(PASSAGE, len(p))
-        worst = (sums[passage:] - sums[: len(sums) - passage]).max()
-        return np.array([1.0, p.max(initial=0.0), np.log1p(worst), np.log1p(100 * sums[-1] / max(len(p), 1))])
+        worst = [(sums[n:] - sums[: len(sums) - n]).max() for n in (min(passage, len(p)) for passage in PASSAGES)]
+        return np.array([1.0, p.max(initial=0.0), *np.log1p(worst), np.log1p(100 * sums[-1] / max(len(p), 1))])
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.document, -30, 30)))
@@ -203,30 +204,61 @@ def fit(docs: DataFrame, sample: DataFrame, rounds: int = 60) -> Field:
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("of"), F.lit(FOLDS)).cast("int")).cache()
     grades, bad, good = token_grades(chosen)
 
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shortened(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [features(graded(tokens_of(t), grades[f])) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist())]
+
+    def chains_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folds = batch.column("fold").to_pylist()
-            short = [features(graded(tokens_of(t), grades[f])).tobytes() for t, f in zip(batch.column("text").to_pylist(), folds)]
-            yield pa.RecordBatch.from_arrays([pa.array(short, pa.binary()), batch.column("toxic"), batch.column("weight")], names=["features", "toxic", "weight"])
+            short = [x.tobytes() for x in shortened(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(short, pa.binary()), batch.column("toxic"), pa.array([crc32(x) for x in short], pa.int64())], names=["features", "toxic", "drawn"])
 
-    rows = chosen.select("text", "toxic", "weight", "fold").mapInArrow(shorten, "features binary, toxic int, weight double").collect()
-    chosen.unpersist()
+    told = chosen.select("text", "toxic", "weight", "fold")
+    drawn = told.mapInArrow(chains_of, "features binary, toxic int, drawn long").orderBy("drawn", "toxic", "features").limit(CHAINS).collect()
     field = Field.blank(grades[-1])
     if not (bad and good and grades[-1]):
+        chosen.unpersist()
         return field
-    # documents in a fixed order; equal chains of equal labels, as those without graded tokens often are, once
-    rows.sort(key=lambda r: (r["toxic"], bytes(r["features"])))
-    drawn = sorted(rows, key=lambda r: (crc32(bytes(r["features"])), r["toxic"]))[:CHAINS]
+    # equal chains of equal labels, as those without graded tokens often are, once
     times = Counter((r["toxic"], bytes(r["features"])) for r in drawn)
-    unique = [(np.frombuffer(x, np.int16), t, n) for (t, x), n in times.items() if x]
+    unique = sorted((t, x, n) for (t, x), n in times.items() if x)
     if unique:
-        _ascend(field, Packed([x for x, _, _ in unique]), np.array([t for _, t, _ in unique]), np.array([n for _, _, n in unique], float), rounds)
-    judge, sequences = Judge(field), [np.frombuffer(bytes(r["features"]), np.int16) for r in rows]
-    evidence = np.concatenate([judge.judged(sequences[i : i + 500])[0] for i in range(0, len(sequences), 500)])
-    field.document = logistic(evidence, np.array([r["toxic"] for r in rows], float), np.array([r["weight"] for r in rows]))
+        sequences = [np.frombuffer(x, np.int16) for _, x, _ in unique]
+        _ascend(field, Packed(sequences), np.array([t for t, _, _ in unique]), np.array([n for _, _, n in unique], float), rounds)
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(field)
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                evidence = judge.judged(shortened(part))[0]
+                yield pa.RecordBatch.from_arrays([pa.array(list(evidence), pa.list_(pa.float64())), *(part.column(c) for c in ("toxic", "weight", "fold"))], names=["evidence", "toxic", "weight", "fold"])
+
+    # a few numbers a document of the sample
+    rows = sorted(told.mapInArrow(weighed, "evidence array<double>, toxic int, weight double, fold int").collect(), key=tuple)
+    chosen.unpersist()
+    evidence, toxic, weight, fold = (np.array([r[c] for r in rows], float) for c in ("evidence", "toxic", "weight", "fold"))
+    field.document = document_weights(evidence, toxic, weight, fold)
     return field
 
 
+def document_weights(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Weights of the form of FORMS that cross-validation over the folds of the sample prefers, 0 for other columns: each
+    fold is judged by what the others teach, and the form of the greatest likelihood is fitted on all."""
+
+    def likelihood(columns: list[int]) -> float:
+        total = 0.0
+        for f in range(FOLDS):
+            rest, own = fold != f, fold == f
+            if own.any() and len(set(toxic[rest])) == 2:
+                z = evidence[own][:, columns] @ logistic(evidence[rest][:, columns], toxic[rest], weight[rest])
+                total += float((weight[own] * (toxic[own] * z - np.logaddexp(0, z))).sum())
+        return total
+
+    form = list(max(FORMS, key=lambda columns: likelihood(list(columns))))
+    out = np.zeros(evidence.shape[1])
+    out[form] = logistic(evidence[:, form], toxic, weight)
+    return out
+
+
 def logistic(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray, penalty: float = 0.5) -> np.ndarray:
     """Weights of a penalised logistic regression (evidence has a column of ones first). Columns are standardised, and
     each Newton step is halved until the penalised log likelihood rises, so nearly separable evidence cannot diverge."""

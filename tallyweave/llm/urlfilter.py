@@ -85,14 +85,15 @@ def judge_urls(urls: DataFrame, listed: DataFrame, rules: list[tuple[str, str, s
     listed = materialize(listed.select("canonical").filter("canonical is not null").distinct())
     blocks, n = build_filter(listed)
     keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "listed", "canonical", "possible")]
-    parts = urls.select(*keep, canonical_url(F.col("url")).alias("canonical"))
+    # the rows travel as one column, so that no name of theirs meets one of the filter's
+    parts = urls.select(F.struct(*keep).alias("row"), F.col("url"), canonical_url(F.col("url")).alias("canonical"))
     parts = materialize(possible(parts, materialize(blocks), n))
     hits = parts.filter("possible").join(listed.withColumn("listed", F.lit(True)), "canonical", "left")
     judged = hits.unionByName(parts.filter("not possible").withColumn("listed", F.lit(None).cast("boolean")))
     judged = judged.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("listed", F.coalesce("listed", F.lit(False)))
     judged = judged.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_best.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
-    return judged.select(*keep, "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"), "listed")
+    return judged.select("row.*", "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"), "listed")
 
 
 def flagged_hosts(urls: DataFrame, words: tuple = LISTED_WORDS) -> DataFrame:

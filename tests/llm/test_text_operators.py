@@ -471,10 +471,39 @@ def test_evidence_does_not_grow_with_plain_text():
 
     field = toxicity.Field.blank({})
     plain, dense = np.full(200_000, 1e-3), np.full(200_000, 1e-3)
-    assert np.allclose(field.evidence(plain), [1, 1e-3, 0, 0]) and np.allclose(field.evidence(plain[:5]), field.evidence(plain)) and np.allclose(field.evidence(plain[:0]), [1, 0, 0, 0])
+    assert np.allclose(field.evidence(plain), [1, 1e-3, 0, 0, 0, 0]) and np.allclose(field.evidence(plain[:5]), field.evidence(plain)) and np.allclose(field.evidence(plain[:0]), [1, 0, 0, 0, 0, 0])
     plain[::1000], dense[-20:] = 0.9, 0.9
     assert np.isclose(field.evidence(plain)[2], np.log1p(0.9)) and np.isclose(field.evidence(dense)[2], np.log1p(18))
-    assert np.isclose(field.evidence(dense[-40:])[2], np.log1p(18)) and np.isclose(field.evidence(dense[-40:])[3], np.log1p(45))
+    assert np.isclose(field.evidence(dense[-40:])[2], np.log1p(18)) and np.isclose(field.evidence(dense[-40:])[5], np.log1p(45))
+
+
+def test_the_form_of_the_score_is_chosen_by_folds(monkeypatch):
+    """One column tells the labels in every fold, another only in the first: the first form is chosen, by training rows."""
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    fold, toxic = np.arange(400) % 4, (np.arange(400) // 4 % 2).astype(float)
+    good, lucky = toxic + draw.normal(size=400) / 3, np.where(fold == 0, 5 * toxic, draw.normal(size=400))
+    evidence = np.stack([np.ones(400), lucky, good], 1)
+    monkeypatch.setattr(toxicity, "FORMS", ((0, 1), (0, 2)))
+    weights = toxicity.document_weights(evidence, toxic, np.ones(400), fold)
+    assert weights[1] == 0 and weights[2] > 1
+
+
+def test_a_pair_that_stands_twice_in_the_ledger_counts_once(spark, docs):
+    found, ledger = secretscan.scan_versions(docs)
+    twice = secretscan.findings(docs, ledger.unionByName(ledger).unionByName(ledger.filter("rule_version like 'hex%'")))
+    show = lambda rows: sorted((r.blob, str(r.spans)) for r in rows.collect())
+    assert show(twice) == show(found) and found.filter("size(spans) > 1").count() > 0
+
+
+def test_urls_with_columns_of_the_filters_names(spark):
+    urls = spark.createDataFrame([(1, "http://spam.net/a", 5, 6, "b", "c", "r"), (2, None, 5, 6, "b", "c", "r"), (2, None, 5, 6, "b", "c", "r")], "page_id int, url string, block int, w0 int, _best string, b3 string, row string")
+    got = urlfilter.judge_urls(urls, urlfilter.flagged_hosts(urls), queries.URL_RULES)
+    assert sorted((r.page_id, r.verdict, r.block, r.w0, r._best, r.b3, r.row) for r in got.collect()) == [(1, "block", 5, 6, "b", "c", "r"), (2, "allow", 5, 6, "b", "c", "r"), (2, "allow", 5, 6, "b", "c", "r")]
+    nothing = urlfilter.judge_urls(urls.limit(0), urlfilter.flagged_hosts(urls), queries.URL_RULES)
+    unlisted = urlfilter.judge_urls(urls, urlfilter.flagged_hosts(urls).limit(0), queries.URL_RULES)
+    assert nothing.count() == 0 and {r.verdict for r in unlisted.collect()} == {"allow"}
 
 
 def test_toxicity_on_held_out_documents(spark):
