@@ -34,9 +34,11 @@ def fuzzy_matches(missed: DataFrame, partners: DataFrame, threshold: int = FUZZY
     ties go to the earliest partner.
 
     A partner's key that is one character longer or shorter and else equal beats every other, so these are looked up
-    first, by the keys with a character left out. For the rest a partner's key is cut into one piece more than it may
-    have characters added or lost: at least one piece then stands unchanged in the name, so pairs join on pieces. An
-    edit-distance bound in the JVM leaves few of them for the exact score.
+    first, by the keys with a character left out. For the rest a key is cut into two segments more than it may have
+    characters added or lost, so at least two stand unchanged in the name. Two of them do so after exactly as many
+    changes as segments before the one, and one less than before the other (see `asked_segments`): that leaves few places
+    for them, and pairs join on both segments at once. An edit-distance bound in the JVM leaves few of them for the
+    exact score.
     """
     keys = name_keys(partners).groupBy("name_key").agg(F.min_by("partner_code", "ord").alias("partner_code"), F.min("ord").alias("ord"))
     held = keys.withColumnRenamed("name_key", "key")
@@ -45,10 +47,7 @@ def fuzzy_matches(missed: DataFrame, partners: DataFrame, threshold: int = FUZZY
     shorter = asked.withColumn("less", F.explode(shortened(F.col("name_key")))).join(held, F.col("less") == F.col("key")).drop("less")
     close = _scored(longer.unionByName(shorter), threshold).filter(F.length("name_key") > 2)
     rest = asked.join(close.select("name_key").distinct(), "name_key", "left_anti")
-    lengths = F.sequence(F.greatest(F.lit(1), F.floor(F.length("name_key") * threshold / (200 - threshold))).cast("int"), F.ceil(F.length("name_key") * (200 - threshold) / threshold).cast("int"))
-    rest = rest.withColumn("length", F.explode(lengths)).withColumn("piece", F.explode(all_pieces(F.col("name_key"), F.col("length"), threshold)))
-    cut = held.withColumn("length", F.length("key")).withColumn("piece", F.explode(pieces(F.col("key"), threshold)))
-    scored = close.unionByName(_scored(rest.join(cut, ["length", "piece"]).select("name_key", "key", "partner_code", "ord"), threshold))
+    scored = close.unionByName(_scored(segment_pairs(rest, held, threshold), threshold))
     best = scored.groupBy("name_key").agg(F.max_by(F.struct("partner_code", "score"), F.struct("score", -F.col("ord"))).alias("b"))
     return best.select("name_key", F.col("b.partner_code").alias("by_name"), F.lit("FUZZY_NAME").alias("name_method"), F.round("b.score", 1).alias("score"))
 
@@ -64,24 +63,88 @@ def shortened(key: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, n))))
 
 
-def _parts(length: Column, threshold: int) -> Column:
-    """Pieces of a key of this length: one more than the characters that a name similar enough may add or lack."""
+#: Changes up to which keys join on two segments (keys of 24 characters at 85): of more segments there are many pairs.
+PAIRED = 8
+
+
+def segment_pairs(asked: DataFrame, held: DataFrame, threshold: int) -> DataFrame:
+    """Names of asked (name_key) with the rows of held (key) that share segments where a similar key could have them;
+    pairs may come more than once."""
+    n = F.length("name_key")
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(n * threshold / (200 - threshold))).cast("int"), F.floor(n * (200 - threshold) / threshold).cast("int"))
+    wanted = asked.withColumn("length", F.explode(lengths)).join(held.select(F.length("key").alias("length")).distinct().hint("broadcast"), "length", "left_semi")
+    wanted = wanted.withColumn("segment", F.explode(asked_segments(F.col("name_key"), F.col("length"), threshold)))
+    cut = held.withColumn("length", F.length("key")).withColumn("segment", F.explode(segments(F.col("key"), threshold)))
+    return wanted.join(cut, ["length", "segment"]).drop("length", "segment")
+
+
+def _most(length: Column, threshold: int) -> Column:
+    """Characters that a name similar to a key of this length may have more or less than it, counted together."""
     longest = F.floor(length * (200 - threshold) / threshold)
-    return F.least(length, F.floor((length + longest) * (100 - threshold) / 100) + 1).cast("int")
+    return F.floor((length + longest) * (100 - threshold) / 100).cast("int")
 
 
-def pieces(key: Column, threshold: int) -> Column:
-    n = F.length(key)
-    parts = _parts(n, threshold)
-    start = lambda i: F.floor(i * n / parts).cast("int")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(key, start(i) + 1, start(i + 1) - start(i))))
+def _cut(length: Column, threshold: int) -> tuple[Column, Column, Column]:
+    """Whether a key is too short for that many segments and goes by single characters, whether its segments go in
+    pairs, and their number."""
+    most = _most(length, threshold)
+    short, paired = most + 2 > length, most <= PAIRED
+    return short, paired, F.when(short, length).otherwise(most + F.when(paired, 2).otherwise(1)).cast("int")
+
+
+def _range(first: Column, last: Column, step: int = 1) -> Column:
+    return F.when(first <= last, F.sequence(first, last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
+def _piece(text: Column, length: Column, parts: Column, i: Column, shift: Column) -> Column:
+    """The stretch of text where a key of this length has its segment i, moved by shift."""
+    start = lambda i: F.floor(i * length / parts).cast("int")
+    return F.substring(text, start(i) + 1 + shift, start(i + 1) - start(i))
 
 
-def all_pieces(name: Column, length: Column, threshold: int) -> Column:
-    """Every stretch of name that could be a piece of a key of this length."""
-    size, n = F.floor(length / _parts(length, threshold)).cast("int"), F.length(name)
-    stretches = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(name, i, k))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(stretches(size), stretches(size + 1)))
+def _tagged(i: Column, j: Column, text: Column) -> Column:
+    return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), text.alias("text"))
+
+
+def segments(key: Column, threshold: int) -> Column:
+    """Segments (i, j, text) that a key is found by: pairs, single ones (j is -1), or characters (both are -1)."""
+    n, none, still = F.length(key), F.lit(-1), F.lit(0)
+    short, paired, parts = _cut(n, threshold)
+    piece = lambda i: _piece(key, n, parts, i, still)
+    pairs = F.flatten(F.transform(_range(F.lit(0), parts - 2), lambda i: F.transform(_range(i + 1, parts - 1), lambda j: _tagged(i, j, F.concat(piece(i), piece(j))))))
+    single = F.transform(_range(F.lit(0), parts - 1), lambda i: _tagged(i, none, piece(i)))
+    return F.when(short, _characters(key)).when(paired, pairs).otherwise(single)
+
+
+def _characters(text: Column) -> Column:
+    return F.array_distinct(F.transform(_range(F.lit(1), F.length(text)), lambda i: _tagged(F.lit(-1), F.lit(-1), F.substring(text, i, F.lit(1)))))
+
+
+def asked_segments(name: Column, length: Column, threshold: int) -> Column:
+    """Segments that a name looks for among keys of this length.
+
+    Give each segment of a key the characters lost in it and those added in or after it, and walk along the segments: up
+    by its changes, down by one. Steps go down by one at most, and the walk ends below zero, at -2 or lower for pairs. So
+    after the last place at height 0 stands an unchanged segment i, with exactly i changes before it, and after the last
+    place at height -1 another one, j, with exactly j - 1 before it. Every change moves what follows by one place, so
+    shifts are bound on both sides, by the changes before and by those left over, and are even or odd as these are.
+    """
+    n, none = F.length(name), F.lit(-1)
+    short, paired, parts = _cut(length, threshold)
+    apart = n - length
+    # added and lost characters together are even or odd as the lengths' difference is
+    most = F.floor((n + length) * (100 - threshold) / 100)
+    most = (most - F.pmod(most + apart, F.lit(2))).cast("int")
+    lost, added = F.floor((most - apart) / 2), F.floor((most + apart) / 2)
+    piece = lambda i, shift: _piece(name, length, parts, i, shift)
+    # a stretch that starts before the name, ends behind it, or moves further than characters can be lost or added
+    start = lambda i: F.floor(i * length / parts)
+    within = lambda i, shift, left: (shift >= -lost) & (shift <= added) & (start(i) + shift >= 0) & (start(i + 1) + shift <= n) & (F.abs(apart - shift) <= left)
+    shifts = lambda i, middle, by, left: F.filter(_range(middle - by, middle + by, 2), lambda d: within(i, d, left))
+    seconds = lambda i, d: F.flatten(F.transform(_range(i + 1, parts - 1), lambda j: F.transform(shifts(j, d, j - 1 - i, most + 1 - j), lambda e: _tagged(i, j, F.concat(piece(i, d), piece(j, e))))))
+    pairs = F.flatten(F.transform(_range(F.lit(0), parts - 2), lambda i: F.flatten(F.transform(shifts(i, F.lit(0), i, most - i), lambda d: seconds(i, d)))))
+    single = F.flatten(F.transform(_range(F.lit(0), parts - 1), lambda i: F.transform(shifts(i, F.lit(0), i, most - i), lambda d: _tagged(i, none, piece(i, d)))))
+    return F.array_distinct(F.when(short, _characters(name)).when(paired, pairs).otherwise(single))
 
 
 def resolve(invoices: DataFrame, partners: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:

@@ -204,6 +204,37 @@ def test_fuzzy_matches_are_those_of_all_pairs(spark):
     assert got == want and len(want) > 30
 
 
+def test_names_of_common_parts_and_long_names(spark):
+    """Few pairs meet though every part of a name is in many others; results are those of all pairs."""
+    from tallyweave.functions.udfs import common_length
+
+    draw = random.Random(7)
+    parts = ("北浜 青葉 みどり 白川 東西 大和 富士見 三条 日本 新町".split(), "電機 印刷 食品 運輸 石材 建設 精密 化学 製作所".split(), "工業 商事 サービス 販売 東日本 産業 研究所 エンジニアリング 西支店 流通センター".split())
+
+    def altered(n, letters, changes):
+        for _ in range(changes):
+            i = draw.randrange(len(n) or 1)
+            n = draw.choice([n[:i] + n[i + 1 :], n[:i] + draw.choice(letters) + n[i:], n[:i] + draw.choice(letters) + n[i + 1 :]])
+        return n
+
+    common = sorted({"".join(draw.choice(p) for p in parts) for _ in range(1500)})
+    long = ["".join(draw.choice("abcdef") for _ in range(draw.randint(20, 40))) for _ in range(60)]
+    for names, letters, most in ((common, "山川田", 2), (long, "abcdef", 7)):
+        asked = sorted({altered(draw.choice(names), letters, draw.randint(1, most)) for _ in range(200)} - {*names, ""})
+        master = spark.createDataFrame([(f"P-{i}", n, [], "", i) for i, n in enumerate(names)], "partner_code string, name string, aliases array<string>, registration_no string, ord int")
+        frame = spark.createDataFrame([(a,) for a in asked], "name_key string")
+        got = {r.name_key: (r.by_name, r.score) for r in partners.fuzzy_matches(frame, master).collect()}
+        want = {}
+        for a in asked:
+            score, i = min((-200.0 * common_length(a, n) / (len(a) + len(n)), i) for i, n in enumerate(names))
+            if -score >= 85:
+                want[a] = (f"P-{i}", round(-score, 1))
+        assert got == want and len(want) > 80
+        if names is common:
+            met = partners.segment_pairs(frame, partners.name_keys(master).select(F.col("name_key").alias("key")), 85).distinct().count()
+            assert met < 0.02 * len(names) * len(asked)
+
+
 def test_all_text_is_folded(spark):
     texts = ["ﾔﾏﾀﾞ商店", "㍿ヤマダ", "Ⅻ ﬁne", "plain", "１２３", "ｶﾞ㈱", None]
     rows = [(i, t, [(t, "①", "㌔", "５００", "②00", "１０％")]) for i, t in enumerate(texts)]
