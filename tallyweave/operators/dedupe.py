@@ -70,6 +70,65 @@ def find_duplicates(invoices: DataFrame, existing: DataFrame, scope: str = "earl
     return both.select("arrival", "dup_exact", kept.alias("dup_near"))
 
 
+GROUP = ("partner_code", "total_amount")
+
+
+def _days(existing: DataFrame, *more: str) -> DataFrame:
+    """Existing invoices counted by supplier, total (and more) and day: however often a supplier repeats a total, there
+    is one row a day. only is the arrival, where there is one."""
+    dated = existing.filter("o_partner_code is not null and o_total_amount is not null and o_issue_date is not null")
+    keys = [F.col(f"o_{c}").alias(c) for c in (*GROUP, *more)]
+    return dated.groupBy(*keys, F.unix_date("o_issue_date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("o_arrival").alias("only"))
+
+
+def _within(asked: DataFrame, days: DataFrame, window_days: int, *more: str) -> DataFrame:
+    """Per day asked, how many existing invoices lie within the window, and the first and last of their days."""
+    window = Window.partitionBy(*GROUP, *more).orderBy("day").rangeBetween(-window_days, window_days)
+    both = days.select(*GROUP, *more, "day", "n", F.col("day").alias("held"), F.lit(False).alias("asked"))
+    both = both.unionByName(asked.select(*GROUP, *more, "day").distinct().withColumns({"n": F.lit(0).cast("bigint"), "held": F.lit(None).cast("int"), "asked": F.lit(True)}))
+    counted = both.withColumns({"_n": F.sum("n").over(window), "_first": F.min("held").over(window), "_last": F.max("held").over(window)})
+    return counted.filter("asked").select(*GROUP, *more, "day", F.col("_n").alias("n"), F.col("_first").alias("first_day"), F.col("_last").alias("last_day"))
+
+
+def near_counts(invoices: DataFrame, existing: DataFrame, window_days: int = 7) -> DataFrame:
+    """arrival and n_near, the number of near duplicates among all other existing invoices, where there are any, with
+    the first and last day of the stretch of the supplier's total that they lie in (which may hold twins too).
+
+    The near ones of an invoice are one stretch of the days of its supplier and total, less its twins and itself. So
+    days are counted, not pairs made: the output has one row an invoice. `candidates` lists them on demand."""
+    this, that = _sides(invoices, existing)
+    this = this.filter("total_amount is not null and issue_date is not null").withColumn("day", F.unix_date("issue_date"))
+    all_near = _within(this, _days(that), window_days)
+    keyed = this.filter("key <> ''")
+    twins = _within(keyed, _days(that.filter("o_key <> ''"), "key"), window_days, "key").select(*GROUP, "key", "day", F.col("n").alias("twins"))
+    itself = that.select(F.col("o_arrival").alias("arrival"), "o_partner_code", "o_total_amount", "o_key", F.unix_date("o_issue_date").alias("o_day"))
+    both = this.join(all_near, [*GROUP, "day"]).join(twins, [*GROUP, "key", "day"], "left").join(itself, "arrival", "left")
+    twin = F.coalesce((F.col("key") != "") & (F.col("key") == F.col("o_key")), F.lit(False))
+    counted = (F.col("partner_code") == F.col("o_partner_code")) & (F.col("total_amount") == F.col("o_total_amount")) & (F.abs(F.col("day") - F.col("o_day")) <= window_days) & ~twin
+    near = F.col("n") - F.coalesce("twins", F.lit(0)) - F.when(counted, 1).otherwise(0)
+    of_day = lambda c: F.date_from_unix_date(F.col(c)).alias(c)
+    return both.select("arrival", near.alias("n_near"), of_day("first_day"), of_day("last_day")).filter("n_near > 0")
+
+
+def nearest_days(invoices: DataFrame, existing: DataFrame) -> DataFrame:
+    """arrival and near_gap, the days to the nearest other existing invoice of the same supplier and total, whatever its
+    number: from that window on, an invoice without exact duplicates has near ones."""
+    this, that = _sides(invoices, existing)
+    this = this.filter("total_amount is not null and issue_date is not null").withColumn("day", F.unix_date("issue_date"))
+    by_day = Window.partitionBy(*GROUP).orderBy("day")
+    here = F.struct("day", "n", "only")
+    # an invoice's own row can hide one day, so each side keeps two
+    days = _days(that).select(*GROUP, "day", here.alias("here"), F.lag(here).over(by_day).alias("before"), F.lead(here).over(by_day).alias("after"))
+    held = days.select(*GROUP, "day", F.struct("here", "before", "after").alias("held"), F.lit(False).alias("asked"))
+    asked = this.select(*GROUP, "day").distinct().withColumns({"held": F.lit(None).cast(held.schema["held"].dataType), "asked": F.lit(True)})
+    upto, since = by_day.rangeBetween(Window.unboundedPreceding, 0), by_day.rangeBetween(0, Window.unboundedFollowing)
+    placed = held.unionByName(asked).withColumns({"up": F.last("held", ignorenulls=True).over(upto), "down": F.first("held", ignorenulls=True).over(since)}).filter("asked")
+    around = F.array(F.col("up.here"), F.col("up.before"), F.col("down.here"), F.col("down.after"))
+    met = this.join(placed.select(*GROUP, "day", around.alias("around")), [*GROUP, "day"])
+    others = F.filter("around", lambda x: x.isNotNull() & ((x["n"] > 1) | (x["only"] != F.col("arrival"))))
+    return met.select("arrival", F.array_min(F.transform(others, lambda x: F.abs(x["day"] - F.col("day")))).alias("near_gap")).filter("near_gap is not null")
+
+
 def with_duplicates(invoices: DataFrame, existing: DataFrame, scope: str = "earlier", window_days: int = 7) -> DataFrame:
     joined = invoices.join(find_duplicates(invoices, existing, scope, window_days), "arrival", "left")
     return joined.withColumn("dup_near", F.coalesce("dup_near", F.array().cast("array<bigint>")))

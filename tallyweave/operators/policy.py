@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import verify
 from ..schemas import POLICY, REVERIFIABLE
-from . import partners
+from . import dedupe, partners
 
 # The ranges of the dials.
 RANGES = {"amount_review_threshold": (0, None), "confidence_floor": (0, 1), "duplicate_window_days": (0, 365)}
@@ -62,6 +64,47 @@ def what_if(invoices: DataFrame, policy: dict, patch: dict, master: DataFrame |
     return reverify(invoices, new, master).groupBy("was", F.col("status").alias("now")).agg(F.count(F.lit(1)).alias("invoices"))
 
 
+#: Checks that the dials of a policy decide; every other check stays as it is, whatever the policy.
+DIALLED = ("amount.threshold", "confidence.floor", "dedupe.near")
+
+
+def breakpoints(invoices: DataFrame, policy: dict = POLICY, master: DataFrame | None = None) -> DataFrame:
+    """Open invoices judged once, with the values of the dials at which their states flip: arrival, was, blocked and
+    doubtful (by checks that no dial decides), total_amount (a smaller limit fails it), min_confidence (a higher floor
+    does, and any where it is null) and near_gap (a window as long or longer does)."""
+    judged = reverify(invoices, policy, master)
+    fails = lambda severity: F.exists("checks", lambda c: ~c["passed"] & (c["severity"] == severity) & ~c["name"].isin(*DIALLED))
+    gaps = dedupe.nearest_days(judged, invoices.select(*FACTS))
+    flat = judged.join(gaps, "arrival", "left")
+    return flat.select("arrival", "was", fails("BLOCKER").alias("blocked"), fails("ERROR").alias("doubtful"), "total_amount", "min_confidence", "near_gap")
+
+
+def what_if_grid(points: DataFrame, limits: Sequence[int], floors: Sequence[float], windows: Sequence[int]) -> DataFrame:
+    """What each policy of a grid would make of invoices, from their breakpoints: was, now and invoices by the three
+    dials. Every invoice is put in one cell of the grid, by the mildest values that fail it, and cells are summed up
+    along the dials, so a policy more costs a cell and no judgement."""
+    # from strict to mild: a limit of 0 is none
+    ranked = {
+        "amount_review_threshold": (sorted(set(limits), key=lambda v: (v == 0, v)), "bigint", lambda v: (v != 0) & (v < F.col("total_amount"))),
+        "confidence_floor": (sorted(set(floors), reverse=True), "double", lambda v: F.coalesce(v > F.col("min_confidence"), F.lit(True))),
+        "duplicate_window_days": (sorted(set(windows), reverse=True), "int", lambda v: v >= F.col("near_gap")),
+    }
+    values = {name: F.array(*[F.lit(v) for v in grid]).cast(f"array<{kind}>") for name, (grid, kind, _) in ranked.items()}
+    place = {name: F.size(F.filter(values[name], lambda v: F.coalesce(fails(v), F.lit(False)))) for name, (_, _, fails) in ranked.items()}
+    cells = points.filter("not blocked and not doubtful").groupBy("was", *[c.alias(name) for name, c in place.items()]).agg(F.count(F.lit(1)).alias("n"))
+    of = lambda c: F.count(F.when(c, F.lit(1)))
+    grid = points.groupBy("was").agg(of(F.col("blocked")).alias("BLOCKED"), of(~F.col("blocked")).alias("_open"))
+    for name, (steps, _, _) in ranked.items():
+        grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(len(steps) - 1))))
+    clean = grid.join(cells, ["was", *ranked], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    for name in ranked:
+        others = [c for c in ranked if c != name]
+        clean = clean.withColumn("n", F.sum("n").over(Window.partitionBy("was", *others).orderBy(name)))
+    shown = [F.get(values[name], F.col(name)).alias(name) for name in ranked]
+    states = F.explode(F.array(*[F.struct(F.lit(s).alias("now"), c.alias("invoices")) for s, c in (("BLOCKED", F.col("BLOCKED")), ("NEEDS_REVIEW", F.col("_open") - F.col("n")), ("EXTRACTED", F.col("n")))]))
+    return clean.select(*shown, "was", states.alias("s")).select(*ranked, "was", "s.*").filter("invoices > 0")
+
+
 def history(changes: DataFrame, n: int = 25) -> DataFrame:
     """The newest n changes (Spark keeps only n rows of each partition)."""
     return changes.orderBy(F.col("change_id").desc()).limit(n)

@@ -303,6 +303,12 @@ def duplicates(spark, sf_dir):
     return dedupe.find_duplicates(rows, rows).select("arrival", "dup_exact", F.size("dup_near").alias("n_near"))
 
 
+@query("SELECT a.arrival, count(*) AS n_near FROM inv a JOIN inv b ON a.pid = b.pid AND a.total_amount = b.total_amount AND a.nkey <> b.nkey AND abs(a.issued - b.issued) <= 7 AND b.arrival <> a.arrival GROUP BY a.arrival", TYPED)
+def near_counts(spark, sf_dir):
+    rows = resolved(spark, sf_dir)
+    return dedupe.near_counts(rows, rows).select("arrival", "n_near")
+
+
 # amounts and checks
 
 
@@ -581,6 +587,28 @@ def policy_whatif(spark, sf_dir):
     return policy.what_if(checked(spark, sf_dir), PROJECTED_POLICY, {"amount_review_threshold": 250_000}, master(spark, sf_dir))
 
 
+#: A grid of 600 policies, each judged by itself.
+GRID = (
+    TYPED
+    + """, twin AS (SELECT DISTINCT a.arrival FROM inv a JOIN inv b ON a.pid = b.pid AND a.nkey = b.nkey AND b.arrival <> a.arrival),
+    gap AS (SELECT a.arrival, min(abs(a.issued - b.issued)) AS days FROM inv a JOIN inv b ON a.pid = b.pid AND a.total_amount = b.total_amount AND a.nkey <> b.nkey AND b.arrival <> a.arrival GROUP BY a.arrival),
+    base AS (
+        SELECT status AS was, total_amount, CASE WHEN ok % 61 = 0 THEN 0.4 ELSE 0.95 END AS confidence, days, twin.arrival IS NOT NULL OR len(list_filter(bad, lambda c: c.severity = 'BLOCKER' AND c.name <> 'dedupe.exact')) > 0 AS blocked,
+               len(list_filter(bad, lambda c: c.severity = 'ERROR' AND c.name NOT IN ('dedupe.near', 'amount.threshold', 'confidence.floor'))) > 0 AS doubtful
+        FROM judged LEFT JOIN twin ON twin.arrival = judged.arrival LEFT JOIN gap ON gap.arrival = judged.arrival),
+    grid AS (SELECT l.l, f.f, w.w FROM (SELECT unnest(range(0, 1000000, 10000)) AS l) l, (SELECT unnest([0.3, 0.8]) AS f) f, (SELECT unnest([0, 7, 30]) AS w) w)"""
+)
+
+
+@query(
+    "SELECT l AS amount_review_threshold, f::DOUBLE AS confidence_floor, w::INTEGER AS duplicate_window_days, was, CASE WHEN blocked THEN 'BLOCKED' WHEN doubtful OR l <> 0 AND total_amount > l OR confidence < f OR coalesce(days <= w, false) THEN 'NEEDS_REVIEW' ELSE 'EXTRACTED' END AS now, count(*) AS invoices FROM base, grid GROUP BY ALL",
+    GRID,
+)
+def policy_grid(spark, sf_dir):
+    points = layer(spark, sf_dir, "breakpoints", lambda: policy.breakpoints(checked(spark, sf_dir), PROJECTED_POLICY, master(spark, sf_dir)))
+    return policy.what_if_grid(points, range(0, 1_000_000, 10_000), (0.3, 0.8), (0, 7, 30))
+
+
 # operating figures
 
 

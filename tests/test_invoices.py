@@ -171,6 +171,44 @@ def test_policy(spark, done):
     assert moved[("EXTRACTED", "BLOCKED")] == 1 and moved[("NEEDS_REVIEW", "EXTRACTED")] == 1
 
 
+def test_a_grid_of_policies_is_each_of_them_judged(spark, done):
+    points = policy.breakpoints(done["checked"], POLICY, done["master"])
+    limits, floors, windows = (0, 60000, 300000, 5000000), (0.0, 0.8, 1.0), (0, 7)
+    got = {}
+    for r in policy.what_if_grid(points, limits, floors, windows).collect():
+        got.setdefault((r.amount_review_threshold, r.confidence_floor, r.duplicate_window_days), {})[r.was, r.now] = r.invoices
+    assert len(got) == 24
+    for asked in ((60000, 0.8, 7), (0, 1.0, 0)):
+        patch = dict(zip(("amount_review_threshold", "confidence_floor", "duplicate_window_days"), asked))
+        assert got[asked] == {(r.was, r.now): r.invoices for r in policy.what_if(done["checked"], POLICY, patch, done["master"]).collect()}
+    nothing = points.limit(0)
+    assert policy.what_if_grid(nothing, limits, floors, windows).count() == 0
+
+
+def test_near_counts_without_pairs(spark):
+    """Against all pairs, with twins, blank numbers and nulls; and a total that one supplier repeats 20,000 times."""
+    import datetime as dt
+
+    draw, day = random.Random(3), dt.date(2026, 1, 1)
+    pick = lambda *values: draw.choice(values)
+    rows = [(i, pick("P-1", "P-2", None), pick("a", "A ", "b", "", None), pick(5, 6, None), pick(None, *[day + dt.timedelta(d) for d in range(0, 40, 3)])) for i in range(150)]
+    schema = "arrival bigint, partner_code string, invoice_number string, total_amount bigint, issue_date date"
+    frame = spark.createDataFrame(rows, schema)
+    held = [(a, p, n, t, d and d + dt.timedelta(a % 3)) for a, p, n, t, d in rows[:100]]
+    want, gaps = {}, {}
+    for a, p, n, t, d in rows:
+        key = (n or "").strip().upper()
+        others = [(h, abs((h[4] - d).days)) for h in held if h[0] != a and None not in (p, t, d, h[4]) and h[1] == p and h[3] == t]
+        want[a] = sum(far <= 7 and not (key and key == (h[2] or "").strip().upper()) for h, far in others)
+        gaps[a] = min((far for _, far in others), default=None)
+    existing = spark.createDataFrame(held, schema)
+    assert {r.arrival: r.n_near for r in dedupe.near_counts(frame, existing).collect()} == {a: n for a, n in want.items() if n}
+    assert {r.arrival: r.near_gap for r in dedupe.nearest_days(frame, existing).collect()} == {a: g for a, g in gaps.items() if g is not None}
+    hot = spark.range(20000).select(F.col("id").alias("arrival"), F.lit("P-1").alias("partner_code"), F.concat(F.lit("n"), (F.col("id") / 2).cast("int")).alias("invoice_number"), F.lit(9).cast("bigint").alias("total_amount"), F.date_add(F.lit(day), (F.col("id") % 7).cast("int")).alias("issue_date"))
+    counts = dedupe.near_counts(hot, hot)
+    assert counts.count() == 20000 and counts.agg(F.min("n_near"), F.max("n_near")).first() == (19998, 19998)
+
+
 def test_results_do_not_depend_on_partitions(spark, done):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "3")
