@@ -86,7 +86,11 @@ def cost_stats(extractions: DataFrame) -> DataFrame:
 
 def upper_median(extractions: DataFrame) -> DataFrame:
     """The upper middle of the latencies that are not 0, found from counts of each value rather than one sorted list."""
-    counts = extractions.filter("latency_ms <> 0").groupBy("latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    return median_of_counts(extractions.filter("latency_ms <> 0").groupBy("latency_ms").agg(F.count(F.lit(1)).alias("n")))
+
+
+def median_of_counts(counts: DataFrame) -> DataFrame:
+    """latency_median of latencies counted (latency_ms, n): one short row a value."""
     upto = F.sum("n").over(Window.orderBy("latency_ms"))
     placed = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy()))
     return placed.filter(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("latency_ms").alias("latency_median"))

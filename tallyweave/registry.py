@@ -15,7 +15,7 @@ from .sources import intake
 from .sources.projection import LATER, PROJECTED_POLICY, as_operations, operations, raw_invoices, read, typed_lines
 from .sources.projection import partners as master
 from .sources.stores import layer, shared_dir
-from .streaming import arrivals
+from .streaming import arrivals, figures
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -733,6 +733,24 @@ def stream_status(spark, sf_dir):
     return spark.table(name)
 
 
+@query(
+    "SELECT status, count(*) AS invoices, round(sum(cost_usd), 6) AS cost_usd, (SELECT list_sort(list(latency_ms))[len(list(latency_ms)) // 2 + 1] FROM op WHERE latency_ms <> 0) AS latency_median FROM op GROUP BY status",
+    OPERATIONS,
+)
+def stream_figures(spark, sf_dir):
+    """Invoices that arrive waiting, then are blocked at twice the cost, then take the state that they end in: counts,
+    costs and the median as three deliveries of changes leave them."""
+    out, rows = run_folder(spark), operations(spark, sf_dir)
+    waiting = rows.withColumns({"version": F.lit(1), "status": F.lit("PENDING"), "latency_ms": F.lit(None).cast("int")})
+    odd = rows.filter("arrival % 2 = 1").withColumns({"version": F.lit(2), "status": F.lit("BLOCKED"), "cost_usd": F.col("cost_usd") * 2, "latency_ms": F.lit(7)})
+    for delivery in (waiting, odd, rows.withColumn("version", F.lit(3))):
+        delivery.select("arrival", "version", *figures.CALL).write.mode("append").parquet(f"{out}/raw")
+        stream = spark.readStream.schema(spark.read.parquet(f"{out}/raw").schema).parquet(f"{out}/raw")
+        figures.figures_stream(stream, out).awaitTermination()
+    done = figures.figures(spark, out)
+    return figures.by_status(done).withColumn("_one", F.lit(1)).join(figures.latency_median(done).withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def folded_sql() -> str:
     """Every open invoice as two turns of events and a change of policy leave it (see case_events)."""
     def judged(name: str, rows: str, others: str, limit: int = 400_000) -> str:

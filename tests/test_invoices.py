@@ -12,7 +12,7 @@ from tallyweave.operators import checks, dedupe, ledger, normalize, partners, po
 from tallyweave.plans import casework, verify
 from tallyweave.schemas import POLICY
 from tallyweave.sources import intake
-from tallyweave.streaming import arrivals, keyed
+from tallyweave.streaming import arrivals, figures, keyed
 
 NAMES = [("青葉印刷株式会社", "Aoba Print"), ("有限会社 北浜電機", "Kitahama"), ("みどり食品", "Midori"), ("港南運輸", "Konan Lines"), ("合同会社空色", "Sorairo"), ("白川石材", "Shirakawa"), ("Delta Works", "DW")]
 PARTNERS = [(f"P-{i}", n, [a], f"T{i:013d}", i) for i, (n, a) in enumerate(NAMES, 2001)]
@@ -340,3 +340,26 @@ def test_review_events(spark, done):
     got = {(r.arrival, r.kind): r.result for r in arrivals.judged_events(frame, done["posted"]).collect()}
     want = ["send", "already registered", "rejected", "edited", "already registered", "not found", "policy changed"]
     assert got == {(a and AT.get(a, 77), kind): w for (a, kind, *_), w in zip(events, want)}
+
+
+def test_figures_move_with_the_state(spark, tmp_path):
+    """Changes in three batches, a late one and a repeated one among them; the last batch is run again."""
+    schema, out = "arrival bigint, version int, status string, cost_usd double, latency_ms int", str(tmp_path)
+    batches = [
+        [(1, 1, "PENDING", 0.5, None), (2, 1, "PENDING", 0.25, 0), (3, 1, "BLOCKED", 1.0, 40), (None, 1, "BLOCKED", 9.0, 9), (4, 1, "EXTRACTED", None, 10), (4, 1, "EXTRACTED", None, 10)],
+        [(1, 2, "BLOCKED", 0.5, 30), (1, 3, "POSTED", 0.5, 20), (3, 3, "REJECTED", 1.0, 40), (5, 1, None, 0.0, 50)],
+        [(3, 2, "POSTED", 7.0, 1), (2, 2, "POSTED", 0.5, 60), (4, 1, "EXTRACTED", None, 10)],
+    ]
+    for number, rows in [*enumerate(batches), (2, batches[2])]:
+        figures.figures_batch(spark.createDataFrame(rows, schema), number, out)
+        read = figures.figures(spark, out)
+        got = {r.status: (r.invoices, r.cost_usd) for r in figures.by_status(read).collect()}
+        want = [
+            {"PENDING": (2, 0.75), "BLOCKED": (1, 1.0), "EXTRACTED": (1, 0.0)},
+            {"PENDING": (1, 0.25), "POSTED": (1, 0.5), "REJECTED": (1, 1.0), "EXTRACTED": (1, 0.0), None: (1, 0.0)},
+            {"POSTED": (2, 1.0), "REJECTED": (1, 1.0), "EXTRACTED": (1, 0.0), None: (1, 0.0)},
+        ]
+        assert got == want[number]
+        assert figures.latency_median(read).first().latency_median == [40, 40, 40][number]
+    figures.figures_batch(spark.createDataFrame([], schema), 3, out)
+    assert figures.by_status(figures.figures(spark, out)).count() == 4
