@@ -61,7 +61,8 @@ def figures_batch(batch: DataFrame, number: int, out: str) -> None:
     sums, before = differences(moved), figures(spark, out, number)
     if before is not None:
         sums = summed(sums.unionByName(before))
-    write_batch(moved.select("arrival", "state", "bucket"), f"{out}/states", number, "bucket")
+    # one file a bucket, not one for each task and bucket
+    write_batch(moved.select("arrival", "state", "bucket").repartition("bucket"), f"{out}/states", number, "bucket")
     write_batch(store(sums.filter("n <> 0")), f"{out}/figures", number)
 
 
