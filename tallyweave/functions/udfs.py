@@ -1,33 +1,17 @@
-"""The functions Spark lacks, as vectorised UDFs."""
+"""The functions that Spark has no name for: NFKC, in the JVM, and similarity, as a vectorised UDF."""
 
 from __future__ import annotations
 
-import json
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
-
-
-def _folded(value):
-    if isinstance(value, str):
-        return unicodedata.normalize("NFKC", value)
-    if isinstance(value, list):
-        return [_folded(v) for v in value]
-    return {k: _folded(v) for k, v in value.items()} if isinstance(value, dict) else value
-
-
-@F.pandas_udf(T.StringType())
-def nfkc_json(body: pd.Series) -> pd.Series:
-    """JSON with NFKC applied to every text in it; nulls stay."""
-    return body.map(lambda b: json.dumps(_folded(json.loads(b)), ensure_ascii=False), na_action="ignore")
+def nfkc(text: Column) -> Column:
+    """Compatibility forms replaced and letters composed, by the ICU library that Spark itself uses for
+    collations; null stays null."""
+    return F.when(text.isNotNull(), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)))
 
 
 def common_length(a: str, b: str) -> int:

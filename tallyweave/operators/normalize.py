@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..functions.udfs import nfkc_json
+from ..functions.udfs import nfkc
 from ..schemas import CONFIDENCES, RAW_TEXTS
 
 
@@ -53,15 +54,27 @@ def unmapped_rates(typed: Column, breakdown: Column, codes: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(rates, of_lines, remark)))
 
 
+def folded(value: Column, kind: T.DataType) -> Column:
+    """value with NFKC applied to every text in it that the native fold does not cover; nulls stay."""
+    if isinstance(kind, T.StringType):
+        return F.when(~S.is_ascii(value) & ~value.rlike(S.FOLDABLE), nfkc(value)).otherwise(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: folded(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[folded(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
 def fold(raw: DataFrame) -> DataFrame:
-    """raw with NFKC applied to every text that the native fold does not cover. One JSON of such a row goes through
-    Python; of other rows only a null does."""
-    names = [c for c in (*RAW_TEXTS, "lines", "tax_breakdown", "handwritten_annotations") if c in raw.columns]
-    kinds = ", ".join(f"`{c}` {raw.schema[c].dataType.simpleString()}" for c in names)
-    body = raw.withColumn("_body", F.to_json(F.struct(*names)))
-    body = body.withColumn("_body", F.when(~F.col("_body").rlike(S.FOLDABLE), F.col("_body")))
-    told = body.withColumn("_told", F.from_json(nfkc_json("_body"), kinds))
-    return told.withColumns({c: F.when(F.col("_told").isNotNull(), F.col("_told")[c]).otherwise(F.col(c)) for c in names}).drop("_body", "_told")
+    """raw with NFKC applied to every text. An array goes through it only where one of its texts needs it."""
+    texts = {c: folded(F.col(c), T.StringType()) for c in RAW_TEXTS if c in raw.columns}
+    nested = {}
+    for c in ("lines", "tax_breakdown", "handwritten_annotations"):
+        if c in raw.columns:
+            kind = raw.schema[c].dataType
+            shown = F.transform(c, lambda x: F.concat_ws("", *[x[f.name] for f in kind.elementType if isinstance(f.dataType, T.StringType)]))
+            nested[c] = F.when(~F.array_join(shown, "").rlike(S.FOLDABLE), folded(F.col(c), kind)).otherwise(F.col(c))
+    return raw.withColumns(texts | nested)
 
 
 def normalize(raw: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.functions import scalars as S
 from tallyweave.operators import checks, dedupe, ledger, normalize, partners, policy, review
 from tallyweave.plans import casework, verify
 from tallyweave.schemas import POLICY
@@ -286,6 +287,21 @@ def test_all_text_is_folded(spark):
         assert [(x.description, x.quantity, x.unit, x.amount, x.tax_code) for x in got[i].lines] == ([(folded, 1, "キロ", 200, "T10")] if folded else [])
 
 
+def test_folding_is_nfkc_for_every_character_and_stays_in_the_jvm(spark):
+    every = [(c, chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    every += [(-1, "か\u3099ﾊﾟe\u0301"), (-2, "𝟙㌶ㇷ゚"), (-3, ""), (-4, None)]
+    frame = spark.createDataFrame(every, "c int, t string").repartition(8)
+    got = frame.select("c", normalize.folded(F.col("t"), frame.schema["t"].dataType).alias("t")).collect()
+    want = {c: t if t is None else unicodedata.normalize("NFKC", t) for c, t in every}
+    # the native fold leaves plain texts to clean()
+    plain = {r.c for r in frame.filter(F.col("t").rlike(S.FOLDABLE)).select("c").collect()}
+    assert all(r.t == (want[r.c] if r.c not in plain else dict(every)[r.c]) for r in got) and len(plain) > 20_000
+    wide = {r.c: r.t for r in frame.filter(F.col("t").rlike(S.FOLDABLE)).select("c", S.wide(F.col("t")).alias("t")).collect()}
+    assert all(t == want[c] for c, t in wide.items())
+    raw = spark.createDataFrame([(0, "x", [])], "arrival int, supplier_name string, lines array<struct<description:string>>")
+    assert "Python" not in normalize.fold(raw)._jdf.queryExecution().toString()
+
+
 def test_first_exact_duplicate(spark):
     """Groups of copies, against all pairs, in both scopes."""
     import datetime as dt
