@@ -101,6 +101,8 @@ def pdf_fault(b: bytes) -> str | None:
     told = re.compile(rb"startxref\s+(\d+)").match(b, last) if last >= 0 else None
     if not told:
         return NO_INDEX
+    if b.find(b"%%EOF", told.end()) < 0:
+        return NO_END
     at, seen = int(told.group(1)), set()
     while at not in seen:
         seen.add(at)
