@@ -6,8 +6,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import guards
+from tallyweave.operators import guards, partners
 from tallyweave.sources import ordered, structure
+from tallyweave.sources.stores import store
 
 
 def chunk(kind, data):
@@ -136,3 +137,18 @@ def test_a_key_that_a_third_of_rows_share(spark, tmp_path):
     frame = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
     sound, apart, counts = guards.store_guarded(frame, str(tmp_path / "h"), "id", {"once": ("k",)})
     assert counts == {"rows": 60_000, "once": 19_999} and apart.count() == 19_999 and sound.filter("k = 'hot'").first().id == 0
+
+
+def test_nothing_of_the_master_is_broadcast_whatever_its_files_seem_to_hold(spark, tmp_path):
+    """Short files of many names, segments and numbers look small; only the few lengths of keys may be broadcast."""
+    people = spark.range(500).select(
+        F.format_string("P-%06d", "id").alias("partner_code"), F.format_string("Maker#%05d", "id").alias("name"), F.array(F.format_string("Maker%05d", "id")).alias("aliases"),
+        F.format_string("T%013d", "id").alias("registration_no"), F.col("id").alias("ord"),
+    )
+    asked = spark.range(40).select(F.col("id").alias("arrival"), F.format_string("Maker#%04d", "id").alias("supplier_name"), F.lit("").alias("registration_no"))
+    people, asked = store(people, str(tmp_path / "people")), store(asked, str(tmp_path / "asked"))
+    found = partners.resolve(asked, people)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert all("length" in line for line in joins), joins
+    assert {r.method for r in found.collect()} == {"FUZZY_NAME"}
