@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stores import unbroadcast
+
 FIELDS = ("registration_no", "invoice_number", "issue_date", "due_date", "subtotal", "tax_amount", "total_amount")
 
 
@@ -15,11 +17,12 @@ def loose_key(c: Column) -> Column:
 def compare(truth: DataFrame, got: DataFrame) -> DataFrame:
     """One row per model and name of got (model, name, FIELDS, lines, error), against truth (name, FIELDS, lines):
     fields that agree, lines expected, got and matched by place on amount and tax code, and whether sums hold."""
-    expected = truth.select("name", *[F.col(c).alias(f"t_{c}") for c in FIELDS], F.col("lines").alias("t_lines"))
-    both = got.join(expected, "name")
+    # of lines only what is compared goes through the join
+    pair = lambda x: F.struct(x["amount"].alias("amount"), x["tax_code"].alias("tax_code"))
+    expected = truth.select("name", *[F.col(c).alias(f"t_{c}") for c in FIELDS], F.transform("lines", pair).alias("t_lines"))
+    both = got.select("model", "name", "error", *FIELDS, F.transform("lines", pair).alias("lines")).join(unbroadcast(expected), "name")
     agree = [loose_key(F.col(c)).eqNullSafe(loose_key(F.col(f"t_{c}"))) if c == "registration_no" else F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in FIELDS]
-    pair = lambda x: F.struct(x["amount"], x["tax_code"])
-    matched = F.size(F.filter(F.zip_with(F.transform("lines", pair), F.transform("t_lines", pair), lambda a, b: a.eqNullSafe(b) & a.isNotNull()), lambda m: m))
+    matched = F.size(F.filter(F.zip_with("lines", "t_lines", lambda a, b: a.eqNullSafe(b) & a.isNotNull()), lambda m: m))
     total = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["amount"])
     return both.select(
         "model", "name", "error", sum([a.cast("int") for a in agree[1:]], agree[0].cast("int")).alias("fields_ok"),
