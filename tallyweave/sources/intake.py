@@ -66,16 +66,24 @@ def recovered_json(text: Column) -> Column:
     return F.when(readable(bare), bare).when((braces != "") & readable(braces), braces)
 
 
-def raw_records(answers: DataFrame, column: str = "answer") -> tuple[DataFrame, DataFrame]:
-    """(records, failures) of answers: the fields of RAW_SCHEMA with defaults for what is missing, unknown keys left
-    out; and the rows that cannot be read, as EXTRACT_FAILED with notes. One bad row never fails the batch."""
+def read_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
+    """Every answer, read once, with failed, the fields of RAW_SCHEMA with defaults for what is missing, unknown keys left
+    out, and column as it came."""
     parsed = answers.withColumn("_json", recovered_json(F.col(column))).withColumn("_raw", F.from_json("_json", RAW_SCHEMA, {"mode": "PERMISSIVE"}))
     keep = [c for c in answers.columns if c != column]
-    failures = parsed.filter("_json is null").select(*keep, F.lit("EXTRACT_FAILED").alias("status"), F.concat(F.lit("Extraction failed: "), F.substring(F.coalesce(column, F.lit("")), 1, 80)).alias("notes"))
     texts = [F.coalesce(f"_raw.{c}", F.lit("JPY" if c == "currency" else "")).alias(c) for c in RAW_TEXTS if c not in keep]
     arrays = [F.coalesce(f"_raw.{c}", F.array().cast(parsed.select(f"_raw.{c}").schema[0].dataType)).alias(c) for c in ("lines", "tax_breakdown", "handwritten_annotations")]
     sure = F.struct(*[F.coalesce(f"_raw.field_confidence.{c}", F.lit(1.0)).alias(c) for c in CONFIDENCES]).alias("field_confidence")
-    return parsed.filter("_json is not null").select(*keep, *texts, *arrays, sure), failures
+    return parsed.select(*keep, *texts, *arrays, sure, F.col("_json").isNull().alias("failed"), F.col(column).alias("_answer"))
+
+
+def raw_records(answers: DataFrame, column: str = "answer") -> tuple[DataFrame, DataFrame]:
+    """(records, failures) of answers: those that can be read, and the rows that cannot, as EXTRACT_FAILED with notes. One
+    bad row never fails the batch."""
+    both = read_answers(answers, column)
+    keep = [c for c in answers.columns if c != column]
+    failures = both.filter("failed").select(*keep, F.lit("EXTRACT_FAILED").alias("status"), F.concat(F.lit("Extraction failed: "), F.substring(F.coalesce("_answer", F.lit("")), 1, 80)).alias("notes"))
+    return both.filter("not failed").drop("failed", "_answer"), failures
 
 
 def read_partners(spark: SparkSession, path: str) -> DataFrame:

@@ -6,8 +6,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import guards, partners
-from tallyweave.sources import ordered, structure
+from tallyweave import registry
+from tallyweave.operators import evals, guards, partners
+from tallyweave.sources import ordered, stores, structure
 from tallyweave.sources.stores import store
 
 
@@ -152,3 +153,24 @@ def test_nothing_of_the_master_is_broadcast_whatever_its_files_seem_to_hold(spar
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert all("length" in line for line in joins), joins
     assert {r.method for r in found.collect()} == {"FUZZY_NAME"}
+
+
+def test_queries_of_few_columns_read_the_tables_once_and_build_no_layer(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    stores.forget_layers()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("normalize_header", "parse_date", "parse_amount", "tax_base"):
+        registry.QUERIES[name](spark, sf_dir)
+    assert stores.stored_layer(spark, sf_dir, "normalized") is None
+    # the order's invoice and its two kinds of copies
+    assert plan(registry.QUERIES["json_recover"](spark, sf_dir)).count("Relation [o_orderkey") == 3
+
+
+def test_only_what_is_compared_of_lines_is_joined(spark):
+    line = "array<struct<description:string,amount:bigint,tax_code:string>>"
+    fields = ", ".join(f"{c} string" for c in ("registration_no", "invoice_number", "issue_date", "due_date", "subtotal", "tax_amount", "total_amount"))
+    truth = spark.createDataFrame([], f"name bigint, {fields}, lines {line}")
+    got = truth.withColumns({"model": F.lit("m"), "error": F.lit(None).cast("string")})
+    plan = evals.compare(truth, got)._jdf.queryExecution().analyzed()
+    join = next(p for p in iter(lambda it=[plan]: it.__setitem__(0, it[0].children().apply(0)) or it[0], None) if p.nodeName() == "Join")
+    assert "description" not in join.output().toString() + join.schema().simpleString()
