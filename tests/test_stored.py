@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave import registry
-from tallyweave.operators import evals, guards, partners
-from tallyweave.sources import ordered, stores, structure
+from tallyweave.operators import evals, guards, partners, policy
+from tallyweave.schemas import CHECK
+from tallyweave.sources import ordered, projection, stores, structure
 from tallyweave.sources.stores import store
 
 
@@ -174,3 +175,23 @@ def test_only_what_is_compared_of_lines_is_joined(spark):
     plan = evals.compare(truth, got)._jdf.queryExecution().analyzed()
     join = next(p for p in iter(lambda it=[plan]: it.__setitem__(0, it[0].children().apply(0)) or it[0], None) if p.nodeName() == "Join")
     assert "description" not in join.output().toString() + join.schema().simpleString()
+
+
+def test_customers_and_lines_are_not_broadcast_to_orders(spark):
+    """Files of few megabytes hold a million names, and packed lines of copies are many times their shuffled size."""
+    plan = projection.raw_invoices(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
+def test_matching_is_planned_once_however_often_its_rows_are_taken(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    people = spark.createDataFrame([("P-1", "Maker#00001", ["Maker00001"], "T1", 1)], "partner_code string, name string, aliases array<string>, registration_no string, ord bigint")
+    rows = spark.createDataFrame([(1, "Maker#0001", "", "P-9", [])], f"arrival bigint, supplier_name string, registration_no string, partner_code string, checks array<{CHECK}>")
+    monkeypatch.setattr(policy.verify, "judge", lambda carried, *_, **__: carried)
+    again = policy.judged_again(rows, rows.selectExpr("arrival", "partner_code", "'' as invoice_number", "0L as total_amount", "current_date() as issue_date", "'' as status"), master=people)
+    assert "Join" not in plan(again)
+    assert [(r.partner_code, r.method) for r in again.collect()] == [("P-1", "FUZZY_NAME")]
+    # close names are read where they are stored: the master is cut up for segments, on one side of one join, and counted
+    found = partners.fuzzy_matches(rows.selectExpr("'maker#0001' as name_key"), people)
+    assert plan(found).count("Join") <= 5
+    assert [tuple(r)[:2] for r in found.collect()] == [("maker#0001", "P-1")]
