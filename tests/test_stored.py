@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave import registry
-from tallyweave.operators import evals, guards, partners, policy
+from tallyweave.operators import evals, guards, ledger, partners, policy
+from tallyweave.plans import verify
 from tallyweave.schemas import CHECK
 from tallyweave.sources import ordered, projection, stores, structure
 from tallyweave.sources.stores import store
@@ -195,3 +196,24 @@ def test_matching_is_planned_once_however_often_its_rows_are_taken(spark, monkey
     found = partners.fuzzy_matches(rows.selectExpr("'maker#0001' as name_key"), people)
     assert plan(found).count("Join") <= 5
     assert [tuple(r)[:2] for r in found.collect()] == [("maker#0001", "P-1")]
+
+
+def test_checks_registration_and_postings_broadcast_nothing_that_grows(spark, monkeypatch):
+    """Under a limit that lets every table be broadcast, only the few lengths of keys and the counts of ranges are, in what
+    the queries write down on their way too."""
+    plans, plain = [], stores.store
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    for module in (stores, partners, ledger, verify):
+        monkeypatch.setattr(module, "store", lambda df, path=None: plain(planned(df), path))
+    stores.forget_layers()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for name in ("check_1", "check_10", "check_12", "auto_gate", "postings"):
+            planned(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # the five, their layers, and what matching and numbering write down
+    assert len(plans) >= 11
+    joins = [line for plan in plans for line in plan.splitlines() if "Broadcast" in line and "Join" in line]
+    assert joins and all("length" in line or "_part" in line for line in joins), joins
