@@ -229,3 +229,18 @@ def test_queries_of_few_columns_leave_no_text_of_an_invoice_unread(spark):
     for name in ("normalize_header", "parse_date", "parse_amount"):
         plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert all(text in plan for text in ("Relation [l_orderkey", "quantity_raw", "tax_rate_raw", "bank_details_raw", "total_amount_raw", "issue_date_raw")), name
+
+
+def folder_mb(path):
+    return sum(f.stat().st_size for f in path.rglob("*") if f.is_file()) / 1e6
+
+
+def test_shuffles_go_with_the_job_that_stores_a_frame(spark, tmp_path):
+    """Shuffle files of a stored layer stay on no disk, and the session's settings are as they were."""
+    before = {k: spark.conf.get(k, None) for k in stores.STORING}
+    shuffled = lambda: sum(folder_mb(d) for root in pathlib.Path(spark.conf.get("spark.local.dir", tempfile.gettempdir())).glob("blockmgr-*") for d in [root])
+    held = shuffled()
+    rows = spark.range(400_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).repartition(8, "text")
+    assert store(rows, str(tmp_path / "rows")).count() == 400_000
+    assert shuffled() - held < 10
+    assert {k: spark.conf.get(k, None) for k in stores.STORING} == before
