@@ -244,3 +244,12 @@ def test_shuffles_go_with_the_job_that_stores_a_frame(spark, tmp_path):
     assert store(rows, str(tmp_path / "rows")).count() == 400_000
     assert shuffled() - held < 10
     assert {k: spark.conf.get(k, None) for k in stores.STORING} == before
+
+
+def test_whole_invoices_are_dealt_once_for_a_judgement(spark):
+    """Matching and duplicates go without the lines; one join puts what they tell to the whole invoices."""
+    sf_dir = "/root/testdata/sf0.001"
+    rows = verify.judge(registry.matched(spark, sf_dir), projection.PROJECTED_POLICY, rest=registry.normalized(spark, sf_dir))
+    scans = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
+    assert len(scans) > 2 and sum("lines#" in line.split("]")[0] for line in scans) == 1
+    assert "lines" not in registry.matched(spark, sf_dir).columns
