@@ -253,3 +253,17 @@ def test_whole_invoices_are_dealt_once_for_a_judgement(spark):
     scans = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
     assert len(scans) > 2 and sum("lines#" in line.split("]")[0] for line in scans) == 1
     assert "lines" not in registry.matched(spark, sf_dir).columns
+
+
+def test_requests_are_judged_without_their_lines(spark, monkeypatch):
+    """What the ledger says of a request is written down by arrival, and whole requests are joined once."""
+    told, plain = [], ledger.store
+    monkeypatch.setattr(ledger, "store", lambda df, path=None: told.append(df.columns) or plain(df, path))
+    people = spark.createDataFrame([("P-1",)], "partner_code string")
+    line = "array<struct<description:string,quantity:bigint,unit:string,unit_price:bigint,amount:bigint,tax_code:string>>"
+    asked = [(1, "P-1", "A", 100, 10, 110, "T10"), (2, "P-1", "A", 100, 10, 110, "T10"), (3, "P-9", "B", 100, 10, 110, "T10"), (4, "P-9", "C", 100, 10, 110, "T99"), (5, "P-1", "D", 100, 10, 111, "T10")]
+    rows = [(a, p, n, "2026-01-01", "2026-02-01", "JPY", [("x", 1, "pc", 100, 100, code)], s, t, total) for a, p, n, s, t, total, code in asked]
+    requests = spark.createDataFrame(rows, f"arrival bigint, partner_code string, invoice_number string, issue_date string, due_date string, currency string, lines {line}, subtotal bigint, tax_amount bigint, total_amount bigint")
+    answers, records = ledger.admit(requests, people)
+    assert {r.arrival: (r.error_code, r.accounting_id) for r in answers.collect()} == {1: (None, "ACC-0001"), 2: ("DUPLICATE_INVOICE", None), 3: ("PARTNER_NOT_FOUND", None), 4: ("PARTNER_NOT_FOUND", None), 5: ("AMOUNT_MISMATCH", None)}
+    assert records.count() == 1 and told[0] == ["arrival", "error_code", "error_message"] and not any("lines" in columns for columns in told)
